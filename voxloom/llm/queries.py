@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, token_store, webp
+from . import langid, licenses, packing, rlz, suffix_dedup, token_store, webp
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,18 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a repeated string of 400."""
+    found = suffix_dedup.remove_repeats(spark, read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a passage of 50 that an earlier document has."""
+    found = rlz.parse(spark, read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, by way of sorted-string-table shards."""
     return token_store.token_table(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 2)
@@ -70,7 +82,7 @@ def _licenses_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_language, op5_tokens, op6_packing, op8_media, op10_licenses)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op5_tokens, op6_packing, op8_media, op9_substring_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
