@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, rlz, suffix_dedup, token_store, webp
+from . import langid, licenses, minhash, packing, rlz, suffix_dedup, token_store, webp
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents: five-word shingles, similarity of 0.75 or more."""
+    return minhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, by way of sorted-string-table shards."""
     return token_store.token_table(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 2)
@@ -82,7 +87,7 @@ def _licenses_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op5_tokens, op6_packing, op8_media, op9_substring_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op3_near_duplicates, op5_tokens, op6_packing, op8_media, op9_substring_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
