@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, minhash, packing, rlz, suffix_dedup, token_store, webp
+from . import decontam, html_extract, langid, licenses, minhash, packing, rlz, suffix_dedup, token_store, webp
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    network = html_extract.train(html_extract.training_pages())
+    return html_extract.extract(read_table(spark, sf_dir, "pages"), network)
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, by way of sorted-string-table shards."""
     return token_store.token_table(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 2)
@@ -49,6 +55,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 1, 2048)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item: 75 of 100 of its five-word shingles or more."""
+    return decontam.containments(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a lossless WebP file, read back."""
     return webp.payloads(webp.media(read_table(spark, sf_dir, "documents")))
@@ -85,11 +96,25 @@ def _licenses_sql() -> str:
     """
 
 
+def _containments_sql() -> str:
+    def shingles(table: str, key: str) -> str:
+        words = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+        return f"(select distinct {key}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from (select {key}, {words} as w from {table}) where len(w) > 4)"
+
+    return f"""
+    with items as {shingles("benchmark", "item_id")}, docs as {shingles("documents", "doc_id")},
+    sizes as (select item_id, count(*) as n from items group by item_id),
+    hits as (select doc_id, item_id, count(*) as found from docs join items using (s) group by doc_id, item_id)
+    select doc_id, item_id, found as n_found, n as n_shingles, round(found / n, 6) as containment
+    from hits join sizes using (item_id) where 100 * found >= 75 * n
+    """
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op3_near_duplicates, op5_tokens, op6_packing, op8_media, op9_substring_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op3_near_duplicates, op4_html_text, op5_tokens, op6_packing, op7_decontamination, op8_media, op9_substring_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op10_licenses": _licenses_sql()}
+    return {"op7_decontamination": _containments_sql(), "op10_licenses": _licenses_sql()}
