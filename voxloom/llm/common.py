@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at once.
@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
+def doc_texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id, text (null: empty) and further columns; what else ``docs`` has isn't read."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import chunks, doc_texts, utf8
 
@@ -177,8 +178,8 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """A row for each document: doc_id, lang_pred, score, spans.
+def identify(docs: DataFrame, model: Model, switch: float = SWITCH, keep: bool = False) -> DataFrame:
+    """A row for each document: doc_id, lang_pred, score, spans; with ``keep`` all its columns besides, as the struct ``row``.
 
     lang_pred is the language of most letters over the spans, ``und`` if the
     text is null or has no letter (score 0, no spans) or the model is empty.
@@ -220,6 +221,9 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
                 each, usable = np.zeros((len(w.starts), known)), np.zeros(len(w.starts), bool)
             rows = [one(w, each, usable, k) for k in range(batch.num_rows)]
             spans = pa.array([r[2] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
+            more = [batch.column("row")] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), spans, *more], ["doc_id", "lang_pred", "score", "spans"] + ["row"] * keep)
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    texts = doc_texts(docs, *[F.struct(*docs.columns).alias("row")] * keep)
+    schema = StructType.fromDDL("doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    return texts.mapInArrow(run, schema.add(texts.schema["row"]) if keep else schema)
