@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import entities, pii, transcript  # noqa: F401
+from . import compliance, entities, fraud, pii, transcript  # noqa: F401
 from .registry import SQL, all_queries
 
 
