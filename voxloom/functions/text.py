@@ -37,12 +37,12 @@ def word_grams(text: Column, longest: int) -> Column:
     return F.array_distinct(F.concat(*[runs(k) for k in range(1, longest + 1)]))
 
 
-def phrase_hits(segments: DataFrame, phrases: DataFrame, longest: int = 8) -> DataFrame:
+def phrase_hits(segments: DataFrame, phrases: DataFrame) -> DataFrame:
     """A row for each segment and phrase that stands in it as whole words.
 
     Runs of words are joined with phrases by equality, so the list may be long.
     """
     known = phrases.select(normal(F.col("phrase")).alias("gram"), *phrases.columns)
-    small = phrases.count() <= BROADCAST_PHRASES
-    grams = segments.withColumn("gram", F.explode(word_grams(F.col("text"), longest)))
-    return grams.join(F.broadcast(known) if small else known, "gram").drop("gram")
+    about = known.agg(F.count("*").alias("n"), F.max(F.size(F.split("gram", " "))).alias("longest")).first()
+    grams = segments.withColumn("gram", F.explode(word_grams(F.col("text"), about["longest"] or 1)))
+    return grams.join(F.broadcast(known) if about["n"] <= BROADCAST_PHRASES else known, "gram").drop("gram")
