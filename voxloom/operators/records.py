@@ -236,3 +236,22 @@ def latest_progress(events: DataFrame, finished: DataFrame) -> DataFrame:
     joined = last.join(finished.select("call_id").distinct().withColumn("there", F.lit(True)), "call_id", "left")
     open_ = ~F.col("status").isin("complete", "error")
     return joined.select("call_id", F.when(open_ & F.col("there"), "complete").when(open_, "error").otherwise(F.col("status")).alias("status"))
+
+
+def batch_summary(segments: DataFrame, unusable: float = 0.05) -> DataFrame:
+    """Calls of a batch by outcome: failed if a segment is hardly understood at all."""
+    per = segments.groupBy("call_id").agg(F.min("confidence").alias("least"), F.count("*").alias("n"))
+    return per.groupBy(F.when(F.col("least") < unusable, "failed").otherwise("done").alias("status")).agg(F.count("*").alias("n"), F.sum("n").alias("segments"))
+
+
+def compliance_view(scored: DataFrame, checks: DataFrame, signals: DataFrame) -> DataFrame:
+    """Score, reasons, names of failed checks and kinds of signals of each call."""
+    names = lambda rows, column, name: rows.groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_set(column)), ",").alias(name))
+    joined = scored.join(names(checks.where("not passed"), "check_name", "failed"), "call_id", "left").join(names(signals, "signal_type", "kinds"), "call_id", "left")
+    return joined.select("call_id", "compliance_score", "review_reasons", F.coalesce("failed", F.lit("")).alias("failed"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
+def score_checks(checks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Checks against expectations (call_id, check_name, want: whether it should pass; unknown ones should): hits, spurious failures and misses per check."""
+    want = F.coalesce("want", F.lit(True))
+    return checks.join(wanted, ["call_id", "check_name"], "left").groupBy("check_name").agg(F.count("*").alias("n"), F.count_if(~want & ~F.col("passed")).alias("hits"), F.count_if(want & ~F.col("passed")).alias("spurious"), F.count_if(~want & F.col("passed")).alias("misses"))

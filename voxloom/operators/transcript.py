@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal, phrase_hits, tokens, word_count
@@ -177,3 +177,34 @@ def language_profile(tags: DataFrame, group: str) -> DataFrame:
 def normal_text(segments: DataFrame) -> DataFrame:
     """Text as the phrase joins see it."""
     return segments.select("call_id", "segment_id", normal(F.col("text")).alias("normal"))
+
+
+# Words that follow a cue but are no names.
+NO_NAMES = ["calling", "from", "the", "and", "you", "sir", "madam", "your", "here"]
+
+
+def name_speakers(segments: DataFrame, reach: int = 4, least: int = 2) -> DataFrame:
+    """Names of speakers: two points for introducing oneself, two for the next other speaker within four segments after "X, over to you", from two points on; one name per speaker and one speaker per name, the most points first."""
+    who = lambda pattern: F.lower(F.regexp_extract("text", pattern, 1))
+    own = segments.select("call_id", "speaker", who(r"(?i)\bmy name is ([A-Z][a-z]+)").alias("name"), F.lit(2).alias("points"))
+    handed = segments.select("call_id", F.col("segment_id").alias("at"), F.col("speaker").alias("by"), who(r"(?i)\bthank you, ([A-Z][a-z]+), over to you").alias("name")).where("name <> ''")
+    near = handed.join(segments.select("call_id", "segment_id", "speaker"), "call_id").where((F.col("segment_id") > F.col("at")) & (F.col("segment_id") <= F.col("at") + reach) & (F.col("speaker") != F.col("by")))
+    first = near.groupBy("call_id", "at", "name").agg(F.min(F.struct("segment_id", "speaker")).alias("x")).select("call_id", F.col("x.speaker").alias("speaker"), "name", F.lit(2).alias("points"))
+    good = own.unionByName(first).where((F.length("name") > 2) & ~F.col("name").isin(*NO_NAMES))
+    sums = good.groupBy("call_id", "speaker", "name").agg(F.sum("points").alias("points")).where(F.col("points") >= least)
+    best = sums.withColumn("k", F.row_number().over(Window.partitionBy("call_id", "speaker").orderBy(F.desc("points"), "name"))).where("k = 1").drop("k")
+    return best.withColumn("k", F.row_number().over(Window.partitionBy("call_id", "name").orderBy(F.desc("points"), "speaker"))).where("k = 1").drop("k")
+
+
+def mark_entities(segments: DataFrame, entities: DataFrame) -> DataFrame:
+    """Text escaped for HTML, with the first place of each entity's mention marked, longer ones first."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lists = entities.groupBy("call_id", "segment_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("mention")).alias("n"), "mention", "entity_type"))).alias("found"))
+
+    def mark(text: Column, x: Column) -> Column:
+        m = escaped(x["mention"])
+        at = F.call_function("instr", text, m)
+        return F.when(at == 0, text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), F.lit('<mark class="'), x["entity_type"], F.lit('">'), m, F.lit("</mark>"), F.substring(text, at + F.length(m), F.length(text))))
+
+    joined = segments.join(lists, ["call_id", "segment_id"], "left")
+    return joined.select("call_id", "segment_id", F.when(F.col("found").isNull(), escaped(F.col("text"))).otherwise(F.aggregate("found", escaped(F.col("text")), mark)).alias("html"))

@@ -273,3 +273,45 @@ def qy17(c: Corpus) -> DataFrame:
     e = c.table("events")
     status = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "error").otherwise("running")
     return r.latest_progress(e.select(F.col("user_id").alias("call_id"), F.col("ts").alias("at"), status.alias("status")), e.where("user_id % 2 = 0").select(F.col("user_id").alias("call_id")))
+
+
+@query("io12_check_export", f"with {CHECKS} select call_id, check_name, passed, severity, segment_id, evidence from checks", USES)
+def io12(c: Corpus) -> DataFrame:
+    """A row for each check of the nested records."""
+    s, checks, _ = parts(c)
+    return r.explode_child(r.assemble(s.select("call_id").distinct(), checks=checks), "checks")
+
+
+@query("io20_batch_summary", "select case when min_confidence < 0.05 then 'failed' else 'done' end as status, count(*) as n, sum(n)::bigint as segments from (select call_id, min(confidence) as min_confidence, count(*) as n from segments group by call_id) group by 1", "segments")
+def io20(c: Corpus) -> DataFrame:
+    """Calls of a batch by outcome."""
+    return r.batch_summary(c.segments())
+
+
+@query("qy02_one_call", "select call_id, segment_id, text from segments where call_id = 7", "segments")
+def qy02(c: Corpus) -> DataFrame:
+    """One call; no rows if there is none."""
+    return c.segments().where("call_id = 7").select("call_id", "segment_id", "text")
+
+
+@query("qy07_compliance_view", f"""with {SCORED}, f as (select call_id, array_to_string(list_sort(list(distinct check_name)), ',') as failed from checks where not passed group by call_id), g as (select call_id, array_to_string(list_sort(list(distinct signal_type)), ',') as kinds from signals group by call_id)
+    select call_id, compliance_score, review_reasons, coalesce(failed, '') as failed, coalesce(kinds, '') as kinds from scored_calls left join f using (call_id) left join g using (call_id)""", USES)
+def qy07(c: Corpus) -> DataFrame:
+    """What a reviewer sees of a call's compliance."""
+    s, checks, signals = parts(c)
+    return r.compliance_view(r.score_calls(s.select("call_id", "call_type").distinct(), checks, signals), checks, signals)
+
+
+@query("qy09_review_counts", f"with {SCORED} select priority, risk_level, count(*) as n from scored_calls where review_required group by all", USES)
+def qy09(c: Corpus) -> DataFrame:
+    """The review queue by priority and risk."""
+    return r.review_queue(scored(c)).groupBy("priority", "risk_level").agg(F.count("*").alias("n"))
+
+
+@query("ev03_compliance_scoring", f"""with {CHECKS}, ex as (select call_id, check_name, segment_id % 2 = 0 as want from checks where segment_id is not null)
+    select check_name, count(*) as n, count(*) filter (not coalesce(want, true) and not passed) as hits, count(*) filter (coalesce(want, true) and not passed) as spurious, count(*) filter (not coalesce(want, true) and passed) as misses from checks left join (select call_id, check_name, bool_or(want) as want from ex group by all) e using (call_id, check_name) group by check_name""", USES)
+def ev03(c: Corpus) -> DataFrame:
+    """Checks scored against what is expected."""
+    checks = parts(c)[1]
+    wanted = checks.where("segment_id is not null").groupBy("call_id", "check_name").agg(F.bool_or(F.col("segment_id") % 2 == 0).alias("want"))
+    return r.score_checks(checks, wanted)

@@ -188,3 +188,14 @@ def tx23(c: Corpus) -> DataFrame:
 def io04(c: Corpus) -> DataFrame:
     """A language's phrases with the English ones."""
     return vocabulary.with_english(vocabulary.pack(c.spark), "hi").select("category", "subcategory", "phrase", "lang", "ord")
+
+
+@query("tx13_name_speakers", """with own as (select call_id, speaker, lower(regexp_extract(text, '(?i)\\bmy name is ([A-Z][a-z]+)', 1)) as name from segments_long),
+    handed as (select call_id, segment_id as placed, speaker as spoke, lower(regexp_extract(text, '(?i)\\bthank you, ([A-Z][a-z]+), over to you', 1)) as name from segments_long),
+    near as (select h.call_id, h.placed, h.name, arg_min(s.speaker, s.segment_id) as speaker from handed h join segments_long s on s.call_id = h.call_id and s.segment_id > h.placed and s.segment_id <= h.placed + 4 and s.speaker <> h.spoke where h.name <> '' group by all),
+    e as (select call_id, speaker, name from own union all select call_id, speaker, name from near), p as (select call_id, speaker, name, 2 * count(*) as points from e where length(name) > 2 and name not in ('calling', 'from', 'the', 'and', 'you', 'sir', 'madam', 'your', 'here') group by all),
+    b as (select * from (select *, row_number() over (partition by call_id, speaker order by points desc, name) as k from p) where k = 1)
+    select call_id, speaker, name, points from (select *, row_number() over (partition by call_id, name order by points desc, speaker) as j from b) where j = 1""", "segments segments_long")
+def tx13(c: Corpus) -> DataFrame:
+    """Names of speakers."""
+    return t.name_speakers(c.segments_long())
