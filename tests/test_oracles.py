@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numbers
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,9 +21,17 @@ TABLES = "orders lineitem events documents labels conversations".split()
 QUICK = "tx05_correct_terms tx12_map_roles tx16_merge_turns tx17_talk_time en01_amounts pi02_check_digits co04_agent_domination fr01_baselines in03_keyword_intents se04_trajectories em03_call_summary au07_merge_spans au12_splices rs06_supported_numbers io17_upsert mi12_split ev08_latency".split()
 
 
+def cell(v):
+    """A value in a form that both engines share."""
+    if not hasattr(v, "__len__") and pd.isna(v):
+        return None
+    return round(float(v), 6) if isinstance(v, numbers.Real) and not isinstance(v, bool | np.bool_) else str(v)
+
+
 def rows(frame) -> Counter:
+    """The rows of a frame, whatever their order."""
     frame = frame[sorted(frame.columns)]
-    return Counter(tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, int | float) and not isinstance(v, bool) or type(v).__name__.startswith(("int", "float")) else str(v) for v in row) for row in frame.itertuples(index=False, name=None))
+    return Counter(tuple(map(cell, row)) for row in frame.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", QUICK)
