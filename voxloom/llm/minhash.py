@@ -8,15 +8,16 @@ all but five in a million pairs at 0.75.
 
 Documents with equal sets stand for one another. In a band's bucket every
 document is compared with the one of smallest id, which resolves a group of
-copies with as many comparisons as it has members. What is compared further are
-pairs that still lie in different components, share a bucket and have fitting
-sizes; large buckets are first split by the bands that such pairs share besides.
+copies with as many comparisons as it has members. Where a bucket still holds
+different components afterwards, its documents are compared by one-bit sketches,
+in blocks of bounded size, and only pairs whose sketches allow the similarity
+(all but a few in a million of those that have it) are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ from .common import LOWER, Rolling, chunks, mix, ragged, utf8, words, written
 
 SHINGLE = 5
 PERMUTATIONS, ROWS = 64, 4
-#: Buckets with more documents than this are split before pairs are formed.
-LARGE = 64
+#: Documents of a bucket in a block, and bits of a sketch (two for each of further permutations).
+BLOCK, SKETCH = 2048, 8192
 _XOR = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))
 _TIMES = mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
+_SKETCH_XOR = mix(np.arange(5001, 5001 + SKETCH // 2, dtype=np.uint64))
+_SKETCH_TIMES = mix(np.arange(9001, 9001 + SKETCH // 2, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +82,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """A bit of the minimum and of the maximum of a set under each further permutation, as 64-bit words."""
+    bits = np.empty((2, SKETCH // 2), bool)
+    for k in range(0, SKETCH // 2, 64):
+        permuted = (elements[:, None] ^ _SKETCH_XOR[k : k + 64]) * _SKETCH_TIMES[k : k + 64]
+        permuted ^= permuted >> np.uint64(32)
+        bits[0, k : k + 64], bits[1, k : k + 64] = permuted.min(0) & np.uint64(1), permuted.max(0) & np.uint64(1)
+    return np.packbits(bits).view(np.uint64)
+
+
+def least_agreement(percent: int) -> float:
+    """Sketch bits that agree, 4.5 deviations below the mean of a pair of exactly this similarity."""
+    p = 0.5 + percent / 200
+    return SKETCH * p - 4.5 * (SKETCH * p * (1 - p)) ** 0.5
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), digest of the set (null if empty), and its band keys."""
 
@@ -163,7 +182,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     alike = written(named.groupBy("digest").agg(F.min("doc_id").alias("id")), "alike")
     first = named.join(alike.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     rows = first.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "bands")
-    banded = rows.select("id", "n", F.explode("bands").alias("key"))
+    banded = rows.select("id", "n", F.posexplode("bands").alias("band", "key"))
     centres = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
     shared = written(banded.join(centres, "key"), "buckets")  # only buckets with company
     nodes = shared.select(F.col("id").alias("doc_id")).distinct()
@@ -174,7 +193,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     star = star.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").where(_fitting(percent))
     links = written(confirmed(star, sets, percent), "links")
     labels = components(links)
-    rest = written(_open_pairs(shared, labels, percent), "pairs")
+    rest = written(_open_pairs(shared, sets, labels, percent), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(confirmed(rest, sets, percent))
         labels = components(links)
@@ -186,16 +205,84 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of fitting size that share a bucket and lie in different components."""
-    named = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = written(named.join(mixed.select("key", "size"), "key"), "mixed")
-    small = members.where(F.col("size") <= LARGE).select("key", "id", "n", "label")
-    large = members.where(F.col("size") > LARGE)
-    other = members.select("id", F.col("key").alias("second")).distinct()
-    split = large.join(other, "id").where("second <> key").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id", "n", "label").distinct()
-    kept = split.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rows = small.unionByName(split.join(kept, "key", "left_semi"))
-    left, right = rows.select("key", F.col("id").alias("a"), "n", F.col("label").alias("x")), rows.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _fitting(percent)).select("a", "b").distinct()
+def _open_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of fitting size and sketch that share a bucket and lie in different components, each in the first bucket they share.
+
+    A bucket of more than BLOCK documents is dealt out as pairs of blocks.
+    """
+    named = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "n", F.coalesce("label", "id").alias("label"))
+    mixed = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), "mixed")
+    members = written(named.join(mixed, "key"), "members")
+    keys = members.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sketch(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column("elements").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.binary())], ["id", "sketch"])
+
+    drawn = sets.join(keys.select("id"), "id", "left_semi").mapInArrow(draw, "id long, sketch binary")
+    bands = 2 * PERMUTATIONS // ROWS
+    ordered = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.element_at("keys", k), F.col("id") * bands + k))  # buckets without company equal none
+    about = written(keys.join(drawn, "id").select("id", "sketch", ordered.alias("bands")), "about")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = members.join(about, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "id", "n", "label", "bands", "sketch")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(percent), "a long, b long")
+
+
+def _compare(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares all documents of each group of rows in order of key, i, j."""
+    enough = least_agreement(percent)
+
+    def group(rows: dict[str, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        r = {k: v[first:last] for k, v in rows.items()}
+        left = np.flatnonzero(r["block"] == r["i"])
+        right = left if r["i"][0] == r["j"][0] else np.flatnonzero(r["block"] == r["j"])
+        a, b, found = r["n"][left, None], r["n"][None, right], []
+        fits = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (r["label"][left, None] != r["label"][None, right])
+        if right is left:
+            fits &= left[:, None] < right[None, :]
+        x, y = np.nonzero(fits)
+        x, y = left[x], right[y]
+        for start in range(0, len(x), 1 << 16):
+            p, q = x[start : start + (1 << 16)], y[start : start + (1 << 16)]
+            agree = SKETCH - np.bitwise_count(r["sketch"][p] ^ r["sketch"][q]).sum(1, dtype=np.int64)
+            p, q = p[agree >= enough], q[agree >= enough]
+            if len(p):
+                own = (r["bands"][p] == r["bands"][q]).argmax(1) == r["band"][0]
+                found.append((r["id"][p[own]], r["id"][q[own]]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        p, q = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.minimum(p, q), np.maximum(p, q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "block", "band", "id", "n", "label")}
+            rows["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+            rows["sketch"] = utf8(table.column("sketch"))[0].view(np.uint64).reshape(table.num_rows, -1)
+            new = np.ones(table.num_rows, bool)
+            new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])
+            bounds = np.append(np.flatnonzero(new), table.num_rows)
+            found = [group(rows, a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = [batch.column(c)[-1].as_py() for c in ("key", "i", "j")]
+            last = np.ones(batch.num_rows, bool)
+            for c, end in zip(("key", "i", "j"), ends, strict=True):
+                last &= batch.column(c).to_numpy() == end
+            cut = batch.num_rows - int(last.sum())
+            if cut or not waiting or [waiting[0].column(c)[0].as_py() for c in ("key", "i", "j")] != ends:
+                yield from pairs(pa.Table.from_batches([*waiting, batch.slice(0, cut)])) if waiting or cut else ()
+                waiting = []
+            waiting.append(batch.slice(cut))
+        if waiting:
+            yield from pairs(pa.Table.from_batches(waiting))
+
+    return run
