@@ -163,11 +163,12 @@ def settle(runs: DataFrame, shared: DataFrame, earlier: bool, name: str) -> tupl
     ``shared`` has the cores that count. With ``earlier``, only a smaller doc_id
     covers a run; otherwise any other run does.
     """
-    here = written(runs.join(shared.select("core"), "core", "left_semi"), name)
-    per = here.groupBy("core", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rid", "at", "n", "anchor")).alias("one"))
+    counted = written(shared.select("core"), name)  # so that both sides of each join are dealt out for it alone, and large keys can be split
+    here = written(runs.join(counted, "core", "left_semi"), name)
+    per = written(here.groupBy("core", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rid", "at", "n", "anchor")).alias("one")), name)
     covering = F.col("one.doc_id") < F.col("doc_id") if earlier else F.lit(True)
     covered = here.join(per.where("times > 1").select("core", "ctx", "one"), ["core", "ctx"]).where(covering)
-    several = per.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = written(per.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1").select("core"), name)
     left = per.join(several, "core", "left_semi").select("one.*")
     return covered.select("rid", "at", "n", F.col("one.doc_id").alias("source")), left
 
