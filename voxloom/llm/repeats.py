@@ -190,6 +190,7 @@ def repeated(keyed_docs: DataFrame, shape: Shape, earlier: bool, shared: Callabl
         keyed_docs = keyed_docs.where("doc_id is not null")
     runs = written(first_runs(keyed_docs, shape), "runs")
     covered, left = settle(runs, shared(runs) if shared else shared_cores(runs, earlier), earlier, "settled")
+    keyed_docs = written(keyed_docs.join(left.select("rid").distinct(), "rid", "left_semi"), "texts")  # the few that are looked at again
     for step in shape.steps:
         runs = written(shorter_runs(keyed_docs, left, shape, step), "runs")
         more, left = settle(runs, shared_cores(runs, earlier), earlier, "settled")
