@@ -11,7 +11,7 @@ import numpy as np
 from .common import Rolling, ragged
 
 #: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 800_000
 _COARSE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
