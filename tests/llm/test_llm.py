@@ -95,6 +95,32 @@ def test_substring_dedup(spark, docs):
     assert all(r["row"]["key"] == "x" for r in found)
 
 
+def removed_words(texts: list[str]) -> dict[int, tuple[int, str]]:
+    """By the definition, for texts in order of doc_id: how many words go, and what is kept."""
+    first, out = {}, {}
+    for k, text in enumerate(texts):
+        w = WORD.findall(text)
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), k) < k:
+                gone[i : i + 50] = [True] * 50
+        out[k] = (sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return out
+
+
+def test_substring_dedup_of_a_passage_that_a_block_repeats(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, other = text(60), text(70)
+    block = f"{text(80)} {other} {text(80)}"
+    texts = [f"{text(40)} {passage} {text(40)}", f"{text(30)} " + " ".join([passage] * 4), f"{text(50)} {other} {text(50)}", f"{block} {text(20)} {block} {text(20)} {block}", f"{text(60)} {passage} {passage} {text(10)} {other}"]
+    rows = [*enumerate(texts), (3, texts[3])]
+    found = rlz.parse(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    want = removed_words(texts)
+    assert [(r["doc_id"], r["n_removed"], r["kept"]) for r in found if (r["n_removed"], r["kept"]) != want[r["doc_id"]]] == []
+
+
 def test_near_duplicates(spark, docs):
     rows = {r[0]: r[1] for r in made_rows() if r[0] is not None}
     sets = {k: shingles(t) for k, t in rows.items()}

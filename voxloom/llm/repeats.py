@@ -10,7 +10,9 @@ windows with one anchor are a run, and a run is what is compared first:
 - its context, all that its windows cover; equal contexts settle all windows of
   all but one of the runs that have it;
 - what is left, one run for each context of a core with several contexts, is
-  cut into shorter runs, at last into single windows, and compared again.
+  cut into shorter runs, at last into single windows, and compared again. Where
+  only earlier documents count, these are all runs of the context's first
+  document, as none of them covers another.
 
 Cores and contexts are compared by 64-bit fingerprints, grouped with partial
 sums, and joined back, so a core that a third of all documents share is
@@ -158,10 +160,11 @@ def shorter_runs(keyed_docs: DataFrame, left: DataFrame, shape: Shape, step: int
 
 
 def settle(runs: DataFrame, shared: DataFrame, earlier: bool, name: str) -> tuple[DataFrame, DataFrame]:
-    """What equal contexts settle: covered runs (with the source of each), and one run for each context that needs a closer look.
+    """What equal contexts settle: covered runs (with the source of each), and the runs that need a closer look.
 
     ``shared`` has the cores that count. With ``earlier``, only a smaller doc_id
-    covers a run; otherwise any other run does.
+    covers a run, and all runs of a context's smallest doc_id are looked at again;
+    otherwise any other run covers it, and one run for each context is.
     """
     counted = written(shared.select("core"), name)  # so that both sides of each join are dealt out for it alone, and large keys can be split
     here = written(runs.join(counted, "core", "left_semi"), name)
@@ -169,7 +172,12 @@ def settle(runs: DataFrame, shared: DataFrame, earlier: bool, name: str) -> tupl
     covering = F.col("one.doc_id") < F.col("doc_id") if earlier else F.lit(True)
     covered = here.join(per.where("times > 1").select("core", "ctx", "one"), ["core", "ctx"]).where(covering)
     several = written(per.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1").select("core"), name)
-    left = per.join(several, "core", "left_semi").select("one.*")
+    left = per.join(several, "core", "left_semi")
+    if earlier:
+        least = left.select("core", "ctx", F.col("one.doc_id").alias("doc_id"))
+        left = here.join(least, ["core", "ctx", "doc_id"], "left_semi").select("doc_id", "rid", "at", "n", "anchor").distinct()  # rows alike share their runs
+    else:
+        left = left.select("one.*")
     return covered.select("rid", "at", "n", F.col("one.doc_id").alias("source")), left
 
 
@@ -190,6 +198,8 @@ def repeated(keyed_docs: DataFrame, shape: Shape, earlier: bool, shared: Callabl
         keyed_docs = keyed_docs.where("doc_id is not null")
     runs = written(first_runs(keyed_docs, shape), "runs")
     covered, left = settle(runs, shared(runs) if shared else shared_cores(runs, earlier), earlier, "settled")
+    if earlier:
+        left = written(left, "left")
     keyed_docs = written(keyed_docs.join(left.select("rid").distinct(), "rid", "left_semi"), "texts")  # the few that are looked at again
     for step in shape.steps:
         runs = written(shorter_runs(keyed_docs, left, shape, step), "runs")
