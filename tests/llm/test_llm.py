@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxloom.llm import decontam, html_extract, langid, licenses, minhash, packing, queries, rlz, suffix_dedup, token_store, webp
+from voxloom.llm import decontam, html_extract, langid, licenses, minhash, packing, queries, repeats, rlz, suffix_dedup, token_store, webp
 from voxloom.llm.common import shared_dir, utf8, written
 from voxloom.llm.tokens import encoder
 
@@ -121,6 +121,24 @@ def test_substring_dedup_of_a_passage_that_a_block_repeats(spark):
     assert [(r["doc_id"], r["n_removed"], r["kept"]) for r in found if (r["n_removed"], r["kept"]) != want[r["doc_id"]]] == []
 
 
+def test_runs_of_long_texts_beside_others(monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", 100)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(n)) for n in (70, 350, 20, 100, 249, 101, 60)]
+
+    class Batches:
+        def __init__(self, rows: list[int]):
+            self.batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(rows, pa.int64()), pa.array([texts[k] for k in rows])], ["rid", "doc_id", "text"])
+
+        def mapInArrow(self, make, schema):  # noqa: N802
+            return [tuple(r.values()) for b in make(iter([self.batch])) for r in b.to_pylist()]
+
+    together = repeats.first_runs(Batches([*range(7)]), repeats.WORDS)
+    assert sorted(together) == sorted(r for k in range(7) for r in repeats.first_runs(Batches([k]), repeats.WORDS))
+    windows = Counter((doc_id, i) for _, _, _, doc_id, at, n, _ in together for i in range(at, at + n))
+    assert windows == Counter((k, i) for k, t in enumerate(texts) for i in range(len(t.split()) - 49))
+
+
 def test_near_duplicates(spark, docs):
     rows = {r[0]: r[1] for r in made_rows() if r[0] is not None}
     sets = {k: shingles(t) for k, t in rows.items()}

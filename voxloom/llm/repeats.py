@@ -125,15 +125,17 @@ def first_runs(keyed_docs: DataFrame, shape: Shape) -> DataFrame:
         for batch in chunks(batches, "text", shape.chunk):
             codes, offsets = shape.units(batch.column("text"))
             rid, doc_id = batch.column("rid"), batch.column("doc_id")
-            long = np.flatnonzero(np.diff(offsets) > SEGMENT)
-            if len(long):  # then the batch is that one text
-                end = int(offsets[-1])
-                for start in range(0, end, SEGMENT):
-                    piece = codes[start : min(end, start + SEGMENT + shape.window - 1)]
+            lengths = np.diff(offsets)
+            long = lengths > SEGMENT
+            for k in np.flatnonzero(long):
+                for start in range(0, int(lengths[k]), SEGMENT):
+                    piece = codes[offsets[k] + start : min(offsets[k + 1], offsets[k] + start + SEGMENT + shape.window - 1)]
                     text, at, n, anchor, core, ctx = runs_of(piece, np.array([0, len(piece)]), shape.window, shape.gram)
-                    yield _runs(rid, doc_id, text, at + start, n, anchor + start, core, ctx)
-            else:
-                yield _runs(rid, doc_id, *runs_of(codes, offsets, shape.window, shape.gram))
+                    yield _runs(rid, doc_id, text + k, at + start, n, anchor + start, core, ctx)
+            if long.any():
+                codes, offsets = codes[np.repeat(~long, lengths)], np.append(0, np.cumsum(lengths[~long]))
+            text, *rest = runs_of(codes, offsets, shape.window, shape.gram)
+            yield _runs(rid, doc_id, np.flatnonzero(~long)[text], *rest)
 
     return keyed_docs.mapInArrow(make, RUN)
 
