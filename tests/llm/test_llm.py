@@ -313,6 +313,17 @@ def test_misnested_pages():
     assert html.unescape("&amp;") == "&"
 
 
+def test_pages_without_an_end_of_head():
+    def texts(page: str) -> list[str]:
+        return [b.text for b in html_extract.blocks_of(page)]
+
+    head = "<html><head><meta charset=utf-8><title>t</title><style>s</style>\n"
+    for start in ("<body>", "<div>", "<p>", "", "<noscript>n</noscript><script>x</script><p>", "<noscript>n<body>"):
+        assert texts(head + start + "a<p>b") == ["a", "b"], start
+    assert texts(head + "<noscript><p>n</noscript><template><p>u</template><link rel=x></head><body>a") == ["a"]
+    assert html_extract.blocks_of(head + "<body><p>a") == html_extract.blocks_of(head + "</head><body><p>a")
+
+
 def test_media_round_trip(spark, docs):
     found = Counter((r["doc_id"], r["payload_sha256"]) for r in webp.payloads(webp.media(docs)).collect())
     want = Counter()

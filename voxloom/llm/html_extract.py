@@ -30,6 +30,8 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 HIDDEN = frozenset("script style template noscript iframe noembed noframes svg math head title textarea select option object canvas audio video xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements that may stand in head; any other one ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An open element of these bounds what an implied end tag closes.
 SCOPES = frozenset("html body article section main div aside nav header footer table td th ul ol dl form blockquote figure".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -80,6 +82,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked, path
+        if hidden and stack[-1][0] == "head" and text.strip(" \t\n\f\r"):
+            leave_head("")
         if not text or hidden:
             return
         if not parts or not path:
@@ -94,6 +98,14 @@ def blocks_of(page: str) -> list[Block]:
             hidden -= tag in HIDDEN
         del stack[to:]
 
+    def leave_head(tag: str) -> None:
+        """Closes an open head and what is open in it; a template or noscript there keeps its elements, but for body in noscript."""
+        names = [name for name, _ in stack]
+        if "head" in names:
+            k = names.index("head")
+            if "template" not in names[k:] and ("noscript" not in names[k:] or tag == "body"):
+                pop(k)
+
     at = 0
     while m := _TAG.search(page, at):
         add(page[at : m.start()])
@@ -114,6 +126,8 @@ def blocks_of(page: str) -> list[Block]:
                 if inline and stack[k][0] not in INLINE:
                     break
             continue
+        if hidden and tag not in IN_HEAD:
+            leave_head(tag)
         if tag in VOID or m[3].endswith("/"):
             continue
         if not inline:
