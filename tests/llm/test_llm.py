@@ -324,6 +324,20 @@ def test_pages_without_an_end_of_head():
     assert html_extract.blocks_of(head + "<body><p>a") == html_extract.blocks_of(head + "</head><body><p>a")
 
 
+def test_all_words_of_a_long_block_count():
+    ends = "a b c " * 40
+
+    def words(text: str) -> list[float]:
+        return html_extract.vectors([html_extract.Block(("p",), text, 0)])[0, html_extract.PATH_SIZE : html_extract.PATH_SIZE + html_extract.WORD_SIZE].tolist()
+
+    sums = np.zeros(html_extract.WORD_SIZE, np.float32)
+    for w in f"{ends}{'middle ' * 30}{ends}".split():
+        k, sign = html_extract._hashed(w, html_extract.WORD_SIZE)
+        sums[k] += sign
+    assert words(f"{ends}{'middle ' * 30}{ends}") == pytest.approx((sums / np.sqrt(sums @ sums)).tolist())
+    assert words(f"{ends}{'middle ' * 30}{ends}") != words(f"{ends}{'centre ' * 30}{ends}")
+
+
 def test_media_round_trip(spark, docs):
     found = Counter((r["doc_id"], r["payload_sha256"]) for r in webp.payloads(webp.media(docs)).collect())
     want = Counter()

@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from random import Random
 
 import numpy as np
@@ -151,6 +152,7 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+@lru_cache(1 << 16)
 def _hashed(name: str, size: int) -> tuple[int, float]:
     h = zlib.crc32(name.encode())
     return h % size, 1.0 if h >> 31 else -1.0
@@ -179,14 +181,13 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), SIZE), np.float32)
     for row, b in zip(out, blocks, strict=True):
         row[:PATH_SIZE] = _path_vector(b.path)
-        head = b.text if len(b.text) <= 400 else b.text[:200] + " " + b.text[-200:]
-        found = _WORD.findall(head.lower())
-        for w in found:
+        sums = [0.0] * WORD_SIZE
+        for w in _WORD.findall(b.text.lower()):
             k, sign = _hashed(w, WORD_SIZE)
-            row[PATH_SIZE + k] += sign
-        if found:
-            words = row[PATH_SIZE : PATH_SIZE + WORD_SIZE]
-            words /= max(1.0, float(np.sqrt(words @ words)))
+            sums[k] += sign
+        words = row[PATH_SIZE : PATH_SIZE + WORD_SIZE]
+        words[:] = sums
+        words /= max(1.0, float(np.sqrt(words @ words)))
         n = len(b.text)
         row[-EXTRA:] = (np.log1p(n) / 5 - 0.8, b.linked / n, len(b.path) / 8, b.text[-1] in ".!?", min(n, 400) / 400)
     return out
