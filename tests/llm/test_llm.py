@@ -275,6 +275,23 @@ def test_licenses(spark):
     assert [found[k]["license"] for k in range(1, 6)] == ["mit", "cc-by-nc-4.0", None, None, "isc"]
 
 
+def test_standard_notices_and_texts_of_licenses():
+    matcher = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+
+    def best(text: str) -> str | None:
+        found = [(-dice, name) for block in licenses.blocks(text) for name, dice in matcher.of(block)]
+        return min(found)[1] if found else None
+
+    for name, texts in licenses.TEMPLATES.items():
+        assert [best(t) for t in texts] == [name] * len(texts)
+    gnu = "This {} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+    assert [best(gnu.format(*x)) for x in (("program", "", "2"), ("program", "", "3"), ("library", "Lesser ", "2.1"), ("library", "Lesser ", "3"))] == ["gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0"]
+    intro = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    items = ["1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n   documentation and/or other materials provided with the distribution.", "3. Neither the name of the University nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission."]
+    assert best("\n".join([intro, *items[:2]])) == "bsd-2-clause"
+    assert best("\n".join([intro, *items])) == best("\n\n".join([intro, *items])) == "bsd-3-clause"
+
+
 def test_pages():
     network = html_extract.train(html_extract.training_pages())
     held_out = html_extract.training_pages(100, 99)
