@@ -190,6 +190,13 @@ def test_contained_items(spark, docs):
     assert decontam.containments(spark, docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_items_that_share_an_id_or_have_none(spark, docs):
+    long = made_rows()[17][1].split()
+    items = [(1, "a text that is nowhere at all"), (1, " ".join(long[1000:1040])), (1, " ".join([*long[50:80], "nowhere"])), (None, "short text"), (None, " ".join(long[200:240])), (2, None)]
+    found = collected(decontam.containments(spark, docs, spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id")
+    assert {k: (r["n_found"], r["n_shingles"], r["containment"]) for k, r in found.items()} == {(17, 1): (36, 36, 1.0), (17, None): (36, 36, 1.0), (11, None): (1, 1, 1.0), (12, None): (1, 1, 1.0)}
+
+
 def test_tokens_equal_the_library(docs):
     texts = [r[1] or "" for r in made_rows()]
     ids, offsets = encoder(TOKENIZER).encode(*utf8(pa.array(texts)))

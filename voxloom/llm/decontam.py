@@ -47,25 +47,25 @@ def hashes(words: str, width: int) -> Column:
 
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:
-    """item_id, width, shingle, hash and n (the item's distinct shingles). An item of fewer words is one shingle of them all; one without words is left out."""
-    words = benchmark.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", words_of(F.col("text")).alias("w"))
+    """key, item_id, width, shingle, hash and n (the item's distinct shingles). Each pair of item_id and text is an item with a key of its own. An item of fewer words is one shingle of them all; one without words is left out."""
+    words = benchmark.select("item_id", "text").distinct().select(F.xxhash64("item_id", "text").alias("key"), "item_id", words_of(F.col("text")).alias("w"))
     parts = []
     for width in range(1, SHINGLE + 1):
         fits = F.size("w") >= width if width == SHINGLE else F.size("w") == width
         both = F.arrays_zip(shingles("w", width).alias("shingle"), hashes("w", width).alias("hash"))
-        parts.append(words.where(fits).select("item_id", F.lit(width).alias("width"), F.array_distinct(both).alias("s")))
+        parts.append(words.where(fits).select("key", "item_id", F.lit(width).alias("width"), F.array_distinct(both).alias("s")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return rows.select("item_id", "width", F.size("s").alias("n"), F.inline("s"))
+    return rows.select("key", "item_id", "width", F.size("s").alias("n"), F.inline("s"))
 
 
 def signature(items: DataFrame, percent: int) -> DataFrame:
-    """item_id, width and hash of each item's signature."""
+    """key, width and hash of each item's signature."""
     upper = FIRST_SIZE * F.pow(2.0, F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / FIRST_SIZE))))
     sketch = F.floor((100 - percent) * upper / 100).cast("int") + 1
-    per_item = items.groupBy("item_id", "width", "n").agg(F.array_sort(F.collect_set("hash")).alias("all"))
-    return per_item.select("item_id", "width", F.explode(F.slice("all", F.lit(1), sketch)).alias("hash"))
+    per_item = items.groupBy("key", "width", "n").agg(F.array_sort(F.collect_set("hash")).alias("all"))
+    return per_item.select("key", "width", F.explode(F.slice("all", F.lit(1), sketch)).alias("hash"))
 
 
 def containments(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
@@ -73,8 +73,9 @@ def containments(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, per
 
     Columns: n_found, n_shingles and containment besides. Null and empty texts
     contain nothing; rows of one doc_id are judged each, and a pair found more
-    than once is listed once, with the most shingles found. Null doc_ids are
-    left out. Of rows of one item_id the first text counts.
+    more than once is listed once, with the largest containment (of equals, the
+    most shingles found). Null doc_ids are left out. Each text of an item_id is
+    searched by itself; texts without an item_id are listed under null.
     """
     items = written(item_shingles(benchmark), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
@@ -97,8 +98,9 @@ def containments(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, per
     found = placed(worded, hashes, "hash").join(F.broadcast(sketch) if few else sketch, ["width", "hash"], "left_semi")
     candidates = written(found.select("rid").distinct(), "candidates")
     near = placed(texts.join(candidates, "rid", "left_semi").select("rid", "doc_id", words_of(F.col("text")).alias("w")), lambda w, k: F.array_distinct(shingles(w, k)), "shingle")
-    known = items.select("item_id", "width", "shingle", "n")
-    counted = near.join(F.broadcast(known) if few else known, ["width", "shingle"]).groupBy("rid", "doc_id", "item_id", "n").agg(F.count("*").alias("n_found"))
+    known = items.select("key", "item_id", "width", "shingle", "n")
+    counted = near.join(F.broadcast(known) if few else known, ["width", "shingle"]).groupBy("rid", "doc_id", "key", "item_id", "n").agg(F.count("*").alias("n_found"))
     enough = counted.where(100 * F.col("n_found") >= percent * F.col("n"))
-    best = enough.groupBy("doc_id", "item_id").agg(F.max("n_found").alias("n_found"), F.max("n").cast("long").alias("n_shingles"))
+    most = F.max(F.struct(F.col("n_found") / F.col("n"), "n_found", F.col("n").cast("long").alias("n_shingles")))
+    best = enough.groupBy("doc_id", "item_id").agg(most.alias("most")).select("doc_id", "item_id", "most.n_found", "most.n_shingles")
     return best.withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 6))
