@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at once.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker: either side holds a few of them for each task.
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder."""
+    """One table of a data folder. Python workers of the session get BATCH_BYTES at once from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

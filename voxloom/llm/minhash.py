@@ -30,6 +30,8 @@ SHINGLE = 5
 PERMUTATIONS, ROWS = 64, 4
 #: Documents of a bucket in a block, and bits of a sketch (two for each of further permutations).
 BLOCK, SKETCH = 2048, 8192
+#: Documents of a block that are compared with another block at once.
+STRIP = 128
 _XOR = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))
 _TIMES = mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _SKETCH_XOR = mix(np.arange(5001, 5001 + SKETCH // 2, dtype=np.uint64))
@@ -83,13 +85,19 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """A bit of the minimum and of the maximum of a set under each further permutation, as 64-bit words."""
-    bits = np.empty((2, SKETCH // 2), bool)
-    for k in range(0, SKETCH // 2, 64):
-        permuted = (elements[:, None] ^ _SKETCH_XOR[k : k + 64]) * _SKETCH_TIMES[k : k + 64]
-        permuted ^= permuted >> np.uint64(32)
-        bits[0, k : k + 64], bits[1, k : k + 64] = permuted.min(0) & np.uint64(1), permuted.max(0) & np.uint64(1)
-    return np.packbits(bits).view(np.uint64)
+    """A bit of the minimum and of the maximum of a set under each further permutation, as 64-bit words.
+
+    Elements are taken in parts, so that a very long text needs no more memory than a short one.
+    """
+    low, high = np.full(SKETCH // 2, ~np.uint64(0)), np.zeros(SKETCH // 2, np.uint64)
+    for part in range(0, len(elements), 1 << 11):
+        some = elements[part : part + (1 << 11), None]
+        for k in range(0, SKETCH // 2, 64):
+            permuted = (some ^ _SKETCH_XOR[k : k + 64]) * _SKETCH_TIMES[k : k + 64]
+            permuted ^= permuted >> np.uint64(32)
+            np.minimum(low[k : k + 64], permuted.min(0), out=low[k : k + 64])
+            np.maximum(high[k : k + 64], permuted.max(0), out=high[k : k + 64])
+    return np.packbits(np.stack([low, high]) & np.uint64(1) > 0).view(np.uint64)
 
 
 def least_agreement(percent: int) -> float:
@@ -118,32 +126,29 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """id and elements: the sorted shingle hashes of each document, eight bytes each."""
+    """id and elements: the sorted shingle hashes of each document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=1 << 20):
             hashes, offsets = shingle_sets(*utf8(batch.column("text")))
-            packed = pa.array([hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))], ["id", "elements"])
 
-    return docs.mapInArrow(make, "id long, elements binary")
+    return docs.mapInArrow(make, "id long, elements array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs a, b whose sets have 100 * intersection >= percent * union."""
+    """Those pairs a, b whose sets have 100 * intersection >= percent * union.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True))
-                keep.append(100 * both >= percent * (len(x) // 8 + len(y) // 8 - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    Sets stay in the JVM and are compared one pair at a time; pairs whose sizes
+    rule the similarity out go before the second set is fetched.
+    """
+    pairs = pairs.select("a", "b", *[c for c in ("n",) if c in pairs.columns])
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("left")), "a")
+    if "n" in pairs.columns:
+        left = left.where(_fitting(F.col("n"), F.size("left"), percent))
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b")
+    common = F.size(F.array_intersect("left", "right"))
+    return both.where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,8 +170,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _fitting(percent: int) -> F.Column:
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")).alias("fits")
+def _fitting(n: F.Column, m: F.Column, percent: int) -> F.Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -188,9 +193,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     nodes = shared.select(F.col("id").alias("doc_id")).distinct()
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sets = written(sets_of(text.join(nodes, "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
-    sizes = shared.select("id", "n").distinct()
     star = shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "n").distinct()
-    star = star.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").where(_fitting(percent))
     links = written(confirmed(star, sets, percent), "links")
     labels = components(links)
     rest = written(_open_pairs(shared, sets, labels, percent), "pairs")
@@ -217,7 +220,9 @@ def _open_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sketch(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column("elements").to_pylist()]
+            offsets = batch.column("elements").offsets.to_numpy()
+            elements = batch.column("elements").values.to_numpy().view(np.uint64)
+            words = [sketch(elements[a:b]).tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.binary())], ["id", "sketch"])
 
     drawn = sets.join(keys.select("id"), "id", "left_semi").mapInArrow(draw, "id long, sketch binary")
@@ -238,19 +243,21 @@ def _compare(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         r = {k: v[first:last] for k, v in rows.items()}
         left = np.flatnonzero(r["block"] == r["i"])
         right = left if r["i"][0] == r["j"][0] else np.flatnonzero(r["block"] == r["j"])
-        a, b, found = r["n"][left, None], r["n"][None, right], []
-        fits = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (r["label"][left, None] != r["label"][None, right])
-        if right is left:
-            fits &= left[:, None] < right[None, :]
-        x, y = np.nonzero(fits)
-        x, y = left[x], right[y]
-        for start in range(0, len(x), 1 << 16):
-            p, q = x[start : start + (1 << 16)], y[start : start + (1 << 16)]
-            agree = SKETCH - np.bitwise_count(r["sketch"][p] ^ r["sketch"][q]).sum(1, dtype=np.int64)
-            p, q = p[agree >= enough], q[agree >= enough]
-            if len(p):
-                own = (r["bands"][p] == r["bands"][q]).argmax(1) == r["band"][0]
-                found.append((r["id"][p[own]], r["id"][q[own]]))
+        m, found = r["n"][right], []
+        for strip in range(0, len(left), STRIP):
+            some = left[strip : strip + STRIP]
+            n = r["n"][some, None]
+            fits = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (r["label"][some, None] != r["label"][right])
+            if right is left:
+                fits &= some[:, None] < right
+            x, y = np.nonzero(fits)
+            for start in range(0, len(x), 1 << 12):
+                p, q = some[x[start : start + (1 << 12)]], right[y[start : start + (1 << 12)]]
+                agree = SKETCH - np.bitwise_count(r["sketch"][p] ^ r["sketch"][q]).sum(1, dtype=np.int64)
+                p, q = p[agree >= enough], q[agree >= enough]
+                if len(p):
+                    own = (r["bands"][p] == r["bands"][q]).argmax(1) == r["band"][0]
+                    found.append((r["id"][p[own]], r["id"][q[own]]))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         p, q = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
