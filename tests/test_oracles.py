@@ -61,9 +61,18 @@ def test_words_to_number(spark):
 
 
 def test_masks_overlapping_spans(spark):
-    texts = spark.createDataFrame([(1, 0, "mail a.b@c.org now"), (1, 1, None), (1, 2, "nothing")], "call_id int, segment_id int, text string")
-    masked = {r["segment_id"]: r["text"] for r in pii.mask_spans(texts, pii.detect(texts, ["call_id", "segment_id"]), ["call_id", "segment_id"]).collect()}
-    assert masked == {0: "mail a***@c.org now", 1: None, 2: "nothing"}
+    key = ["call_id", "segment_id"]
+    said = ["mail a.b@c.org now", None, "nothing", "mail a.b@c.org or again a.b@c.org now", "card 4539 5787 6362 1486 " + "x " * 200 + "4539 5787 6362 1486", ""]
+    texts = spark.createDataFrame([(1, k, t) for k, t in enumerate(said)], "call_id int, segment_id int, text string")
+    masked = {r["segment_id"]: r["text"] for r in pii.mask_spans(texts, pii.places(texts, key), key).collect()}
+    assert masked == {0: "mail a***@c.org now", 1: None, 2: "nothing", 3: "mail a***@c.org or again a***@c.org now", 4: "card XXXXXXXXXXXX1486 " + "x " * 200 + "XXXXXXXXXXXX1486", 5: ""}
+    assert pii.detect(texts, key).count() == 3
+
+
+def test_spans_that_overlap_in_a_chain_are_masked_as_one(spark):
+    texts = spark.createDataFrame([(1, 0, "ab cdefgh ij")], "call_id int, segment_id int, text string")
+    spans = spark.createDataFrame([(1, 0, "X", "cde", 0.6, 3), (1, 0, "Y", "efg", 0.9, 5), (1, 0, "Z", "gh", 0.5, 7)], "call_id int, segment_id int, entity_type string, mention string, score double, start int")
+    assert pii.mask_spans(texts, spans, ["call_id", "segment_id"]).first()["text"] == "ab [Y] ij"
 
 
 def test_transitions_follow_the_last_accepted_emotion(spark):

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrase rows that are sent to all executors; longer lists are joined by shuffle.
-BROADCAST_PHRASES = 100_000
-
 
 def normal(text: Column) -> Column:
     """Lower case, with one space for whatever isn't an ASCII letter or digit, and no space at the ends."""
@@ -25,24 +22,17 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
 
 
-def word_grams(text: Column, longest: int) -> Column:
-    """Distinct runs of 1 to ``longest`` words, as strings."""
-    words = tokens(text)
-
-    def runs(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.size(words) - (k - 1))
-        found = F.transform(places, lambda i: F.array_join(F.slice(words, i, k), " "))
-        return F.when(F.size(words) >= k, found).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[runs(k) for k in range(1, longest + 1)]))
-
-
 def phrase_hits(segments: DataFrame, phrases: DataFrame) -> DataFrame:
     """A row for each segment and phrase that stands in it as whole words.
 
-    Runs of words are joined with phrases by equality, so the list may be long.
+    The distinct words of a segment are joined with the first words of the
+    phrases by equality, so the list may be long; what is left is looked up in the
+    text. Catalyst sends the list to all executors if it is small enough, and
+    shuffles both sides else.
     """
-    known = phrases.select(normal(F.col("phrase")).alias("gram"), *phrases.columns)
-    about = known.agg(F.count("*").alias("n"), F.max(F.size(F.split("gram", " "))).alias("longest")).first()
-    grams = segments.withColumn("gram", F.explode(word_grams(F.col("text"), about["longest"] or 1)))
-    return grams.join(F.broadcast(known) if about["n"] <= BROADCAST_PHRASES else known, "gram").drop("gram")
+    known = phrases.select(normal(F.col("phrase")).alias("gram"), *phrases.columns).withColumn("word", F.split_part("gram", F.lit(" "), F.lit(1)))
+    said = segments.withColumn("said", normal(F.col("text")))
+    words = said.withColumn("word", F.explode(F.array_distinct(F.split("said", " "))))
+    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    found = words.join(known.where("gram <> ''"), "word").where(F.contains(padded(F.col("said")), padded(F.col("gram"))))
+    return found.drop("word", "said", "gram")

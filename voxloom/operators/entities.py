@@ -39,36 +39,45 @@ def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def mentions(segments: DataFrame, kind: str, confidence: float, pattern: str) -> DataFrame:
-    """A row for each match of a pattern: call_id, segment_id, entity_type, ord, mention, confidence."""
-    found = segments.select("call_id", "segment_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("ord", "mention"))
-    return found.select("call_id", "segment_id", F.lit(kind).alias("entity_type"), "ord", "mention", F.lit(confidence).alias("confidence"))
+AMOUNT_PATTERNS = [("currency_amount", 0.95, CURRENCY), ("currency_amount", 0.95, WORDED)]
 
 
-def amounts(segments: DataFrame) -> DataFrame:
-    """Currency amounts by symbol, code or word, each with its own magnitude: adds amount and currency."""
-    found = mentions(segments, "currency_amount", 0.95, CURRENCY).withColumn("layer", F.lit(0)).unionByName(mentions(segments, "currency_amount", 0.95, WORDED).withColumn("layer", F.lit(1)))
-    number = F.regexp_replace(F.regexp_extract("mention", r"\d[\d,]*(?:\.\d+)?", 0), ",", "").cast("double")
+def mentions(segments: DataFrame, patterns: list[tuple[str, float, str]], first_layer: int = 0) -> DataFrame:
+    """A row for each match of each pattern: call_id, segment_id, entity_type, ord, mention, confidence, layer (the pattern's place).
+
+    All patterns are matched in one pass over the text.
+    """
+    each = [F.struct(F.lit(kind).alias("entity_type"), F.lit(sure).alias("confidence"), F.lit(first_layer + k).alias("layer"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("m")) for k, (kind, sure, pattern) in enumerate(patterns)]
+    found = segments.select("call_id", "segment_id", F.inline(F.filter(F.array(*each), lambda x: F.size(x["m"]) > 0)))
+    return found.select("call_id", "segment_id", "entity_type", F.posexplode("m").alias("ord", "mention"), "confidence", "layer")
+
+
+def _with_amounts(found: DataFrame, only: Column | None = None) -> DataFrame:
+    """Adds amount and currency, where ``only`` holds."""
+    number = F.regexp_replace(F.regexp_extract("mention", r"\d[\d,]*(?:\.\d+)?", 0), ",", "").try_cast("double")
     factor = F.coalesce(_map(MAGNITUDES)[F.lower(F.regexp_extract("mention", f"(?i)({MAGNITUDE})", 1))], F.lit(1))
     low = F.lower("mention")
     currency = F.when(low.rlike(r"\$|usd|dollar"), "USD").when(low.rlike("€|eur"), "EUR").otherwise("INR")
-    return found.withColumn("amount", number * factor).withColumn("currency", currency)
+    here = lambda x: x if only is None else F.when(only, x)
+    return found.withColumn("amount", here(number * factor)).withColumn("currency", here(currency))
+
+
+def amounts(segments: DataFrame) -> DataFrame:
+    """Currency amounts by symbol, code or word, each with its own magnitude: adds amount and currency."""
+    return _with_amounts(mentions(segments, AMOUNT_PATTERNS))
 
 
 def patterned(segments: DataFrame) -> DataFrame:
     """Dates, identifiers and terms."""
-    parts = [mentions(segments, *p).withColumn("layer", F.lit(2 + k)) for k, p in enumerate(PATTERNS)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return mentions(segments, PATTERNS, len(AMOUNT_PATTERNS))
 
 
 def extract(segments: DataFrame) -> DataFrame:
     """All entities, one for each type, lower-case value and segment, the first extracted."""
-    every = amounts(segments).unionByName(patterned(segments), allowMissingColumns=True)
-    key = Window.partitionBy("call_id", "segment_id", "entity_type", F.lower("mention")).orderBy("layer", "ord")
-    return every.withColumn("k", F.row_number().over(key)).where("k = 1").drop("k", "layer")
+    every = mentions(segments, AMOUNT_PATTERNS + PATTERNS)
+    row, order = F.struct("ord", "mention", "confidence"), F.struct("layer", "ord")
+    first = every.groupBy("call_id", "segment_id", "entity_type", F.lower("mention").alias("low")).agg(F.min_by(row, order).alias("first"))
+    return _with_amounts(first.select("call_id", "segment_id", "entity_type", "first.*"), F.col("entity_type") == "currency_amount")
 
 
 def words_to_number(words: Column) -> Column:

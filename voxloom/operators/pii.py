@@ -27,6 +27,8 @@ RECOGNIZERS = [
 ]
 CONTEXT = {"AADHAAR": ["aadhaar", "verification"], "PAN": ["pan"], "PHONE": ["call", "phone"], "UPI": ["pay", "upi"], "IFSC": ["ifsc"], "BANK_ACCOUNT": ["account"], "CARD": ["card"], "EMAIL": ["write", "mail"], "DATE": ["born", "birth"]}
 BOOST, REACH = 0.35, 5
+#: Characters before a mention that are looked at first for its five words; the whole text before it where they hold fewer.
+TAIL = 256
 THRESHOLD, THRESHOLDS = 0.5, {"DATE": 0.7}
 
 
@@ -50,21 +52,27 @@ def luhn_ok(digits: Column) -> Column:
 
 
 def found(texts: DataFrame, key: list[str]) -> DataFrame:
-    """A row for each match: key, entity_type, ord, mention, score, before (the text up to it), start.
+    """A row for each match: key, entity_type, ord, mention, score, start, near (up to five words before it).
 
-    Places come from the pieces between matches, as functions over all matches
-    give no positions.
+    All patterns are matched in one pass. Places come from the lengths of the
+    pieces between matches, as functions over all matches give no positions.
     """
-    parts = []
-    for kind, score, pattern in RECOGNIZERS:
-        rows = texts.select(*key, F.split("text", pattern, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("m")).where(F.size("m") > 0)
-        each = rows.select(*key, "pieces", "m", F.posexplode("m").alias("ord", "mention"))
-        before = F.concat(F.array_join(F.transform(F.slice("pieces", F.lit(1), F.col("ord")), lambda p, k: F.concat(p, F.element_at("m", k + 1))), ""), F.element_at("pieces", F.col("ord") + 1))
-        parts.append(each.select(*key, F.lit(kind).alias("entity_type"), "ord", "mention", F.lit(score).alias("score"), before.alias("before")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("start", F.length("before"))
+    each = [F.struct(F.lit(k).alias("rule"), F.lit(kind).alias("entity_type"), F.lit(score).alias("score"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("m")) for k, (kind, score, pattern) in enumerate(RECOGNIZERS)]
+    digits = texts.where(F.col("text").rlike("[0-9@]"))  # each pattern asks for one of them
+    rows = digits.select(*key, "text", F.inline(F.filter(F.array(*each), lambda x: F.size(x["m"]) > 0)))
+    pieces = F.coalesce(*[F.when(F.col("rule") == k, F.split("text", pattern, -1)) for k, (_, _, pattern) in enumerate(RECOGNIZERS)])
+    lengths = lambda x: F.transform(x, lambda p: F.length(p))
+    placed = rows.select(*key, "text", "entity_type", "score", lengths(pieces).alias("gaps"), lengths(F.col("m")).alias("sizes"), F.posexplode("m").alias("ord", "mention"))
+    add = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, v: a + v)
+    placed = placed.withColumn("start", add(F.col("gaps"), F.col("ord") + 1) + add(F.col("sizes"), F.col("ord")))
+    tail = _words(F.substring("text", F.greatest(F.col("start") - TAIL + 1, F.lit(1)), F.least("start", F.lit(TAIL))))
+    near = F.when((F.size(tail) > REACH) | (F.col("start") <= TAIL), tail).otherwise(_words(F.substring("text", F.lit(1), F.col("start"))))
+    near = F.slice(near, F.greatest(F.size(near) - (REACH - 1), F.lit(1)), F.lit(REACH))
+    return placed.select(*key, "entity_type", "ord", "mention", "score", "start", near.alias("near"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.btrim(F.regexp_replace(F.lower(text), "[^a-z]+", " ")), " "), lambda w: w != "")
 
 
 def valid(mentions: DataFrame) -> DataFrame:
@@ -77,19 +85,27 @@ def valid(mentions: DataFrame) -> DataFrame:
 
 def with_context(mentions: DataFrame) -> DataFrame:
     """Scores raised where one of the last five words before a mention supports its type."""
-    words = F.filter(F.split(F.btrim(F.regexp_replace(F.lower("before"), "[^a-z]+", " ")), " "), lambda w: w != "")
-    near = F.slice(words, F.greatest(F.size(words) - (REACH - 1), F.lit(1)), F.lit(REACH))
     known = F.create_map(*[x for k, v in CONTEXT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    supported = F.coalesce(F.arrays_overlap(near, known[F.col("entity_type")]), F.lit(False))
+    supported = F.coalesce(F.arrays_overlap("near", known[F.col("entity_type")]), F.lit(False))
     return mentions.withColumn("score", F.round(F.when(supported, F.least(F.col("score") + BOOST, F.lit(1.0))).otherwise(F.col("score")), 2))
 
 
+def _limit() -> Column:
+    return F.coalesce(F.create_map(*[x for k, v in THRESHOLDS.items() for x in (F.lit(k), F.lit(v))])[F.col("entity_type")], F.lit(THRESHOLD))
+
+
 def detect(texts: DataFrame, key: list[str]) -> DataFrame:
-    """Personal data above its threshold, one row for each type and mention of a text, the best score: key, entity_type, mention, score, start."""
-    limit = F.coalesce(F.create_map(*[x for k, v in THRESHOLDS.items() for x in (F.lit(k), F.lit(v))])[F.col("entity_type")], F.lit(THRESHOLD))
-    good = with_context(valid(found(texts, key))).where(F.col("score") >= limit)
-    w = Window.partitionBy(*key, "entity_type", "mention").orderBy(F.desc("score"), "start")
-    return good.withColumn("k", F.row_number().over(w)).where("k = 1").select(*key, "entity_type", "mention", "score", "start")
+    """Personal data above its threshold, one row for each type and mention of a text, the best score at its first place: key, entity_type, mention, score, start."""
+    good = with_context(valid(found(texts, key))).where(F.col("score") >= _limit())
+    best = good.groupBy(*key, "entity_type", "mention").agg(F.min(F.struct((-F.col("score")).alias("s"), "start")).alias("x"))
+    return best.select(*key, "entity_type", "mention", (-F.col("x.s")).alias("score"), "x.start")
+
+
+def places(texts: DataFrame, key: list[str]) -> DataFrame:
+    """Every place of what ``detect`` finds in a text, with the best score of its type and mention there: what is to be masked."""
+    good = with_context(valid(found(texts, key)))
+    best = F.max("score").over(Window.partitionBy(*key, "entity_type", "mention"))
+    return good.select(*key, "entity_type", "mention", best.alias("score"), "start").where(F.col("score") >= _limit())
 
 
 def mask_value(kind: Column, value: Column) -> Column:
@@ -105,15 +121,23 @@ def mask_value(kind: Column, value: Column) -> Column:
 
 
 def mask_spans(texts: DataFrame, mentions: DataFrame, key: list[str]) -> DataFrame:
-    """Masks mentions at their places, from the last to the first; of overlapping ones the highest score, then the longest, stays."""
+    """Masks mentions at their places, all of which should be given (``places``).
+
+    Places that overlap, also by way of others, are masked as one, by the mask of
+    the one of highest score, then the longest, then the first, then by type.
+    """
     spans = mentions.withColumn("stop", F.col("start") + F.length("mention"))
-    other = spans.select(*key, F.col("start").alias("a"), F.col("stop").alias("b"), F.col("score").alias("s"), F.col("entity_type").alias("t"))
-    longer = (F.col("b") - F.col("a")) - (F.col("stop") - F.col("start"))
-    better = (F.col("s") > F.col("score")) | ((F.col("s") == F.col("score")) & ((longer > 0) | ((longer == 0) & (F.struct("a", "t") < F.struct("start", "entity_type")))))
-    clash = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key] + [F.col("a") < F.col("stop"), F.col("b") > F.col("start"), better]
-    alone = spans.alias("x").join(other.alias("y"), clash, "left_anti").select(*[F.col(f"x.{k}") for k in key], "start", "stop", mask_value(F.col("entity_type"), F.col("mention")).alias("mask"))
-    lists = alone.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "mask")), False).alias("spans"))
-    masked = F.aggregate("spans", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), s["mask"], F.substring(t, s["stop"] + 1, F.length(t))))
+    w = Window.partitionBy(*key).orderBy("start", "stop", "entity_type")
+    apart = F.col("start") >= F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
+    order = F.struct((-F.col("score")).alias("s"), (F.col("start") - F.col("stop")).alias("n"), "start", "entity_type")
+    island = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    merged = marked.withColumn("island", island).groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by(mask_value(F.col("entity_type"), F.col("mention")), order).alias("mask"))
+    lists = merged.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "mask"))).alias("spans"))
+    before = lambda s, k: F.substring(F.col("text"), F.when(k > 0, F.element_at("spans", k)["stop"]).otherwise(0) + 1, s["start"] - F.when(k > 0, F.element_at("spans", k)["stop"]).otherwise(0))
+    pieces = F.array_join(F.transform("spans", lambda s, k: F.concat(before(s, k), s["mask"])), "")
+    last = F.element_at("spans", -1)["stop"]
+    masked = F.concat(pieces, F.substring("text", last + 1, F.length("text")))
     return texts.join(lists, key, "left").select(*key, F.coalesce(masked, "text").alias("text"))
 
 

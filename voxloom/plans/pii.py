@@ -34,6 +34,8 @@ def _detected(table: str, key: str) -> str:
     valid as (select * from found where case entity_type when 'AADHAAR' then {VERHOEFF} when 'CARD' then {LUHN} when 'IP' then len(list_filter(string_split(mention, '.'), lambda x: x::int > 255)) = 0 else true end),
     near as (select *, list_filter(string_split(trim(regexp_replace(lower(before), '[^a-z]+', ' ', 'g')), ' '), lambda w: w <> '') as w from valid),
     scored as (select * exclude (w, score), round(case when list_has_any(w[greatest(len(w) - 4, 1):], coalesce(case entity_type {_CONTEXT} end, [])) then least(score + 0.35, 1) else score end, 2) as score from near),
+    everywhere as (select *, length(before) as start, max(score) over (partition by {key}, entity_type, mention) as most from scored),
+    places as (select {key}, entity_type, mention, most as score, start from everywhere where most >= case entity_type when 'DATE' then 0.7 else 0.5 end),
     best as (select *, length(before) as start, row_number() over (partition by {key}, entity_type, mention order by score desc, length(before)) as k from scored where score >= case entity_type when 'DATE' then 0.7 else 0.5 end),
     pii as (select {key}, entity_type, mention, score, start from best where k = 1)"""
 
@@ -45,7 +47,7 @@ KEY = ["call_id", "segment_id"]
 @query("pi01_found", f"with {_found('segments', 'call_id, segment_id')} select call_id, segment_id, entity_type, ord, mention, score, length(before) as start from found", "segments")
 def pi01(c: Corpus) -> DataFrame:
     """All patterns with their places (PI-01, PI-03 to PI-08)."""
-    return p.found(c.segments(), KEY).drop("before")
+    return p.found(c.segments(), KEY).drop("near")
 
 
 @query("pi02_check_digits", f"with {_found('segments', 'call_id, segment_id')} select call_id, segment_id, mention, {VERHOEFF} as ok from found where entity_type = 'AADHAAR'", "segments")
@@ -91,17 +93,18 @@ def pi14(c: Corpus) -> DataFrame:
 
 
 @query("pi15_mask_spans", f"""with {CALLS},
-    spans as (select *, start + length(mention) as stop, {_MASK} as mask from pii),
-    alone as (select * from spans x where not exists (select 1 from spans y where x.call_id = y.call_id and x.segment_id = y.segment_id and y.start < x.stop and y.stop > x.start
-        and (y.score > x.score or (y.score = x.score and (y.stop - y.start > x.stop - x.start or (y.stop - y.start = x.stop - x.start and (y.start, y.entity_type) < (x.start, x.entity_type))))))),
-    lists as (select call_id, segment_id, list({{'a': start, 'b': stop, 'm': mask}} order by start desc) as l from alone group by all)
-    select call_id, segment_id, case len(l) when 1 then left(text, l[1].a) || l[1].m || substr(text, l[1].b + 1)
-        when 2 then left(text, l[2].a) || l[2].m || substr(text, l[2].b + 1, l[1].a - l[2].b) || l[1].m || substr(text, l[1].b + 1) else text end as text
+    spans as (select *, start + length(mention) as stop, {_MASK} as mask from places),
+    marked as (select *, case when start >= max(stop) over (partition by call_id, segment_id order by start, stop, entity_type rows between unbounded preceding and 1 preceding) is not false then 1 else 0 end as new from spans),
+    islands as (select *, sum(new) over (partition by call_id, segment_id order by start, stop, entity_type rows unbounded preceding) as island from marked),
+    merged as (select call_id, segment_id, island, min(start) as start, max(stop) as stop, arg_min(mask, (-score, start - stop, start, entity_type)) as mask from islands group by all),
+    cut as (select *, coalesce(lag(stop) over (partition by call_id, segment_id order by start), 0) as before from merged),
+    lists as (select call_id, segment_id, string_agg(substr(text, before + 1, start - before) || mask, '' order by start) as l, max(stop) as last from cut join segments using (call_id, segment_id) group by all)
+    select call_id, segment_id, case when l is null then text else l || substr(text, last + 1) end as text
     from segments left join lists using (call_id, segment_id)""", "segments")
 def pi15(c: Corpus) -> DataFrame:
-    """Transcripts masked by span."""
+    """Transcripts masked by span, every place of a value found."""
     s = c.segments()
-    return p.mask_spans(s, p.detect(s, KEY), KEY)
+    return p.mask_spans(s, p.places(s, KEY), KEY)
 
 
 @query("pi16_mask_strings", f"""with {CALLS}, lists as (select call_id, segment_id, list({{'m': mention, 'x': {_MASK}}} order by length(mention) desc, mention, entity_type) as l from pii group by all)

@@ -58,8 +58,8 @@ def rows() -> list[tuple]:
 
 
 def pack(spark: SparkSession) -> DataFrame:
-    """The small pack."""
-    return spark.createDataFrame(rows(), SCHEMA)
+    """The small pack, as a local relation: its size is known to the planner, which sends it to all executors."""
+    return spark.sql(f"select lang, category, subcategory, phrase, cast(attr as string) as attr, cast(ord as int) as ord from ({pack_sql()})")
 
 
 def pack_sql() -> str:
