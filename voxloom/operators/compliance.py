@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_hits
-from .transcript import AGENT, CUSTOMER, REGULATED, opening_speech
+from .transcript import AGENT, CUSTOMER, REGULATED
 
 CRITICAL_CATEGORIES = ("threats", "coercion", "misleading")
 #: Cues that make an utterance worth a closer look.
@@ -21,96 +23,164 @@ def remap_severity(call_type: Column, raw: Column) -> Column:
     return F.when(call_type.isin("collections", "kyc", "consent"), raw).when(call_type.isin("complaint", "onboarding"), down).otherwise("low")
 
 
-def agent_scope(segments: DataFrame) -> DataFrame:
-    """The agent's segments of each call; all segments where no speaker is an agent."""
-    agent = F.lower("speaker").isin(*AGENT)
-    has = F.max(agent).over(Window.partitionBy("call_id"))
-    return segments.withColumn("is_agent", agent).withColumn("has_agent", has).where("is_agent or not has_agent").drop("is_agent", "has_agent")
+_CHECKS = "array<struct<check_name: string, passed: boolean, severity: string, segment_id: int, evidence: string>>"
+#: Notices where personal data is asked for: category of phrases, check, severity.
+NOTICES = [("data_purpose", "purpose_notice", "high"), ("data_consent", "consent_obtained", "critical"), ("data_rights", "rights_notice", "medium")]
+
+
+def call_facts(segments: DataFrame, vocab: DataFrame, seconds: float = 30) -> DataFrame:
+    """A row for each call with all that the checks ask for: call_id, call_type, agent_s, customer_s, turns (the agent's segments), said, required, notices.
+
+    ``said`` has an element for each phrase of the vocabulary in the call, with the
+    first segment at all (``first``), of the agent (``agent``), in the agent's
+    opening (``opening``) and of the customer (``customer``); its length is
+    bounded by that of the vocabulary. Segments are read once for all checks.
+    """
+    is_agent, is_customer = F.coalesce(F.lower("speaker").isin(*AGENT), F.lit(False)), F.coalesce(F.lower("speaker").isin(*CUSTOMER), F.lit(False))
+    w, length = Window.partitionBy("call_id"), F.col("end_s") - F.col("start_s")
+    marked = segments.select("call_id", "call_type", "segment_id", "text", length.alias("length"), is_agent.alias("is_agent"), is_customer.alias("is_customer"))
+    marked = marked.withColumn("scope", F.col("is_agent") | ~F.max("is_agent").over(w))  # the agent's, or all where no speaker is an agent
+    before = F.sum(F.when(F.col("scope"), F.col("length"))).over(w.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("opening", F.col("scope") & (F.coalesce(before, F.lit(0.0)) < seconds))
+    known = vocab.select("category", "subcategory", "phrase", "ord")
+    hits = phrase_hits(marked.select("call_id", "segment_id", "text", "scope", "opening", "is_customer"), known)
+    least = lambda flag, name: F.min(F.when(F.col(flag), F.col("segment_id"))).alias(name)
+    first = hits.groupBy("call_id", "category", "subcategory", "phrase").agg(F.min("ord").alias("ord"), F.min("segment_id").alias("first"), least("scope", "agent"), least("opening", "opening"), least("is_customer", "customer"))
+    said = first.groupBy("call_id").agg(F.collect_list(F.struct("category", "subcategory", "phrase", "ord", "first", "agent", "opening", "customer")).alias("said"))
+    spent = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col("length"))), F.lit(0.0))
+    calls = marked.groupBy("call_id").agg(F.min("call_type").alias("call_type"), spent("is_agent").alias("agent_s"), spent("is_customer").alias("customer_s"), F.collect_list(F.when(F.col("is_agent"), F.col("segment_id"))).alias("turns"))
+    part = lambda k: F.split_part("subcategory", F.lit("/"), F.lit(k))
+    rules = known.where("category in ('required', 'disclaimer')").select(F.when(F.col("category") == "required", part(1)).otherwise("general").alias("call_type"), "category", F.when(F.col("category") == "required", part(2)).otherwise(F.col("subcategory")).alias("name"))
+    names = lambda category: F.array_sort(F.collect_set(F.when(F.col("category") == category, F.col("name"))))
+    wanted = rules.groupBy("call_type").agg(names("required").alias("required"), names("disclaimer").alias("notices"))
+    return calls.join(said, "call_id", "left").join(wanted, "call_type", "left")
+
+
+def _check(name: Column, passed: Column, severity: Column, segment: Column, evidence: Column | None = None) -> Column:
+    return F.struct(name.alias("check_name"), passed.alias("passed"), severity.alias("severity"), segment.cast("int").alias("segment_id"), (F.lit(None) if evidence is None else evidence).cast("string").alias("evidence"))
+
+
+def _said(category: str, more: Callable[[Column], Column] | None = None) -> Column:
+    """The elements of ``said`` of a category."""
+    kept = lambda x: (x["category"] == category) & (F.lit(True) if more is None else more(x))
+    return F.filter(F.coalesce("said", F.array().cast(_SAID)), kept)
+
+
+_SAID = "array<struct<category: string, subcategory: string, phrase: string, ord: int, first: int, agent: int, opening: int, customer: int>>"
+
+
+def _least(found: Column, field: str) -> Column:
+    return F.array_min(F.transform(found, lambda x: x[field]))
+
+
+def _named(names: str, category: str, field: str, subcategory: Callable[[Column], Column], raw: str | None) -> Column:
+    """A check for each name: passed if one of its phrases is there."""
+
+    def one(name: Column) -> Column:
+        segment = _least(_said(category, lambda x: x["subcategory"] == subcategory(name)), field)
+        severity = F.lit("low") if raw is None else F.when(segment.isNotNull(), "low").otherwise(remap_severity(F.col("call_type"), F.lit(raw)))
+        return _check(name, segment.isNotNull(), severity, segment)
+
+    return F.transform(F.coalesce(names, F.array().cast("array<string>")), one)
+
+
+def _required() -> Column:
+    found = _named("required", "required", "opening", lambda name: F.concat("call_type", F.lit("/"), name), "high")
+    return F.when(F.col("call_type").isin(*REGULATED), found)
+
+
+def _failed(category: str, name: Callable[[Column], Column], severity: Callable[[Column], Column]) -> Column:
+    found = _said(category, lambda x: x["agent"].isNotNull())
+    return F.transform(found, lambda x: _check(name(x), F.lit(False), severity(x), x["agent"], x["phrase"]))
+
+
+def _prohibited() -> Column:
+    raw = lambda x: F.when(x["subcategory"].isin(*CRITICAL_CATEGORIES), "critical").otherwise("high")
+    return _failed("prohibited", lambda x: F.concat(F.lit("prohibited_"), x["subcategory"]), lambda x: remap_severity(F.col("call_type"), raw(x)))
+
+
+def _third_party() -> Column:
+    return F.array_distinct(_failed("third_party", lambda x: F.lit("third_party_disclosure"), lambda x: F.lit("critical")))
+
+
+def _domination(share: float) -> Column:
+    over = (F.col("call_type") == "collections") & (F.col("agent_s") / F.nullif(F.col("agent_s") + F.col("customer_s"), F.lit(0.0)) > share)
+    return F.when(over, F.array(_check(F.lit("agent_domination"), F.lit(False), F.lit("medium"), F.lit(None))))
+
+
+def _ignored_end(most: int) -> Column:
+    asked = F.array_min(F.transform(_said("end_call", lambda x: x["customer"].isNotNull()), lambda x: F.struct(x["ord"].alias("ord"), x["customer"].alias("segment"), x["phrase"].alias("phrase"))))
+    later = F.size(F.filter("turns", lambda t: t > asked["segment"]))
+    return F.when(later > most, F.array(_check(F.lit("ignored_end_request"), F.lit(False), F.lit("high"), asked["segment"], asked["phrase"])))
+
+
+def _notices() -> Column:
+    return F.when(F.col("call_type") == "general", _named("notices", "disclaimer", "first", lambda name: name, None))
+
+
+def _protection() -> Column:
+    def notice(category: str, name: str, raw: str) -> Column:
+        segment = _least(_said(category), "first")
+        return _check(F.lit(name), segment.isNotNull(), F.when(segment.isNotNull(), "low").otherwise(remap_severity(F.col("call_type"), F.lit(raw))), segment)
+
+    asked = F.when(F.size(_said("data_request")) > 0, F.array(*[notice(*n) for n in NOTICES]))
+    found = _said("sensitive_id")
+    evidence = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["phrase"]))), ", ")
+    sensitive = _check(F.lit("data_minimisation"), F.lit(False), remap_severity(F.col("call_type"), F.lit("high")), _least(found, "first"), evidence)
+    outside = F.when((F.size(found) > 0) & ~F.col("call_type").isin("kyc", "onboarding"), F.array(sensitive))
+    return _joined(asked, outside)
+
+
+def _joined(*parts: Column) -> Column:
+    return F.concat(*[F.coalesce(p.cast(_CHECKS), F.array().cast(_CHECKS)) for p in parts])
 
 
-def _phrases(vocab: DataFrame, category: str) -> DataFrame:
-    return vocab.where(F.col("category") == category).select("phrase", "subcategory", "ord")
+def _rows(facts: DataFrame, *parts: Column) -> DataFrame:
+    return facts.select("call_id", F.inline(_joined(*parts)))
 
 
 def required_disclosures(segments: DataFrame, vocab: DataFrame, seconds: float = 30) -> DataFrame:
     """For regulated calls, each disclosure of their type: passed if one of its phrases is in the agent's opening."""
-    rules = _phrases(vocab, "required").select(F.split_part("subcategory", F.lit("/"), F.lit(1)).alias("call_type"), F.split_part("subcategory", F.lit("/"), F.lit(2)).alias("check_name"), "phrase")
-    calls = segments.where(F.col("call_type").isin(*REGULATED)).select("call_id", "call_type").distinct()
-    wanted = calls.join(F.broadcast(rules.select("call_type", "check_name").distinct()), "call_type")
-    spoken = opening_speech(agent_scope(segments), seconds).select("call_id", "segment_id", "text", F.col("call_type").alias("kind"))
-    hits = phrase_hits(spoken, rules).where(F.col("kind") == F.col("call_type")).groupBy("call_id", "check_name").agg(F.min("segment_id").alias("segment_id"))
-    found = wanted.join(hits, ["call_id", "check_name"], "left")
-    passed = F.col("segment_id").isNotNull()
-    return found.select("call_id", "check_name", passed.alias("passed"), F.when(passed, "low").otherwise(remap_severity(F.col("call_type"), F.lit("high"))).alias("severity"), "segment_id", F.lit(None).cast("string").alias("evidence"))
+    return _rows(call_facts(segments, vocab.where("category = 'required'"), seconds), _required())
 
 
 def prohibited_phrases(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     """A failed check for each prohibited phrase that the agent says in a call, at its first segment."""
-    hits = phrase_hits(agent_scope(segments).select("call_id", "call_type", "segment_id", "text"), _phrases(vocab, "prohibited"))
-    first = hits.groupBy("call_id", "call_type", "subcategory", "phrase").agg(F.min("segment_id").alias("segment_id"))
-    raw = F.when(F.col("subcategory").isin(*CRITICAL_CATEGORIES), "critical").otherwise("high")
-    return first.select("call_id", F.concat(F.lit("prohibited_"), "subcategory").alias("check_name"), F.lit(False).alias("passed"), remap_severity(F.col("call_type"), raw).alias("severity"), "segment_id", F.col("phrase").alias("evidence"))
+    return _rows(call_facts(segments, vocab.where("category = 'prohibited'")), _prohibited())
 
 
 def third_party(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     """A failed critical check for each phrase that tells of others being told."""
-    hits = phrase_hits(agent_scope(segments).select("call_id", "segment_id", "text"), _phrases(vocab, "third_party"))
-    first = hits.groupBy("call_id", "phrase").agg(F.min("segment_id").alias("segment_id"))
-    return first.select("call_id", F.lit("third_party_disclosure").alias("check_name"), F.lit(False).alias("passed"), F.lit("critical").alias("severity"), "segment_id", F.col("phrase").alias("evidence"))
+    return _rows(call_facts(segments, vocab.where("category = 'third_party'")), _third_party())
 
 
 def agent_domination(segments: DataFrame, share: float = 0.75) -> DataFrame:
     """A failed check for collections calls in which the agent has more than this share of agent and customer time."""
     length, who = F.col("end_s") - F.col("start_s"), F.lower("speaker")
-    sums = segments.where("call_type = 'collections'").groupBy("call_id").agg(F.coalesce(F.sum(F.when(who.isin(*AGENT), length)), F.lit(0.0)).alias("a"), F.coalesce(F.sum(F.when(who.isin(*CUSTOMER), length)), F.lit(0.0)).alias("c"))
-    over = sums.where((F.col("a") + F.col("c") > 0) & (F.col("a") / F.nullif(F.col("a") + F.col("c"), F.lit(0.0)) > share))
-    return over.select("call_id", F.lit("agent_domination").alias("check_name"), F.lit(False).alias("passed"), F.lit("medium").alias("severity"), F.lit(None).cast("int").alias("segment_id"), F.lit(None).cast("string").alias("evidence"))
+    spent = lambda names: F.coalesce(F.sum(F.when(who.isin(*names), length)), F.lit(0.0))
+    sums = segments.groupBy("call_id").agg(F.min("call_type").alias("call_type"), spent(AGENT).alias("agent_s"), spent(CUSTOMER).alias("customer_s"))
+    return _rows(sums, _domination(share))
 
 
 def ignored_end_request(segments: DataFrame, vocab: DataFrame, most: int = 3) -> DataFrame:
     """A failed check where more than ``most`` agent segments follow the customer's first phrase, in list order, that asks to end the call."""
-    customer = segments.where(F.lower("speaker").isin(*CUSTOMER)).select("call_id", "segment_id", "text")
-    first = phrase_hits(customer, _phrases(vocab, "end_call")).groupBy("call_id").agg(F.min(F.struct("ord", "segment_id", "phrase")).alias("f"))
-    later = segments.where(F.lower("speaker").isin(*AGENT)).select("call_id", F.col("segment_id").alias("later"))
-    counted = later.join(first, "call_id").where(F.col("later") > F.col("f.segment_id")).groupBy("call_id", F.col("f.segment_id").alias("segment_id"), F.col("f.phrase").alias("evidence")).agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") > most).select("call_id", F.lit("ignored_end_request").alias("check_name"), F.lit(False).alias("passed"), F.lit("high").alias("severity"), "segment_id", "evidence")
+    return _rows(call_facts(segments, vocab.where("category = 'end_call'")), _ignored_end(most))
 
 
 def general_notices(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     """For general calls: disclaimer, recording notice and introduction, each passed if one of its phrases is said; low severity."""
-    calls = segments.where("call_type = 'general'")
-    rules = _phrases(vocab, "disclaimer").select(F.col("subcategory").alias("check_name"), "phrase")
-    hits = phrase_hits(calls.select("call_id", "segment_id", "text"), rules).groupBy("call_id", "check_name").agg(F.min("segment_id").alias("segment_id"))
-    wanted = calls.select("call_id").distinct().crossJoin(F.broadcast(rules.select("check_name").distinct()))  # three rows for each call
-    return wanted.join(hits, ["call_id", "check_name"], "left").select("call_id", "check_name", F.col("segment_id").isNotNull().alias("passed"), F.lit("low").alias("severity"), "segment_id", F.lit(None).cast("string").alias("evidence"))
+    return _rows(call_facts(segments, vocab.where("category = 'disclaimer'")), _notices())
 
 
 def data_protection(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     """Where personal data is asked for: purpose, consent and rights notices; and whether sensitive ids are asked for outside identity calls."""
-    said = segments.select("call_id", "call_type", "segment_id", "text")
-    categories = {"data_purpose": ("purpose_notice", "high"), "data_consent": ("consent_obtained", "critical"), "data_rights": ("rights_notice", "medium")}
-    asked = phrase_hits(said, _phrases(vocab, "data_request")).select("call_id", "call_type").distinct()
-    hits = phrase_hits(said, vocab.where(F.col("category").isin(*categories)).select("category", "phrase")).groupBy("call_id", "category").agg(F.min("segment_id").alias("segment_id"))
-    parts = []
-    for category, (name, raw) in categories.items():
-        joined = asked.join(hits.where(F.col("category") == category), "call_id", "left")
-        passed = F.col("segment_id").isNotNull()
-        parts.append(joined.select("call_id", F.lit(name).alias("check_name"), passed.alias("passed"), F.when(passed, "low").otherwise(remap_severity(F.col("call_type"), F.lit(raw))).alias("severity"), "segment_id", F.lit(None).cast("string").alias("evidence")))
-    sensitive = phrase_hits(said.where(~F.col("call_type").isin("kyc", "onboarding")), _phrases(vocab, "sensitive_id")).groupBy("call_id", "call_type").agg(F.array_join(F.array_sort(F.collect_set("phrase")), ", ").alias("evidence"), F.min("segment_id").alias("segment_id"))
-    parts.append(sensitive.select("call_id", F.lit("data_minimisation").alias("check_name"), F.lit(False).alias("passed"), remap_severity(F.col("call_type"), F.lit("high")).alias("severity"), "segment_id", "evidence"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    used = vocab.where(F.col("category").isin("data_request", "sensitive_id", *[n[0] for n in NOTICES]))
+    return _rows(call_facts(segments, used), _protection())
 
 
 def all_checks(segments: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Every check of every call."""
-    parts = [required_disclosures(segments, vocab), prohibited_phrases(segments, vocab), third_party(segments, vocab), agent_domination(segments), ignored_end_request(segments, vocab), general_notices(segments, vocab), data_protection(segments, vocab)]
-    out = parts[0].select(COLUMNS)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(COLUMNS))
-    return out
+    """Every check of every call, from one pass over the segments."""
+    return _rows(call_facts(segments, vocab), _required(), _prohibited(), _third_party(), _domination(0.75), _ignored_end(3), _notices(), _protection())
 
 
 def judge_candidates(segments: DataFrame, most: int = 40, shortest: int = 15) -> DataFrame:

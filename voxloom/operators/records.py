@@ -30,9 +30,10 @@ def score_calls(calls: DataFrame, checks: DataFrame, signals: DataFrame) -> Data
     return scored.withColumn("review_required", review).withColumn("priority", priority).withColumn("review_reasons", F.array_join(reasons, "; "))
 
 
-def review_queue(scored: DataFrame) -> DataFrame:
-    """Calls to be reviewed, the most urgent and newest first."""
-    return scored.where("review_required").orderBy("priority", F.desc("call_id"))
+def review_queue(scored: DataFrame, first: int | None = None) -> DataFrame:
+    """Calls to be reviewed; with ``first``, that many of the most urgent and newest, in order (the whole queue isn't sorted: its readers page through it)."""
+    queue = scored.where("review_required")
+    return queue if first is None else queue.orderBy("priority", F.desc("call_id")).limit(first)
 
 
 def canonical_numbers(text: Column) -> Column:
