@@ -12,13 +12,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from voxloom.operators import pii, transcript, understanding
+from voxloom.operators import pii, summaries, transcript, understanding
 from voxloom.operators.entities import words_to_number
 from voxloom.plans import all_queries, all_sql
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "orders lineitem events documents labels conversations".split()
-QUICK = "tx05_correct_terms tx12_map_roles tx16_merge_turns tx17_talk_time en01_amounts pi02_check_digits co04_agent_domination fr01_baselines in03_keyword_intents se04_trajectories em03_call_summary au07_merge_spans au12_splices rs06_supported_numbers io17_upsert mi12_split ev08_latency".split()
+QUICK = "tx05_correct_terms tx12_map_roles tx16_merge_turns tx17_talk_time en01_amounts pi02_check_digits co04_agent_domination fr01_baselines in03_keyword_intents se04_trajectories em03_call_summary au07_merge_spans au12_splices rs06_supported_numbers io17_upsert mi12_split ev08_latency pi15_mask_spans co13_all_checks en06_dedupe rs07_foreign_claims rs11_parse_answers ev02_score_personal".split()
 
 
 def cell(v):
@@ -85,3 +85,17 @@ def test_transitions_follow_the_last_accepted_emotion(spark):
 def test_blank_turns_are_left_out(spark):
     frame = spark.createDataFrame([(1, 0, "a", 0.0, 1.0, "x"), (1, 1, "a", 1.0, 2.0, " "), (1, 2, "a", 2.0, 3.0, "y"), (1, 3, "b", 3.0, 4.0, "z")], "call_id int, segment_id int, speaker string, start_s double, end_s double, text string")
     assert [(r["turn"], r["text"]) for r in transcript.merge_turns(frame).orderBy("turn").collect()] == [(0, "x y"), (1, "z")]
+
+
+def test_answers_with_nothing_in_them(spark):
+    said = [None, "", "Summary: [2-3 sentence summary]\nOutcomes:\n- [Outcome 1]\nActions:\n* Call back", "**Summary:** It went\nwell *\nKey Outcomes\n- Item 2: paid\n-x\nno item"]
+    found = [tuple(r) for r in summaries.parse_answer(spark.createDataFrame(list(enumerate(said)), "call_id int, answer string")).orderBy("call_id").select("summary", "outcomes", "actions").collect()]
+    none = (summaries.NO_SUMMARY, [summaries.NO_OUTCOME], [summaries.NO_ACTION])
+    assert found[:2] == [none, none]
+    assert found[2] == (summaries.NO_SUMMARY, [summaries.NO_OUTCOME], ["Call back"])
+    assert found[3] == ("It went well", ["paid"], [summaries.NO_ACTION])
+
+
+def test_account_numbers_with_wrong_digits(spark):
+    rows = spark.createDataFrame([("GB82 WEST 1234 5698 7654 32",), ("GB82WEST12345698765433",), ("DE89370400440532013000",)], "v string")
+    assert [r[0] for r in rows.select(pii.iban_ok(F.col("v"))).collect()] == [True, False, True]

@@ -12,8 +12,10 @@ MAGNITUDE = "hundred|thousand|lakh|million|crore|billion"
 CURRENCY = r"(?i)(?:\$|₹|€|\bINR|\bUSD|\bEUR|\brs\.?)\s?\d+(?:,\d{2,3})*(?:\.\d+)?(?:\s(?:hundred|thousand|lakh|million|crore|billion)\b)?"
 WORDED = r"(?i)\b\d+(?:,\d{2,3})*(?:\.\d+)?\s(?:(?:hundred|thousand|lakh|million|crore|billion)\s)?(?:rupees?|dollars?|euros?)\b"
 PATTERNS = [
-    ("date", 0.90, r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"),
+    ("date", 0.90, r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b"),
     ("date", 0.90, r"(?i)\b(?:next|this)\s(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|week|month)\b"),
+    ("date", 0.90, r"(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2}\b(?:,?\s*\d{4}\b)?"),
+    ("date", 0.90, r"(?i)\b(?:by\s+)?(?:today|tomorrow|yesterday|end of month|month end)\b"),
     ("date", 0.90, r"(?i)\bby\s(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"),
     ("account_number", 0.90, r"\b\d{10,16}\b"),
     ("tax_id", 0.90, r"\b[A-Z]{5}\d{4}[A-Z]\b"),

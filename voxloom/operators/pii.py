@@ -22,6 +22,7 @@ RECOGNIZERS = [
     ("CARD", 0.8, r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b"),
     ("CARD", 0.4, r"\b\d{16}\b"),
     ("EMAIL", 0.9, r"\b[A-Za-z0-9._%+]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}\b"),
+    ("IBAN", 0.9, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("IP", 0.6, r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
     ("DATE", 0.6, r"\b\d{1,2}/\d{1,2}/\d{4}\b"),
 ]
@@ -32,8 +33,8 @@ TAIL = 256
 THRESHOLD, THRESHOLDS = 0.5, {"DATE": 0.7}
 
 
-def verhoeff_ok(digits: Column) -> Column:
-    """Whether a string of digits passes the Verhoeff check."""
+def verhoeff(digits: Column) -> Column:
+    """The Verhoeff checksum of a string of digits: 0 for one that ends with its check digit."""
     table = lambda rows: F.array(*[F.lit(r) for r in rows])
     reversed_digits = F.filter(F.split(F.reverse(digits), ""), lambda x: x != "")
     numbered = F.transform(reversed_digits, lambda x, k: F.struct(x.cast("int").alias("d"), k.alias("k")))
@@ -42,7 +43,12 @@ def verhoeff_ok(digits: Column) -> Column:
         moved = F.substring(F.element_at(table(VERHOEFF_MOVE), (x["k"] % 8) + 1), x["d"] + 1, F.lit(1)).cast("int")
         return F.substring(F.element_at(table(VERHOEFF_TIMES), c + 1), moved + 1, F.lit(1)).cast("int")
 
-    return (F.length(digits) > 0) & (F.aggregate(numbered, F.lit(0), step) == 0)
+    return F.aggregate(numbered, F.lit(0), step)
+
+
+def verhoeff_ok(digits: Column) -> Column:
+    """Whether a string of digits passes the Verhoeff check."""
+    return (F.length(digits) > 0) & (verhoeff(digits) == 0)
 
 
 def luhn_ok(digits: Column) -> Column:
@@ -51,6 +57,15 @@ def luhn_ok(digits: Column) -> Column:
     return (F.length(digits) > 0) & (F.aggregate(F.transform(each, lambda v: F.when(v > 9, v - 9).otherwise(v)), F.lit(0), lambda a, v: a + v) % 10 == 0)
 
 
+def iban_ok(value: Column) -> Column:
+    """Whether an international account number leaves 1 modulo 97, its first four characters moved to the end and letters read as 10 to 35."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.left(plain, F.lit(4)))
+    each = F.filter(F.split(moved, ""), lambda x: x != "")
+    step = lambda acc, x: F.when(x.rlike("[0-9]"), acc * 10 + x.try_cast("int")).otherwise(acc * 100 + F.ascii(x) - 55) % 97
+    return F.aggregate(each, F.lit(0), step) == 1
+
+
 def found(texts: DataFrame, key: list[str]) -> DataFrame:
     """A row for each match: key, entity_type, ord, mention, score, start, near (up to five words before it).
 
@@ -79,7 +94,7 @@ def valid(mentions: DataFrame) -> DataFrame:
     """Without numbers whose check digits are wrong, and addresses out of range."""
     digits = F.regexp_replace("mention", r"\D", "")
     octets = F.forall(F.split("mention", r"\."), lambda x: x.cast("int") <= 255)
-    ok = F.when(F.col("entity_type") == "AADHAAR", verhoeff_ok(digits)).when(F.col("entity_type") == "CARD", luhn_ok(digits)).when(F.col("entity_type") == "IP", octets).otherwise(F.lit(True))
+    ok = F.when(F.col("entity_type") == "AADHAAR", verhoeff_ok(digits)).when(F.col("entity_type") == "CARD", luhn_ok(digits)).when(F.col("entity_type") == "IBAN", iban_ok(F.col("mention"))).when(F.col("entity_type") == "IP", octets).otherwise(F.lit(True))
     return mentions.where(ok)
 
 
@@ -113,7 +128,7 @@ def mask_value(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, r"\D", "")
     last = F.concat(F.repeat(F.lit("X"), F.greatest(F.length(digits) - 4, F.lit(0))), F.right(digits, F.lit(4)))
     return (
-        F.when(kind.isin("AADHAAR", "PHONE", "BANK_ACCOUNT", "CARD"), last)
+        F.when(kind.isin("AADHAAR", "PHONE", "BANK_ACCOUNT", "CARD", "IBAN"), last)
         .when(kind.isin("EMAIL", "UPI"), F.concat(F.substring(value, 1, 1), F.lit("***@"), F.substring_index(value, "@", -1)))
         .when(kind == "PAN", F.concat(F.lit("XXXXX"), F.substring(value, 6, 4), F.lit("X")))
         .otherwise(F.concat(F.lit("["), kind, F.lit("]")))

@@ -125,6 +125,24 @@ def flatten(records: DataFrame) -> DataFrame:
     return records.select("call_id", "call_type", "risk_level", "compliance_score", "review_required", "priority", F.size("segments").alias("n_segments"), F.size("intents").alias("n_intents"), F.size("checks").alias("n_checks"), F.size(F.filter("checks", lambda x: ~x["passed"])).alias("n_failed"), F.size("entities").alias("n_entities"), F.size("signals").alias("n_signals"), F.substring("review_reasons", 1, 500).alias("reasons"))
 
 
+#: The columns of a call's flat row; those that nothing is known of stay null, counts 0.
+FLAT = {
+    "source": "string", "duration_s": "double", "language": "string", "mixed": "boolean", "call_type": "string", "quality_score": "double", "quality_flag": "string", "snr_db": "double", "confidence": "double",
+    "n_speakers": "long", "agent_share": "double", "customer_share": "double", "n_intents": "long", "n_entities": "long", "n_obligations": "long", "n_binding": "long", "n_failed": "long", "n_signals": "long", "n_personal": "long",
+    "n_toxic": "long", "tamper_risk": "string", "compliance_score": "int", "risk_level": "string", "customer_emotion": "string", "escalated": "boolean", "review_required": "boolean", "priority": "int", "summary": "string",
+}
+
+
+def flat_calls(scored: DataFrame, *facts: DataFrame) -> DataFrame:
+    """One row of 29 columns for each scored call: call_id and those of FLAT, from tables of one row for each call; summaries are cut at 200 characters."""
+    out = scored.select("call_id", *[c for c in FLAT if c in scored.columns])
+    for table in facts:
+        out = out.join(table.select("call_id", *[c for c in FLAT if c in table.columns]), "call_id", "left")
+    value = lambda c: F.col(c) if c in out.columns else F.lit(None)
+    shown = {c: F.coalesce(value(c), F.lit(0)) if c.startswith("n_") else F.left(value(c), F.lit(200)) if c == "summary" else value(c) for c in FLAT}
+    return out.select("call_id", *[shown[c].cast(kind).alias(c) for c, kind in FLAT.items()])
+
+
 def explode_child(records: DataFrame, name: str) -> DataFrame:
     """A nested list as rows."""
     return records.select("call_id", F.inline(name))

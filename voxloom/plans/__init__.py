@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compliance, entities, frames, fraud, mining, pii, records, streams, transcript, understanding  # noqa: F401
+from . import compliance, entities, frames, fraud, labelled, mining, pii, records, streams, summaries, transcript, understanding  # noqa: F401
 from .registry import SQL, all_queries
 
 

@@ -117,10 +117,12 @@ def mi12(c: Corpus) -> DataFrame:
     return m.stratified_split(c.table("labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
-@query("mi13_sentences", "select conv_id as doc, turn // 2 as sent, string_agg(left(text, 20), ' ' order by turn) as sentence from conversations where turn % 5 <> 4 group by all".replace("group by all", "group by conv_id, turn // 2"))
+@query("mi13_sentences", """with w as (select conv_id, turn, string_split(text, ' ') as w from conversations), t as (select conv_id, turn // 2 as sent, turn, generate_subscripts(w, 1) as p, unnest(w) as token from w)
+    select conv_id as doc, sent, string_agg(token, ' ' order by turn, p) as sentence from t where token <> '' group by conv_id, sent""")
 def mi13(c: Corpus) -> DataFrame:
-    """Sentences from tokens."""
-    return m.sentences(c.table("conversations").select(F.col("conv_id").alias("doc"), F.floor(F.col("turn") / 2).alias("sent"), F.col("turn").alias("pos"), F.when(F.col("turn") % 5 != 4, F.left("text", F.lit(20))).alias("token")))
+    """Sentences from the tokens of whole turns; empty tokens count as null ones."""
+    turns = c.table("conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("p", "token"))
+    return m.sentences(turns.select(F.col("conv_id").alias("doc"), F.floor(F.col("turn") / 2).alias("sent"), F.struct("turn", "p").alias("pos"), F.nullif("token", F.lit("")).alias("token")))
 
 
 def predicted(c: Corpus) -> DataFrame:

@@ -26,12 +26,14 @@ _MOVE = "[" + ", ".join(f"'{r}'" for r in p.VERHOEFF_MOVE) + "]"
 _TIMES = "[" + ", ".join(f"'{r}'" for r in p.VERHOEFF_TIMES) + "]"
 VERHOEFF = f"list_reduce(list_transform(range(0, length({_D})), lambda k: substr({_MOVE}[k % 8 + 1], reverse({_D})[k + 1]::int + 1, 1)::int), lambda c, x: substr({_TIMES}[c + 1], x + 1, 1)::int, 0) = 0"
 LUHN = f"list_sum(list_transform(range(0, length({_D})), lambda k: case when k % 2 = 0 then reverse({_D})[k + 1]::int when reverse({_D})[k + 1]::int > 4 then reverse({_D})[k + 1]::int * 2 - 9 else reverse({_D})[k + 1]::int * 2 end)) % 10 = 0"
+_PLAIN = "replace(mention, ' ', '')"
+IBAN = f"list_reduce(list_transform(string_split(substr({_PLAIN}, 5) || left({_PLAIN}, 4), ''), lambda x: case when regexp_matches(x, '[0-9]') then x::int else 1000 + ascii(x) - 55 end), lambda a, x: case when x < 1000 then a * 10 + x else a * 100 + x - 1000 end % 97, 0) = 1"
 _CONTEXT = " ".join("when '{}' then [{}]".format(k, ", ".join(f"'{w}'" for w in v)) for k, v in p.CONTEXT.items())
 
 
 def _detected(table: str, key: str) -> str:
     return f"""{_found(table, key)},
-    valid as (select * from found where case entity_type when 'AADHAAR' then {VERHOEFF} when 'CARD' then {LUHN} when 'IP' then len(list_filter(string_split(mention, '.'), lambda x: x::int > 255)) = 0 else true end),
+    valid as (select * from found where case entity_type when 'AADHAAR' then {VERHOEFF} when 'CARD' then {LUHN} when 'IBAN' then {IBAN} when 'IP' then len(list_filter(string_split(mention, '.'), lambda x: x::int > 255)) = 0 else true end),
     near as (select *, list_filter(string_split(trim(regexp_replace(lower(before), '[^a-z]+', ' ', 'g')), ' '), lambda w: w <> '') as w from valid),
     scored as (select * exclude (w, score), round(case when list_has_any(w[greatest(len(w) - 4, 1):], coalesce(case entity_type {_CONTEXT} end, [])) then least(score + 0.35, 1) else score end, 2) as score from near),
     everywhere as (select *, length(before) as start, max(score) over (partition by {key}, entity_type, mention) as most from scored),
@@ -81,7 +83,7 @@ def pi13(c: Corpus) -> DataFrame:
     return p.counts(p.detect(c.segments(), KEY), "call_id")
 
 
-_MASK = f"""case when entity_type in ('AADHAAR', 'PHONE', 'BANK_ACCOUNT', 'CARD') then repeat('X', greatest(length({_D}) - 4, 0)) || right({_D}, 4)
+_MASK = f"""case when entity_type in ('AADHAAR', 'PHONE', 'BANK_ACCOUNT', 'CARD', 'IBAN') then repeat('X', greatest(length({_D}) - 4, 0)) || right({_D}, 4)
     when entity_type in ('EMAIL', 'UPI') then left(mention, 1) || '***@' || split_part(mention, '@', -1) when entity_type = 'PAN' then 'XXXXX' || substr(mention, 6, 4) || 'X' else '[' || entity_type || ']' end"""
 
 
