@@ -492,6 +492,60 @@ def test_empty_tables(spark, docs, make):
     assert make(spark, docs.limit(0)).count() == 0
 
 
+def test_items_in_an_empty_table(spark, docs):
+    benchmark = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert decontam.containments(spark, docs.limit(0), benchmark).count() == 0
+
+
+def test_pages_without_html_and_repeated_ones(spark):
+    page = "<html><head><title>t</title></head><body><nav><a>Home</a></nav><article>" + "<p>The river rose again in the night and the town kept its lamps lit.</p>" * 3 + "</article></body></html>"
+    long = page.replace("</article>", "<p>" + "The clerk wrote each name twice. " * 20_000 + "</p></article>")
+    rows = [(1, "a", None), (2, "b", ""), (3, "c", page), (3, "c", page), (4, "d", long), (None, None, "<p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    network = html_extract.train(html_extract.training_pages())
+    found = html_extract.extract(pages, network).collect()
+    assert Counter(r["page_id"] for r in found) == Counter(r[0] for r in rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+    by = {r["page_id"]: r["text"] for r in found}
+    assert by[1] == by[2] == by[None] == ""
+    assert by[3].startswith("The river rose") and "Home" not in by[3]
+    assert by[4].count("The clerk wrote each name twice.") == 20_000
+    assert html_extract.extract(pages.limit(0), network).count() == 0
+
+
+def test_passages_across_the_pieces_of_a_very_long_text(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    words, passage = [word() for _ in range((1 << 20) + 5000)], [word() for _ in range(120)]
+    words[(1 << 20) - 60 : (1 << 20) + 60] = passage
+    copy = [word() for _ in range(300)] + passage + [word() for _ in range(300)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in rlz.parse(spark, frame).collect()} == {1: 0, 2: 120}
+    letters = ["".join(words)[: (1 << 20) + 9000], "".join(copy)]
+    at, mark = (1 << 20) - 300, "".join(passage)
+    letters[0] = letters[0][:at] + "." + mark + "." + letters[0][at + len(mark) + 2 :]
+    frame = spark.createDataFrame([(1, letters[0]), (2, letters[1])], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(spark, frame).collect()}
+    assert found == {1: (600, 1), 2: (600, 1)}
+
+
+def test_which_row_of_a_repeated_id_stays(spark):
+    rows = [(5, "b one two three four five six", "en", "s", 1), (5, "a seven eight nine ten eleven", "en", "t", 2), (5, None, "en", "u", 3), (7, "c", None, None, None), (7, "c", "de", None, None), (None, "d", None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = [corpus_pipeline.near_duplicates(spark, f, DATA).collect() for f in (frame.orderBy("source"), frame.orderBy(F.desc("source")))]
+    assert Counter(map(tuple, found[0])) == Counter(map(tuple, found[1]))
+    assert sorted(r["text"] for r in found[0]) == ["a seven eight nine ten eleven", "c", "d"]
+
+
+def test_sketches_of_long_sets_agree_with_their_similarity():
+    rng = np.random.default_rng(2)
+    elements = np.sort(rng.integers(0, 1 << 63, 9000, dtype=np.uint64))
+    other = np.concatenate([elements[:8000], rng.integers(0, 1 << 63, 1000, dtype=np.uint64)])
+    same = minhash.SKETCH - np.bitwise_count(minhash.sketch(elements) ^ minhash.sketch(other)).sum(dtype=np.int64)
+    assert abs(same / minhash.SKETCH - (0.5 + 8000 / 10000 / 2)) < 0.02
+    assert same > minhash.least_agreement(75)
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert shared_dir

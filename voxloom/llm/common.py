@@ -25,10 +25,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share.
 
-    It lies in ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a folder under the warehouse is used.
+    It lies in ``spark.checkpoint.dir``; where that is unset, a folder under the
+    warehouse is used on one machine (tests), and a cluster is refused, as its
+    executors needn't share that folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -81,7 +85,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: 64 random bits for each byte value, and the odd base of the polynomial hashes.
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = np.uint64(0xD6E8FEB86659FD93)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: The base of a second hash, over codes mixed once more.
+SECOND_BASE = np.uint64(0xA24BAED4963EE407)
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -99,9 +104,15 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 class Rolling:
     """Prefix sums of codes times powers of a base: the hash of any range in constant time."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, base: np.uint64 = BASE):
         self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * powers(BASE, len(codes)), out=self.sums[1:])
+        self.inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        np.cumsum(codes * powers(base, len(codes)), out=self.sums[1:])
+
+    @classmethod
+    def second(cls, codes: np.ndarray) -> Rolling:
+        """A hash of its own, so that both together have 128 bits."""
+        return cls(mix(codes), SECOND_BASE)
 
     @classmethod
     def over(cls, data: np.ndarray) -> Rolling:
@@ -110,7 +121,7 @@ class Rolling:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of codes[start:end], alike wherever the range lies."""
-        return mix((self.sums[end] - self.sums[start]) * powers(BASE_INVERSE, len(self.sums))[start])
+        return mix((self.sums[end] - self.sums[start]) * powers(self.inverse, len(self.sums))[start])
 
 
 SPACE = np.zeros(256, bool)

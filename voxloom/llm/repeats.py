@@ -14,8 +14,8 @@ windows with one anchor are a run, and a run is what is compared first:
   only earlier documents count, these are all runs of the context's first
   document, as none of them covers another.
 
-Cores and contexts are compared by 64-bit fingerprints, grouped with partial
-sums, and joined back, so a core that a third of all documents share is
+Cores and contexts are compared by 64-bit fingerprints of two independent
+hashes, so that what is removed is equal in 128 bits. They are grouped with partial sums, and joined back, so a core that a third of all documents share is
 aggregated before it moves and its rows are dealt out anew by adaptive joins.
 """
 
@@ -101,11 +101,11 @@ def runs_of(codes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
     n = np.diff(np.append(first, len(start)))
     text, begin, anchor = text[first], start[first], anchor[first]
     core = rolling.of(anchor, anchor + gram)
-    ctx = mix(rolling.of(begin, begin + n - 1 + window) ^ mix((anchor - begin) * (window + 1) + n))
+    ctx = mix(Rolling.second(codes).of(begin, begin + n - 1 + window) ^ mix((anchor - begin) * (window + 1) + n))
     return text, begin - offsets[text], n, anchor - offsets[text], core, ctx
 
 
-def cut_runs(rolling: Rolling, first: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, window: int, step: int) -> tuple[np.ndarray, ...]:
+def cut_runs(rolling: Rolling, second: Rolling, first: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, window: int, step: int) -> tuple[np.ndarray, ...]:
     """Runs of ``step`` windows at most, aligned to the anchor: row, at, n, core, context. ``first`` is where a run's text starts."""
     low, high = (anchor - at - n + 1) // step, (anchor - at) // step
     row, k = ragged(high - low + 1)
@@ -114,7 +114,7 @@ def cut_runs(rolling: Rolling, first: np.ndarray, at: np.ndarray, n: np.ndarray,
     begin = np.maximum(anchor[row] - step * block - step + 1, at[row])
     inner = first[row] + anchor[row] - step * block
     core = mix(rolling.of(inner, inner - step + 1 + window) ^ mix(block + 1))
-    ctx = mix(rolling.of(first[row] + begin, first[row] + last + window) ^ mix((anchor[row] - begin) * (window + 1) + last - begin + 1))
+    ctx = mix(second.of(first[row] + begin, first[row] + last + window) ^ mix((anchor[row] - begin) * (window + 1) + last - begin + 1))
     return row, begin, last - begin + 1, core, ctx
 
 
@@ -155,7 +155,7 @@ def shorter_runs(keyed_docs: DataFrame, left: DataFrame, shape: Shape, step: int
             runs = batch.column("runs")
             text = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
             at, n, anchor = (runs.flatten().field(k).to_numpy() for k in range(3))
-            row, begin, length, core, ctx = cut_runs(Rolling(codes), offsets[text], at, n, anchor, shape.window, step)
+            row, begin, length, core, ctx = cut_runs(Rolling(codes), Rolling.second(codes), offsets[text], at, n, anchor, shape.window, step)
             yield _runs(batch.column("rid"), batch.column("doc_id"), text[row], begin, length, anchor[row], core, ctx)
 
     return keyed_docs.join(per_text, "rid").mapInArrow(make, RUN)
