@@ -14,7 +14,10 @@ from .registry import query
 
 
 def _folder(c: Corpus, name: str) -> str:
-    base = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    base = c.spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not c.spark.sparkContext.master.startswith("local[") and c.spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or c.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
