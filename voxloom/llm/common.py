@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -63,8 +64,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _libc() -> ctypes.CDLL | None:
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
+def release() -> None:
+    """Gives what a worker has freed back to the machine: workers live as long as executors, and keep what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Each batch, cut so that a part has ``most`` bytes of text or one row."""
+    """Each batch, cut so that a part has ``most`` bytes of text or one row; memory is given back after each."""
     for batch in batches:
         _, offsets = utf8(batch.column(text))
         start = 0
@@ -72,6 +91,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+        release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

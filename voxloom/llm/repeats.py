@@ -65,7 +65,7 @@ class Shape:
 
 
 BYTES = Shape(400, 200, (16, 1), byte_units, 1 << 20)
-WORDS = Shape(50, 25, (1,), word_units, 4 << 20)
+WORDS = Shape(50, 25, (1,), word_units, 1 << 20)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
