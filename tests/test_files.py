@@ -7,8 +7,9 @@ import json
 from pyspark.sql.types import StructType
 
 from voxloom.functions import sql
-from voxloom.operators import mining, records
+from voxloom.operators import mining, records, transcript, understanding
 from voxloom.sources import files, vocabulary
+from voxloom.streaming import jobs
 
 
 def test_corrupt_records_are_set_apart(spark, tmp_path):
@@ -58,3 +59,47 @@ def test_upsert_doesnt_depend_on_order(spark):
 def test_aligned_words(spark):
     pairs = spark.createDataFrame([(1, "my kayak form is due", "my KYC form is due"), (2, None, "x"), (3, "same", "same")], "id long, heard string, truth string")
     assert [tuple(r) for r in mining.align_words(pairs).collect()] == [(1, "kayak", "KYC")]
+
+
+def test_table_function_aligns_words(spark):
+    sql.register(spark)
+    found = spark.sql("select p.id, a.* from values (1, 'my kayak form is due', 'my KYC form is due'), (2, null, 'x'), (3, 'a b c', 'x b y') p(id, heard, truth), lateral align_words(p.heard, p.truth) a")
+    assert sorted(map(tuple, found.collect())) == [(1, "kayak", "KYC"), (3, "a", "x"), (3, "c", "y")]
+
+
+def test_names_are_taken_literally(spark):
+    frame = spark.createDataFrame([("ask A.B bank, not axb Bank",), (None,)], "text string")
+    fixed = transcript.correct_names(frame, {"a.b bank": "A$1 \\ Bank"}).collect()
+    assert [(r["text"], r["corrected"]) for r in fixed] == [("ask A$1 \\ Bank, not axb Bank", True), (None, False)]
+
+
+def test_rebuilt_index(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 2, "b"), (2, None, "c"), (None, 9, "d")], "call_id int, version int, status string")
+    assert set(map(tuple, records.rebuild(rows).collect())) == {(1, 2, "b"), (2, None, "c")}
+    assert records.rebuild(rows.limit(0)).columns == rows.columns
+
+
+def test_index_after_each_number_of_batches(spark, tmp_path):
+    changes, index, state = (str(tmp_path / x) for x in ("changes", "index", "state"))
+    best = {}
+    for n in range(5):
+        batch = [(k, (k * 7 + n * 3) % 5, f"{n}-{k}") for k in range(n, n + 4)]
+        for k, version, status in batch:
+            if k not in best or version >= best[k][0]:
+                best[k] = (version, status)
+        spark.createDataFrame(batch, "call_id int, version int, status string").write.mode("append").parquet(changes)
+        jobs.upsert_index(jobs.source(spark, changes), index, state, 2)
+        assert {r["call_id"]: (r["version"], r["status"]) for r in jobs.read_index(spark, index, 2).collect()} == best
+
+
+def test_scorer_that_fails_on_some_texts(spark):
+    def scorer(texts, lang):
+        if any("bad" in t for t in texts):
+            raise ValueError
+        return [(f" {'POSITIVE' if lang == 'en' else 'Negative'}", len(t) / 10) for t in texts]
+
+    said = [(1, 0, "en", "good"), (1, 1, None, "bad"), (1, 2, "hi", "x" * 9), (1, 3, "en", None), (1, 4, "en", "12345678")]
+    frame = spark.createDataFrame(said, "call_id int, segment_id int, lang string, text string")
+    want = {0: ("positive", 0.4), 1: ("neutral", 0.5), 2: ("negative", 0.9), 3: ("positive", 0.0), 4: ("positive", 0.8)}
+    assert {r["segment_id"]: (r["label"], r["score"]) for r in understanding.score_sentiment(frame, scorer).collect()} == want
+    assert {r["segment_id"]: r["score"] for r in understanding.score_sentiment(frame, scorer, most=4).collect()} == {0: 0.4, 1: 0.5, 2: 0.4, 3: 0.0, 4: 0.4}

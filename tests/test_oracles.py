@@ -18,7 +18,7 @@ from voxloom.plans import all_queries, all_sql
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "orders lineitem events documents labels conversations".split()
-QUICK = "tx05_correct_terms tx12_map_roles tx16_merge_turns tx17_talk_time en01_amounts pi02_check_digits co04_agent_domination fr01_baselines in03_keyword_intents se04_trajectories em03_call_summary au07_merge_spans au12_splices rs06_supported_numbers io17_upsert mi12_split ev08_latency pi15_mask_spans co13_all_checks en06_dedupe rs07_foreign_claims rs11_parse_answers ev02_score_personal".split()
+QUICK = "tx05_correct_terms tx12_map_roles tx16_merge_turns tx17_talk_time en01_amounts pi02_check_digits co04_agent_domination fr01_baselines in03_keyword_intents se04_trajectories em03_call_summary au07_merge_spans au12_splices rs06_supported_numbers io17_upsert mi12_split ev08_latency pi15_mask_spans co13_all_checks en06_dedupe rs07_foreign_claims rs11_parse_answers ev02_score_personal tx07_names se01_score_text uf02_align_words io18_rebuild".split()
 
 
 def cell(v):

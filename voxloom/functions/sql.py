@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
-from ..operators import pii
+from ..operators import mining, pii
 
 _QUOTED = lambda rows: "array(" + ", ".join(f"'{r}'" for r in rows) + ")"
 
@@ -20,4 +21,5 @@ def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to SQL; returns their names."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"create or replace temporary function {head} return {body}")
-    return [head.split("(")[0] for head in FUNCTIONS]
+    spark.udtf.register("align_words", udtf(mining.AlignWords, returnType="heard_words string, true_words string"))
+    return [*[head.split("(")[0] for head in FUNCTIONS], "align_words"]

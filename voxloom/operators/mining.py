@@ -75,15 +75,28 @@ def merge_phrases(*lists: DataFrame) -> DataFrame:
     return out.distinct().orderBy("phrase")
 
 
+def replaced_words(heard: str | None, truth: str | None) -> Iterator[tuple[str, str]]:
+    """Runs of words that differ when both texts are aligned; the time is quadratic in their length."""
+    a, b = (heard or "").split(), (truth or "").split()
+    for op, i, j, k, m in SequenceMatcher(None, a, b, False).get_opcodes():
+        if op == "replace":
+            yield " ".join(a[i:j]), " ".join(b[k:m])
+
+
+class AlignWords:
+    """``replaced_words`` as a table function."""
+
+    def eval(self, heard: str, truth: str) -> Iterator[tuple[str, str]]:
+        """Rows for one pair of texts."""
+        yield from replaced_words(heard, truth)
+
+
 def align_words(pairs: DataFrame) -> DataFrame:
     """Words that were heard (column heard) for others (column truth), by aligning both transcripts: id, heard_words, true_words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for key, heard, truth in frame[["id", "heard", "truth"]].itertuples(index=False):
-                a, b = (heard or "").split(), (truth or "").split()
-                rows += [(key, " ".join(a[i:j]), " ".join(b[k:m])) for op, i, j, k, m in SequenceMatcher(None, a, b, False).get_opcodes() if op == "replace"]
+            rows = [(key, *found) for key, heard, truth in frame[["id", "heard", "truth"]].itertuples(index=False) for found in replaced_words(heard, truth)]
             yield pd.DataFrame(rows, columns=["id", "heard_words", "true_words"])
 
     return pairs.select("id", "heard", "truth").mapInPandas(run, "id long, heard_words string, true_words string")

@@ -178,6 +178,13 @@ def upsert(index: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_new")
 
 
+def rebuild(records: DataFrame) -> DataFrame:
+    """The index made anew from all records: of each call the row of highest version, ties by the largest other values in order; rows without call_id go."""
+    rest = [c for c in records.columns if c not in ("call_id", "version")]
+    best = records.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.max(F.struct("version", *rest)).alias("_best"))
+    return best.select(*[c if c == "call_id" else F.col(f"_best.`{c}`") for c in records.columns])
+
+
 def staleness(index: DataFrame, records: DataFrame) -> DataFrame:
     """Calls whose index row is missing, left over, or of another version."""
     joined = index.select("call_id", F.col("version").alias("a")).join(records.select("call_id", F.col("version").alias("b")), "call_id", "full")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,11 @@ def correct_terms(segments: DataFrame, rules: list[tuple[str, str]] | None = Non
     return segments.withColumn("corrected", F.coalesce(changed, F.lit(False))).withColumn("original_text", F.when(changed, F.col("text"))).withColumn("text", text)
 
 
+def correct_names(segments: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Names of organisations as a deployment spells them: aliases as whole words, ignoring case, in order; columns as in ``correct_terms``."""
+    return correct_terms(segments, [(rf"\b{re.escape(heard)}\b", re.sub(r"([\\$])", r"\\\1", name)) for heard, name in aliases.items()])
+
+
 def spoken_amounts(segments: DataFrame) -> DataFrame:
     """Amounts like "5 lakh" as numbers, the text left alone: call_id, segment_id, ord, mention, amount."""
     pattern = r"(?i)\b(\d+(?:\.\d+)?)\s+(hundred|thousand|lakh|million|crore|billion)\b"

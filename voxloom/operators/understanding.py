@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from ..functions.text import tokens, word_count
 from .transcript import AGENT, CUSTOMER, REGULATED
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+TextScorer = Callable[[list[str], str], list[tuple[str, float]]]
 
 # Thresholds of the toxicity scores.
 TOXIC = {"toxicity": 0.7, "severe_toxicity": 0.3, "obscene": 0.7, "threat": 0.5, "insult": 0.7, "identity_attack": 0.7, "sexual_explicit": 0.7}
@@ -143,8 +145,49 @@ def lexicon_sentiment(segments: DataFrame) -> DataFrame:
 
 
 def score_text(segments: DataFrame, scorer: Scorer, schema: str, columns: list[str]) -> DataFrame:
-    """Scores from a plug-in that reads and yields pandas frames; texts are cut at 512 characters for it."""
-    return segments.select(*[F.substring("text", 1, 512).alias("text") if c == "text" else c for c in columns]).mapInPandas(scorer, schema)
+    """Scores from a plug-in that reads and yields pandas frames of whole texts."""
+    return segments.select(*columns).mapInPandas(scorer, schema)
+
+
+def score_sentiment(segments: DataFrame, scorer: TextScorer, size: int = 32, most: int | None = None) -> DataFrame:
+    """Label and score of each segment (call_id, segment_id, lang, text) by a plug-in.
+
+    The plug-in gets up to ``size`` texts of one language and the language, and
+    returns as many (label, score). Where it fails, it gets the texts one by
+    one; those on which it fails again are neutral at 0.5. A null text is empty,
+    a null language "en". ``most`` is for models that take only so many
+    characters; unset, texts are whole.
+    """
+
+    def each(texts: list[str], lang: str) -> list[tuple[str, float]]:
+        try:
+            found = scorer(texts, lang)
+            if len(found) == len(texts):
+                return [(label.strip().lower(), float(score)) for label, score in found]
+        except Exception:  # whatever a model may raise
+            pass
+        return [x for text in texts for x in each([text], lang)] if len(texts) > 1 else [("neutral", 0.5)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lang, rows in frame.groupby("lang"):
+                texts = rows["text"].str.slice(0, most).tolist()
+                found = [x for k in range(0, len(texts), size) for x in each(texts[k : k + size], lang)]
+                yield rows[["call_id", "segment_id"]].assign(label=[x[0] for x in found], score=[x[1] for x in found])
+
+    whole = segments.select("call_id", "segment_id", F.coalesce("lang", F.lit("en")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    types = {f.name: f.dataType.simpleString() for f in whole.schema}
+    return score_text(whole, run, f"call_id {types['call_id']}, segment_id {types['segment_id']}, label string, score double", whole.columns)
+
+
+def lexicon_scorer(texts: list[str], lang: str) -> list[tuple[str, float]]:
+    """The scorer where there is no model: the lexicons' label, and how clear it is."""
+    out = []
+    for text in texts:
+        words = set(re.sub("[^a-z0-9]+", " ", text.lower()).split())
+        p, n = len(words.intersection(POSITIVE)), len(words.intersection(NEGATIVE))
+        out.append(("neutral", 0.5) if p == n else ("positive" if p > n else "negative", abs(p - n) / (p + n)))
+    return out
 
 
 def signed(labels: DataFrame) -> DataFrame:

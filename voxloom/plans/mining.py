@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..operators import mining as m
 from ..operators import transcript, understanding
 from ..sources.fixtures import Corpus
@@ -75,11 +76,27 @@ def mi07(c: Corpus) -> DataFrame:
     return m.merge_phrases(c.segments().where("segment_id = 0").select(F.lower("text").alias("phrase")), c.table("conversations").select(F.lower("role").alias("phrase")))
 
 
-@query("mi08_align_words")
-def mi08(c: Corpus) -> DataFrame:
-    """Words heard for others; an alignment per pair of texts."""
+HEARD = """said as (select call_id * 100 + segment_id as id, string_split(text, ' ') as h, string_split(regexp_replace(text, '\\bkayak form\\b', 'KYC form', 'gi'), ' ') as t from segments),
+    placed as (select id, unnest(range(1, len(h) + 1)) as k, h, t from said), differ as (select id, k - row_number() over (partition by id order by k) as run, k, h[k] as a, t[k] as b from placed where h[k] <> t[k])"""
+
+
+def corrected_pairs(c: Corpus) -> DataFrame:
+    """Texts as heard and as corrected."""
     fixed = transcript.correct_terms(c.segments())
-    return m.align_words(fixed.where("corrected").select((F.col("call_id") * 100 + F.col("segment_id")).alias("id"), F.col("original_text").alias("heard"), F.col("text").alias("truth")))
+    return fixed.where("corrected").select((F.col("call_id") * 100 + F.col("segment_id")).alias("id"), F.col("original_text").alias("heard"), F.col("text").alias("truth"))
+
+
+@query("mi08_align_words", f"with {HEARD} select id, string_agg(a, ' ' order by k) as heard_words, string_agg(b, ' ' order by k) as true_words from differ group by id, run", "segments")
+def mi08(c: Corpus) -> DataFrame:
+    """Words heard for others; an alignment per pair of texts. The SQL compares by place: the fixture's corrections keep the number of words."""
+    return m.align_words(corrected_pairs(c))
+
+
+@query("uf02_align_words", f"with {HEARD} select id, string_agg(a, ' ' order by k) as heard_words, string_agg(b, ' ' order by k) as true_words from differ group by id, run", "segments")
+def uf02(c: Corpus) -> DataFrame:
+    """The same by the table function, from SQL."""
+    sql.register(c.spark)
+    return c.spark.sql("select p.id, a.heard_words, a.true_words from {pairs} p, lateral align_words(p.heard, p.truth) a", pairs=corrected_pairs(c))
 
 
 @query("mi09_corrections", """with p as (select string_split(text, ' ')[1] as h, string_split(text, ' ')[2] as t from segments where len(string_split(text, ' ')) > 1), n as (select h, t, count(*) as n from p group by h, t having count(*) >= 2)

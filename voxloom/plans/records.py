@@ -191,6 +191,13 @@ def io17(c: Corpus) -> DataFrame:
     return r.upsert(*versions(c))
 
 
+@query("io18_rebuild", f"with {VERSIONS} select call_id, version, status from (select *, row_number() over (partition by call_id order by version desc, status desc) as k from (select * from idx union all select * from chg)) where k = 1")
+def io18(c: Corpus) -> DataFrame:
+    """The index from all records."""
+    first, second = versions(c)
+    return r.rebuild(first.unionByName(second))
+
+
 @query("io19_staleness", f"with {VERSIONS} select coalesce(i.call_id, c.call_id) as call_id, case when i.call_id is null then 'missing' when c.call_id is null then 'left over' else 'outdated' end as state from idx i full join chg c on i.call_id = c.call_id where i.version is distinct from c.version")
 def io19(c: Corpus) -> DataFrame:
     """What of the index is stale."""

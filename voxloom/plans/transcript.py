@@ -78,6 +78,14 @@ def tx06(c: Corpus) -> DataFrame:
     return t.correct_terms(c.segments(), t.CONTEXT_TERMS).select("call_id", "segment_id", "text", "corrected")
 
 
+@query("tx07_names", """
+    with f as (select *, regexp_replace(regexp_replace(text, '\\bthe lender\\b', 'Northlight Finance', 'gi'), '\\btax department\\b', 'Revenue Office', 'gi') as fixed from segments)
+    select call_id, segment_id, fixed as text, fixed <> text as corrected, case when fixed <> text then text end as original_text from f""", "segments")
+def tx07(c: Corpus) -> DataFrame:
+    """Names of organisations corrected."""
+    return t.correct_names(c.segments(), {"the lender": "Northlight Finance", "tax department": "Revenue Office"}).select("call_id", "segment_id", "text", "corrected", "original_text")
+
+
 @query("tx09_spoken_amounts", """
     with m as (select call_id, segment_id, unnest(regexp_extract_all(text, '(?i)\\b\\d+(?:\\.\\d+)?\\s+(?:hundred|thousand|lakh|million|crore|billion)\\b')) as mention,
         generate_subscripts(regexp_extract_all(text, '(?i)\\b\\d+(?:\\.\\d+)?\\s+(?:hundred|thousand|lakh|million|crore|billion)\\b'), 1) - 1 as ord from segments)

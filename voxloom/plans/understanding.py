@@ -126,6 +126,12 @@ def se02(c: Corpus) -> DataFrame:
     return u.lexicon_sentiment(c.segments()).select("call_id", "segment_id", "score")
 
 
+@query("se01_score_text", f"with {LEXICON} select call_id, segment_id, case when p > n then 'positive' when p < n then 'negative' else 'neutral' end as label, case when p = n then 0.5 else abs(p - n) / (p + n) end as score from lexc", "segments")
+def se01(c: Corpus) -> DataFrame:
+    """Sentiment by a plug-in, here the lexicons."""
+    return u.score_sentiment(c.segments().withColumn("lang", F.lit("en")), u.lexicon_scorer)
+
+
 @query("se03_signed", f"with {LABELED} select call_id, segment_id, round(case label when 'positive' then score when 'negative' then -score else greatest(0.02, (1 - score) * 0.3) end, 4) + 0.0 as signed from labeled", "segments")
 def se03(c: Corpus) -> DataFrame:
     """Signed scores."""

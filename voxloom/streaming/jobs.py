@@ -17,10 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import records, transcript
 
 
-def source(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream; ``files`` bounds the files of a batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def _run(writer, checkpoint: str) -> None:  # noqa: ANN001
@@ -32,20 +32,38 @@ def ingest(segments: DataFrame, out: str, checkpoint: str) -> None:
     _run(transcript.correct_terms(segments).writeStream.format("parquet").option("path", out), checkpoint)
 
 
-def upsert_index(changes: DataFrame, index: str, checkpoint: str) -> None:
+def upsert_index(changes: DataFrame, index: str, checkpoint: str, every: int = 16) -> None:
     """Changes merged into the index; a batch that is replayed changes nothing, as of each call the highest version stays.
 
-    The index is a folder for each batch; the newest holds all calls.
+    A batch writes its own changes only, into ``log``; every ``every`` batches
+    the log since the last fold goes into a new ``base``. The batch's log comes
+    last, so that a base is whole where the log of its batch is.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(batch.schema).parquet(f"{index}/batch={number - 1}") if number else batch.limit(0)
-        records.upsert(before, records.upsert(batch.limit(0), batch)).write.mode("overwrite").parquet(f"{index}/batch={number}")
+        spark, last = batch.sparkSession, number // every * every - 1
+        batch.persist()
+        if number % every == every - 1:
+            parts = [f"{index}/base/upto={last}"] * (last >= 0) + [f"{index}/log/batch={n}" for n in range(last + 1, number)]
+            before = spark.read.schema(batch.schema).parquet(*parts) if parts else batch.limit(0)
+            records.upsert(before, records.upsert(batch.limit(0), batch)).write.mode("overwrite").parquet(f"{index}/base/upto={number}")
+        records.upsert(batch.limit(0), batch).write.mode("overwrite").parquet(f"{index}/log/batch={number}")
+        batch.unpersist()
 
     _run(changes.writeStream.foreachBatch(merge), checkpoint)
 
 
+def read_index(spark: SparkSession, index: str, every: int = 16) -> DataFrame:
+    """The index that ``upsert_index`` has left: its last base with the log since; ``every`` as there."""
+    log = spark.read.parquet(f"{index}/log")
+    newest = log.agg(F.max("batch")).first()[0]
+    last = (newest + 1) // every * every - 1
+    since = log.where(F.col("batch") > last).drop("batch")
+    if last < 0:
+        return records.upsert(since.limit(0), since)
+    return records.upsert(spark.read.schema(since.schema).parquet(f"{index}/base/upto={last}"), since)
+
+
 def once_per_call(events: DataFrame, out: str, checkpoint: str, delay: str = "1 day") -> None:
     """The first event of each call within the watermark."""
     kept = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["call_id"])
@@ -53,17 +71,17 @@ def once_per_call(events: DataFrame, out: str, checkpoint: str, delay: str = "1
 
 
 def progress(events: DataFrame, out: str, checkpoint: str, orphan_after: str = "1 hour") -> None:
-    """The state of each call (call_id, ts, status) after each batch; a call that is silent for an hour of event time without being complete becomes an error."""
+    """The state of each call (call_id, ts, status) after each batch; a call that is silent for an hour of event time without being complete becomes an error as of the end of that hour."""
     limit = int(pd.Timedelta(orphan_after).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, status = state.get if state.exists else (0, "")
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"call_id": [key[0]], "at": [at], "status": ["error"]})
+            yield pd.DataFrame({"call_id": [key[0]], "at": [at + limit * 1000], "status": ["error"]})
             return
         for frame in frames:
-            for ts, told in zip(frame["ts"].astype("int64") // 1000, frame["status"], strict=True):
+            for ts, told in zip(frame["ts"].astype("datetime64[us]").astype("int64"), frame["status"], strict=True):
                 at, status = max((at, status), (int(ts), told))
         state.update((at, status))
         if status not in ("complete", "error"):
