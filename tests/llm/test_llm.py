@@ -282,6 +282,50 @@ def test_licenses(spark):
     assert [found[k]["license"] for k in range(1, 6)] == ["mit", "cc-by-nc-4.0", None, None, "isc"]
 
 
+def windows_by_force(text: str, templates: dict[str, list[str]], percent: int) -> dict[str, float]:
+    words, found = licenses._WORD.findall(text.lower()), []
+    for name, texts in templates.items():
+        for template in texts:
+            b, size = licenses.bigrams(template), len(licenses._WORD.findall(template.lower()))
+            for p in range(len(words) - size + 1):
+                own = set(zip(words[p : p + size], words[p + 1 : p + size], strict=False))
+                if 200 * len(own & b) >= percent * (len(own) + len(b)):
+                    found.append((name, p, size, len(own & b), 2 * len(own & b) / (len(own) + len(b))))
+    best: dict[str, float] = {}
+    for name, p, size, common, dice in found:
+        if not any(n != name and c > common and q <= p + size // 2 < q + s for n, q, s, c, _ in found):
+            best[name] = max(best.get(name, 0.0), dice)
+    return best
+
+
+def test_license_windows_as_by_force(monkeypatch):
+    templates = {"one": ["a b c d e", "f g a b"], "two": ["a b c d e f g", "e e a"], "three": ["b c d"]}
+    matcher = licenses.Matcher(templates, licenses.THRESHOLD)
+    random = np.random.default_rng(5)
+    texts = [" ".join(random.choice(list("abcdefg"), random.integers(0, 60))) for _ in range(150)]
+    texts += [" x ".join(random.choice(["a b c d e", "a b c d e f g", "b c d", "f g a b", "e e a", "y"], 30)) for _ in range(20)]
+    for piece in (licenses.PIECE, 7):
+        monkeypatch.setattr(licenses, "PIECE", piece)
+        for text in texts:
+            for percent in (60, 90, 100):
+                assert matcher.within(text, percent) == pytest.approx(windows_by_force(text, templates, percent))
+
+
+def test_licenses_inside_longer_text(spark):
+    bsd = licenses.TEMPLATES["bsd-3-clause"][2]
+    second, third = bsd.index("1."), bsd.index("3.")
+    texts = [
+        (1, "This small tool, which is Licensed under the MIT License. and was written by several people, reads files."),
+        (2, f"{bsd[:second]}\n\n{bsd[second:third]}\n\nThis ends it"),
+        (3, f"{bsd[:second]}\n\n{bsd[second:third]}\n\n{bsd[third:]}\n\nThis ends it"),
+        (4, "licensed under the terms that the MIT and others once called License"),
+        (5, " ".join(map(str, range(70000))) + " " + licenses.TEMPLATES["gpl-2.0"][2] + " and so on"),
+    ]
+    found = collected(licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id")
+    assert [found[k]["license"] for k in range(1, 6)] == ["mit", "bsd-2-clause", "bsd-3-clause", None, "gpl-2.0"]
+    assert found[5]["licenses"] == ["gpl-2.0"]
+
+
 def test_standard_notices_and_texts_of_licenses():
     matcher = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
 

@@ -5,13 +5,21 @@ normalised alike: lower case, and only letters and digits count, as words. With
 sets A and B of word bigrams the coefficient is 2 |A & B| / (|A| + |B|). For it
 to reach t, sizes must lie within a factor of (2 - t) / t of each other, which
 leaves few templates for a block; most blocks share no bigram with any.
+
+Notices also stand inside longer lines, or run over several paragraphs. So each
+window of a whole text that has as many words as a template is compared with
+it too, at a stricter coefficient (WITHIN percent). A window whose middle lies in
+a window of another licence that shares more bigrams with its own template goes:
+the two-clause BSD text isn't found in the three-clause one.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -93,6 +101,10 @@ TEMPLATES = {
     ],
 }
 THRESHOLD = 0.8
+#: Least Dice coefficient of a window inside a text, in percent.
+WITHIN = 90
+#: Words of a text that are looked at together; pieces overlap by the longest template.
+PIECE = 1 << 16
 _WORD = re.compile(r"[^\W_]+")
 _BLANK = re.compile(r"\n[^\S\n]*\n")
 
@@ -109,6 +121,7 @@ class Matcher:
     def __init__(self, templates: dict[str, list[str]], threshold: float):
         self.threshold = threshold
         self.templates = [(name, b) for name in sorted(templates) for text in templates[name] if (b := bigrams(text))]
+        self.lengths = [len(_WORD.findall(text.lower())) for name in sorted(templates) for text in templates[name] if bigrams(text)]
         self.by_bigram: dict[tuple[str, str], list[int]] = {}
         for k, (_, found) in enumerate(self.templates):
             for b in found:
@@ -135,6 +148,65 @@ class Matcher:
             if m * t <= n * (2 - t) and n * t <= m * (2 - t) and 2 * common >= t * (n + m):
                 yield name, 2 * common / (n + m)
 
+    def windows(self, words: list[str], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of windows that reach ``percent``: template, and for each window its first word, bigrams shared and coefficient."""
+        pairs = set(zip(words, words[1:], strict=False))
+        shared: dict[int, int] = {}
+        for pair in self.by_bigram.keys() & pairs:
+            for k in self.by_bigram[pair]:
+                shared[k] = shared.get(k, 0) + 1
+        # a window's own bigrams are at least those that it shares
+        fit = [k for k, c in shared.items() if self.lengths[k] <= len(words) and 200 * c >= percent * (c + len(self.templates[k][1]))]
+        if not fit:
+            return
+        ids = {pair: i for i, pair in enumerate(pairs)}
+        codes = np.array([ids[pair] for pair in zip(words, words[1:], strict=False)])
+        order = np.argsort(codes, kind="stable")
+        before = np.full(len(codes), -1)  # where a bigram stood last
+        again = codes[order][1:] == codes[order][:-1]
+        before[order[1:][again]] = order[:-1][again]
+
+        def distinct(places: np.ndarray, size: int) -> np.ndarray:
+            """Of these places the first of their bigram in each window of ``size`` bigrams, counted by its start."""
+            edges = np.bincount(np.maximum(before[places], places - size) + 1, minlength=len(codes) + 1)
+            return np.cumsum(edges - np.bincount(places + 1, minlength=len(codes) + 1))[: len(codes) - size + 1]
+
+        for k in fit:
+            template = self.templates[k][1]
+            known = np.zeros(len(pairs), bool)
+            known[[ids[pair] for pair in template & pairs]] = True
+            size = self.lengths[k] - 1
+            common, n = distinct(np.flatnonzero(known[codes]), size), distinct(np.arange(len(codes)), size)
+            starts = np.flatnonzero(200 * common >= percent * (n + len(template)))
+            if len(starts):
+                yield k, starts, common[starts], 2 * common[starts] / (n[starts] + len(template))
+
+    def within(self, text: str, percent: int = WITHIN) -> dict[str, float]:
+        """Licences of a text's windows, each with its best coefficient."""
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        source, overlap, at = (m[0] for m in _WORD.finditer(text.lower())), max(self.lengths) - 1, 0
+        words = list(islice(source, PIECE + overlap))
+        while words:
+            for k, starts, common, dice in self.windows(words, percent):
+                own = starts < PIECE
+                found.setdefault(k, []).append((starts[own] + at, common[own], dice[own]))
+            words, at = words[PIECE:], at + PIECE
+            words += islice(source, PIECE)
+        hits = {k: [np.concatenate(x) for x in zip(*parts, strict=True)] for k, parts in found.items()}
+        best: dict[str, float] = {}
+        for k, (starts, common, dice) in hits.items():
+            name, middle = self.templates[k][0], starts + self.lengths[k] // 2
+            stays = np.ones(len(starts), bool)
+            for other, (begin, more, _) in hits.items():
+                if self.templates[other][0] != name:
+                    first, last = np.searchsorted(begin, middle - self.lengths[other], "right"), np.searchsorted(begin, middle, "right")
+                    some = np.flatnonzero(first < last)
+                    most = np.maximum.reduceat(np.append(more, 0), np.stack([first[some], last[some]], 1).ravel())[::2] if len(some) else more[:0]
+                    stays[some[most > common[some]]] = False
+            if stays.any():
+                best[name] = max(best.get(name, 0.0), float(dice[stays].max()))
+        return best
+
 
 def blocks(text: str) -> Iterator[str]:
     """The lines of a text, and its runs of two or more lines between blank ones."""
@@ -149,8 +221,9 @@ def blocks(text: str) -> Iterator[str]:
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: doc_id, license (the best; ties by name; null if none), dice, n_matches and licenses (all found, sorted).
 
-    n_matches counts blocks that match some template. Null and empty texts
-    match nothing; repeated rows stay.
+    Found are the licences of blocks and of windows. n_matches counts blocks
+    that match some template, so it is 0 where a notice stands inside a block
+    only. Null and empty texts match nothing; repeated rows stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +231,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
         for batch in chunks(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                best: dict[str, float] = {}
-                n = 0
+                best, n = matcher.within(text), 0
                 for block in blocks(text):
                     hits = list(matcher.of(block))
                     n += bool(hits)
