@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, word_count
+from .ranking import ranked
 
 
 def ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
@@ -119,9 +120,16 @@ def harmonize(samples: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.15) -> DataFrame:
-    """A reproducible split: in each stratum the share of smallest md5 of the key is held out."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")))
-    return rows.withColumn("held_out", F.percent_rank().over(order) <= share)
+    """A reproducible split: in each stratum the share of smallest md5 of the key is held out.
+
+    Rows of one key stand together: the place of the first of them counts, as in
+    ``percent_rank``. Strata are ranked over many tasks, however large they are.
+    """
+    keys = rows.select(F.col(label).alias("stratum"), F.md5(F.col(key).cast("string")).alias("digest"))
+    first = ranked(keys, ["stratum"], ["digest"]).groupBy("stratum", "digest").agg(F.min("rank").alias("rank"), F.min("total").alias("total"))
+    out = F.when(F.col("total") == 1, F.lit(True)).otherwise(F.col("rank") / (F.col("total") - 1) <= share)
+    same = F.col(f"`{label}`").eqNullSafe(F.col("stratum")) & F.md5(F.col(f"`{key}`").cast("string")).eqNullSafe(F.col("digest"))
+    return rows.join(first.select("stratum", "digest", out.alias("held_out")), same).drop("stratum", "digest")
 
 
 def sentences(token_rows: DataFrame) -> DataFrame:

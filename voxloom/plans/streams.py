@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import Corpus
+from ..sources.shared import shared_dir
 from ..streaming import jobs
 from .records import versions
 from .registry import query
 
 
 def _folder(c: Corpus, name: str) -> str:
-    base = c.spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not c.spark.sparkContext.master.startswith("local[") and c.spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or c.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_dir(c.spark, name)
 
 
 def _arrive(c: Corpus, frame: DataFrame, order: str, job: Callable[[DataFrame], None]) -> None:
