@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written  # noqa: F401
+
 #: Text bytes that a Python worker works on at once.
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch between the JVM and a Python worker: either side holds a few of them for each task.
@@ -23,27 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share.
-
-    It lies in ``spark.checkpoint.dir``; where that is unset, a folder under the
-    warehouse is used on one machine (tests), and a cluster is refused, as its
-    executors needn't share that folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def doc_texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id, text (null: empty) and further columns; what else ``docs`` has isn't read."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, minhash, packing, rlz, suffix_dedup, token_store, webp
+from . import decontam, html_extract, langid, licenses, merkle, minhash, packing, repair, rlz, suffix_dedup, token_store, webp
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +71,46 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_matches", F.array_join("licenses", ",").alias("licenses"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the edits that repair it."""
+    return repair.repaired(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that each gives after tampering."""
+    return merkle.manifest(spark, read_table(spark, sf_dir, "documents"))
+
+
+def _manifest_sql() -> str:
+    field = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    table = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i))"
+    crc = f"xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, x: xor(c // 256, ({table})[xor(c, x) % 256 + 1]), 4294967295), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    with recursive d as (select doc_id, coalesce(':' || lang, '') as k, {leaf("text")} as leaf, case when {crc} % 3 = 0 then {leaf(lower)} else {leaf("text")} end as changed from documents),
+    l as (select *, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as r, count(*) over (partition by k) as n from d),
+    up(k, h, i, x, n) as (
+        select k, 0, r, leaf, n from l
+        union all select k, h + 1, i // 8, sha256(string_agg(x, '' order by i)), any_value((n + 7) // 8) from up where n > 1 group by k, h, i // 8),
+    subs as (select k, h, x as subroot, row_number() over (order by k) - 1 as r, count(*) over () as n from up where n = 1),
+    over(h, i, x, n) as (
+        select 0, r, subroot, n from subs
+        union all select h + 1, i // 8, sha256(string_agg(x, '' order by i)), any_value((n + 7) // 8) from over where n > 1 group by h, i // 8),
+    both_trees as (select k, h, i, x from up where n > 1 union all select k, s.h + o.h, i, x from subs s, over o where o.n > 1),
+    sides as (select a.k, a.h, a.i, coalesce(string_agg(b.x, '' order by b.i) filter (b.i < a.i), '') as before, coalesce(string_agg(b.x, '' order by b.i) filter (b.i > a.i), '') as after
+        from both_trees a join both_trees b on a.k = b.k and a.h = b.h and a.i // 8 = b.i // 8 group by a.k, a.h, a.i),
+    tall as (select max(h) as t from over),
+    climb(k, doc, r, h, i, x, p) as (
+        select k, doc_id, l.r, 0, l.r, changed, '' from l
+        union all select c.k, c.doc, c.r, c.h + 1, case when c.h + 1 = s.h then s.r else case when c.h = s.h and s.h = 0 then s.r else c.i end // 8 end,
+            case when v.k is null then c.x else sha256(v.before || c.x || v.after) end, c.p || coalesce(v.before || v.after, '')
+            from climb c join subs s on s.k = c.k left join sides v on v.k = c.k and v.h = c.h and v.i = case when c.h = s.h then s.r else c.i end, tall where c.h < s.h + tall.t)
+    select doc_id, leaf, subroot, o.x as root, sha256(p) as proof_sha256, c.x as folded_root, c.x = o.x as verified
+    from l join subs s using (k) join climb c on c.k = l.k and c.r = l.r, tall, (select x from over where n = 1) o where c.h = s.h + tall.t
+    """
+
+
 def _licenses_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in licenses.TEMPLATES.items() for text in texts)
     pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
@@ -120,9 +160,9 @@ def _containments_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op3_near_duplicates, op4_html_text, op5_tokens, op6_packing, op7_decontamination, op8_media, op9_substring_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op3_near_duplicates, op4_html_text, op5_tokens, op6_packing, op7_decontamination, op8_media, op9_substring_dedup, op10_licenses, op11_repair, op12_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op7_decontamination": _containments_sql(), "op10_licenses": _licenses_sql()}
+    return {"op7_decontamination": _containments_sql(), "op10_licenses": _licenses_sql(), "op12_merkle": _manifest_sql()}
