@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm import merkle, queries, repair
+from voxloom.llm import merkle, queries, repair, topk
 
 DATA = "/root/testdata/sf0.001"
 FULL = re.compile(r"(s?(ua)+)?\Z")
@@ -169,3 +171,59 @@ def test_paths_of_some_leaves(spark):
     found = merkle.descend(start, records, 3, 0, rows.where("rank in (0, 77, 199)")).select("at", "digest", merkle.fold(F.col("digest"), F.col("path")).alias("root")).collect()
     root = top.first()["digest"]
     assert sorted((r["at"], r["digest"], r["root"]) for r in found) == [(k, sha(str(k)), root) for k in (0, 77, 199)]
+
+
+def nearest_by_hand(rows: list[tuple], every: int, k: int) -> list[tuple]:
+    """(query_id, rank, vec_id, score) by comparing every query with every other row."""
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, q) in enumerate(good):
+        if i % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(q, v, strict=False)), j) for b, (j, v) in enumerate(good) if a != b)
+            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+def vectors(n: int, width: int, seed: int) -> list[tuple]:
+    """Rows with ties, copies, near copies, short, empty and unusable vectors, repeated and missing ids."""
+    rng = random.Random(seed)
+    rows = [(k, [rng.choice([0.0, rng.gauss(0, 1), rng.randint(-2, 2) / 4]) for _ in range(width)]) for k in range(n)]
+    rows += [(n + k, rows[k % min(n, 7)][1]) for k in range(n // 2)]
+    rows += [(10, rows[-1][1]), (10, rows[1][1]), (None, rows[0][1]), (2 * n, None), (2 * n + 1, [None, 1.0]), (2 * n + 2, [math.nan] * width), (2 * n + 3, [math.inf]), (2 * n + 4, [1.5]), (5 * n, []), (10 * n, [0.0] * width)]
+    return rows
+
+
+@pytest.mark.parametrize(("n", "width", "block"), [(120, 6, 16), (120, 3, 4096), (3, 2, 4)])
+def test_nearest_by_hand(spark, n, width, block):
+    rows = vectors(n, width, n + width)
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, query string").repartition(3)
+    assert sorted(map(tuple, topk.nearest(spark, frame, every=5, k=4, block=block, group=7).collect())) == nearest_by_hand(rows, 5, 4)
+
+
+def test_nearest_of_few(spark):
+    frame = spark.createDataFrame([(50, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert topk.nearest(spark, frame).collect() == []
+    assert topk.nearest(spark, frame.limit(0)).collect() == []
+    both = frame.unionByName(spark.createDataFrame([(7, [-2.0, 0.0])], "vec_id long, embedding array<float>"))
+    assert [tuple(r) for r in topk.nearest(spark, both).collect()] == [(50, 1, 7, -131072)]
+
+
+def test_search_stops_early():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.gamma(0.1, size=(4096, 8))).astype(np.int64)
+    lists = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+    scored = []
+    for q in x[:20]:
+        best = topk.Best(6, -(1 << 63))
+        scored.append(topk.threshold_search(x, lists, np.arange(4096), np.ones(4096, np.int32), q, best))
+        want = sorted(zip((-(x @ q)).tolist(), range(4096), strict=True))[:6]
+        assert list(zip((-best.score).tolist(), best.id.tolist(), strict=True)) == want
+    assert np.median(scored) < 1024
+
+
+def test_components_beyond_doubles():
+    x = np.array([[1 << 31, 1], [1 << 31, 2], [-(1 << 31), 3]], np.int64)
+    best = topk.Best(2, -(1 << 63))
+    topk.threshold_search(x, np.argsort(x, axis=0, kind="stable").T.astype(np.int32), np.arange(3), np.ones(3, np.int32), np.array([(1 << 31) - 1, 1], np.int64), best)
+    assert best.id.tolist() == [1, 0]
+    assert best.score.tolist() == [((1 << 31) - 1 << 31) + 2, ((1 << 31) - 1 << 31) + 1]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, merkle, minhash, packing, repair, rlz, suffix_dedup, token_store, webp
+from . import decontam, html_extract, langid, licenses, merkle, minhash, packing, repair, rlz, suffix_dedup, token_store, topk, webp
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -81,6 +81,21 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every vector whose id 50 divides."""
+    return topk.nearest(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+def _nearest_sql() -> str:
+    return """
+    with e as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+               where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from e q join e c on q.r <> c.r where q.vec_id % 50 = 0),
+    k as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
+    select query_id, rank::int as rank, vec_id, score from k where rank <= 5
+    """
+
+
 def _manifest_sql() -> str:
     field = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
     leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
@@ -160,9 +175,9 @@ def _containments_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op3_near_duplicates, op4_html_text, op5_tokens, op6_packing, op7_decontamination, op8_media, op9_substring_dedup, op10_licenses, op11_repair, op12_merkle)}
+    return {f.__name__: f for f in (op1_language, op2_suffix_dedup, op3_near_duplicates, op4_html_text, op5_tokens, op6_packing, op7_decontamination, op8_media, op9_substring_dedup, op10_licenses, op11_repair, op12_merkle, op13_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op7_decontamination": _containments_sql(), "op10_licenses": _licenses_sql(), "op12_merkle": _manifest_sql()}
+    return {"op7_decontamination": _containments_sql(), "op10_licenses": _licenses_sql(), "op12_merkle": _manifest_sql(), "op13_nearest": _nearest_sql()}
