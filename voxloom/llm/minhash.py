@@ -106,6 +106,10 @@ def least_agreement(percent: int) -> float:
     return SKETCH * p - 4.5 * (SKETCH * p * (1 - p)) ** 0.5
 
 
+def _digests(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    return [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), digest of the set (null if empty), and its band keys."""
 
@@ -118,22 +122,21 @@ def features(docs: DataFrame) -> DataFrame:
             keys = band_keys(signatures(hashes, offsets)) if len(some) else np.empty((0, bands), np.uint64)
             places = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(places), pa.array(keys.ravel().view(np.int64)))
-            digests = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(digests, pa.binary()), lists], ["doc_id", "n", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(_digests(hashes, offsets), pa.binary()), lists], ["doc_id", "n", "digest", "bands"])
 
     text = F.coalesce("text", F.lit("")).alias("text")
     return docs.select("doc_id", text).mapInArrow(make, "doc_id long, n long, digest binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """id and elements: the sorted shingle hashes of each document."""
+    """digest and elements: the sorted shingle hashes of each document, and their digest as ``features`` has it."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=1 << 20):
             hashes, offsets = shingle_sets(*utf8(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, offsets), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))], ["digest", "elements"])
 
-    return docs.mapInArrow(make, "id long, elements array<long>")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(make, "digest binary, elements array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,36 +177,47 @@ def _fitting(n: F.Column, m: F.Column, percent: int) -> F.Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _tied(texts: DataFrame) -> DataFrame:
+    """Links a, b between the texts (doc_id, id) of one doc_id, each with the one of smallest id."""
+    first = written(texts.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last"), "repeated")
+    return texts.join(first, "doc_id").where("id > a").select("a", F.col("id").alias("b")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id reachable over links, itself included;
     kept says that it is the document's own. Documents without words (null or
     empty text) are linked with nothing. Rows of one doc_id are one document to
-    the links. A null doc_id is linked with nothing: component_id null, kept.
+    the links: what is linked with one of its texts is linked with all. A null
+    doc_id is linked with nothing: component_id null, kept.
+
+    Links are between different sets, each with a number of its own that the
+    written table ``alike`` fixes.
     """
     made = written(features(docs), "features")
     named = made.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    alike = written(named.groupBy("digest").agg(F.min("doc_id").alias("id")), "alike")
-    first = named.join(alike.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    rows = first.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "bands")
+    alike = written(named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "alike")
+    rows = named.join(alike, ["digest", "doc_id"]).dropDuplicates(["id"]).select("id", "n", "bands")
     banded = rows.select("id", "n", F.posexplode("bands").alias("band", "key"))
     centres = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
     shared = written(banded.join(centres, "key"), "buckets")  # only buckets with company
-    nodes = shared.select(F.col("id").alias("doc_id")).distinct()
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sets = written(sets_of(text.join(nodes, "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
+    nodes = written(alike.join(shared.select("id").distinct(), "id", "left_semi"), "nodes")
+    text = docs.select("doc_id", "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = written(sets_of(text).dropDuplicates(["digest"]).join(nodes.select("digest", "id"), "digest").select("id", "elements"), "sets")
     star = shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "n").distinct()
-    links = written(confirmed(star, sets, percent), "links")
+    texts = named.select("doc_id", "digest").distinct().join(alike.select("digest", "id"), "digest").select("doc_id", "id")
+    texts = written(texts, "texts")
+    links = written(confirmed(star, sets, percent).unionByName(_tied(texts)), "links")
     labels = components(links)
     rest = written(_open_pairs(shared, sets, labels, percent), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(confirmed(rest, sets, percent))
         labels = components(links)
-    texts_to_self = named.select("doc_id", "digest").join(alike, "digest")
-    joined = texts_to_self.join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("label", "id").alias("component_id"))
-    joined = joined.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = made.select("doc_id", F.col("n").alias("n_shingles")).join(joined, "doc_id", "left")
+    joined = written(texts.join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("label", "id").alias("label")).distinct(), "joined")
+    least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    found = joined.join(least, "label").select("doc_id", "component_id")
+    out = made.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
