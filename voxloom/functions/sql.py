@@ -13,7 +13,7 @@ _QUOTED = lambda rows: "array(" + ", ".join(f"'{r}'" for r in rows) + ")"  # noq
 FUNCTIONS = {
     "verhoeff_ok(digits string) returns boolean": f"length(digits) > 0 and aggregate(transform(sequence(1, length(digits)), i -> struct(cast(substring(reverse(digits), i, 1) as int) as d, i - 1 as k)), 0, (c, x) -> cast(substring(element_at({_QUOTED(pii.VERHOEFF_TIMES)}, c + 1), cast(substring(element_at({_QUOTED(pii.VERHOEFF_MOVE)}, x.k % 8 + 1), x.d + 1, 1) as int) + 1, 1) as int)) = 0",
     "mask_digits(value string) returns string": "concat(repeat('X', greatest(length(regexp_replace(value, '[^0-9]', '')) - 4, 0)), right(regexp_replace(value, '[^0-9]', ''), 4))",
-    "normal_text(value string) returns string": "btrim(regexp_replace(lower(coalesce(value, '')), '[^a-z0-9]+', ' '))",
+    "normal_text(value string) returns string": "btrim(regexp_replace(lower(coalesce(value, '')), r'[^\\p{L}\\p{M}\\p{N}]+', ' '))",
 }
 
 

@@ -1,14 +1,50 @@
-"""Column functions over text, and joins with phrase lists."""
+"""Column functions over text in any script, and joins with phrase lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters that are no part of a word's spelling: joiners, soft hyphens, byte order marks.
+UNSEEN = "­​‌‍⁠﻿"
+#: Blocks whose letters are brought to one form: accented Latin, and the scripts of India.
+COMPOSED_BLOCKS = ((0x00C0, 0x0180), (0x0900, 0x0E00))
+
+
+def _forms() -> list[tuple[str, str]]:
+    """Spellings of one letter that differ from its canonical composition, longer ones first."""
+    pairs = set()
+    for low, high in COMPOSED_BLOCKS:
+        for c in map(chr, range(low, high)):
+            whole, parts = unicodedata.normalize("NFC", c), unicodedata.normalize("NFD", c)
+            pairs |= {(x, whole) for x in (c, parts) if x != whole}
+    return sorted(pairs, key=lambda p: (-len(p[0]), p))
+
+
+FORMS = _forms()
+
+
+def _class(characters: set[str]) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(characters)) + "]"
+
+
+#: Only texts with such a character or pair of characters hold another form.
+_DIFFERS = "|".join([_class({x for x, _ in FORMS if len(x) == 1}), _class({x[0] for x, _ in FORMS if len(x) > 1}) + _class({x[1] for x, _ in FORMS if len(x) > 1})])
+
+
+def composed(text: Column) -> Column:
+    """Letters of COMPOSED_BLOCKS in canonical composition; texts without another form are left alone."""
+    pairs = F.split(F.lit(" ".join(f"{a}>{b}" for a, b in FORMS)), " ")  # one literal: the plan stays small
+    part = lambda p, k: F.split_part(p, F.lit(">"), F.lit(k))
+    return F.when(text.rlike(_DIFFERS), F.aggregate(pairs, text, lambda t, p: F.replace(t, part(p, 1), part(p, 2)))).otherwise(text)
+
 
 def normal(text: Column) -> Column:
-    """Lower case, with one space for whatever isn't an ASCII letter or digit, and no space at the ends."""
-    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    """Lower case, with one space for whatever isn't a letter, mark or digit of some script, and no space at the ends."""
+    plain = composed(F.translate(F.coalesce(text, F.lit("")), UNSEEN, ""))
+    return F.btrim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -22,17 +58,40 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
 
 
-def phrase_hits(segments: DataFrame, phrases: DataFrame) -> DataFrame:
-    """A row for each segment and phrase that stands in it as whole words.
+def phrase_hits(segments: DataFrame, phrases: DataFrame, streams: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each segment and phrase that begins in it as whole words; the phrase may end in later segments of the call.
+
+    ``streams`` names boolean columns, each for a part of the call that is read by
+    itself, as if the segments where it is true followed one another; in the
+    result they say in which parts the phrase begins here. Without streams the
+    whole call is read. Segments without words stand in nobody's way.
 
     The distinct words of a segment are joined with the first words of the
-    phrases by equality, so the list may be long; what is left is looked up in the
-    text. Catalyst sends the list to all executors if it is small enough, and
+    phrases by equality, so the list may be long; what is left is looked up in
+    the segment's words and as many of those that follow as the longest phrase
+    has. The text itself isn't returned. Catalyst sends the list to all executors if it is small enough, and
     shuffles both sides else.
     """
-    known = phrases.select(normal(F.col("phrase")).alias("gram"), *phrases.columns).withColumn("word", F.split_part("gram", F.lit(" "), F.lit(1)))
-    said = segments.withColumn("said", normal(F.col("text")))
-    words = said.withColumn("word", F.explode(F.array_distinct(F.split("said", " "))))
-    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    found = words.join(known.where("gram <> ''"), "word").where(F.contains(padded(F.col("said")), padded(F.col("gram"))))
-    return found.drop("word", "said", "gram")
+    known = phrases.select(normal(F.col("phrase")).alias("_gram"), *phrases.columns).where("_gram <> ''")
+    length = F.size(F.split("_gram", " "))
+    longest = known.agg(F.max(length)).first()[0] or 1
+    known = known.select(*phrases.columns, F.split_part("_gram", F.lit(" "), F.lit(1)).alias("_word"), F.concat(F.lit(" "), "_gram", F.lit(" ")).alias("_gram"), (length > 1).alias("_long"))
+    said = segments.withColumn("_said", F.concat(F.lit(" "), normal(F.col("text")), F.lit(" ")))
+    parts = streams or ("_all",)
+    if not streams:
+        said = said.withColumn("_all", F.lit(True))
+    then = {part: F.lit("") for part in parts}
+    if longest > 1:
+        some = F.col("_said") != "  "
+        said = said.withColumn("_starts", F.when(some, F.concat(F.substring_index(F.btrim("_said"), " ", longest - 1), F.lit(" "))))
+        for part in parts:
+            later = Window.partitionBy("call_id", F.col(part) & some).orderBy("segment_id")
+            said = said.withColumn(f"_then_{part}", F.concat_ws("", *[F.lead("_starts", k).over(later) for k in range(1, longest)]))
+            then[part] = F.col(f"_then_{part}")
+    kept = said.drop("text", "_starts") if "text" in segments.columns else said
+    words = F.explode(F.array_distinct(F.split(F.btrim("_said"), " ")))
+    found = kept.withColumn("_word", words).join(known, "_word").withColumn("_inside", F.contains("_said", "_gram"))
+    begins = lambda part: F.call_function("instr", F.concat("_said", then[part]), F.col("_gram")).between(1, F.length("_said") - 1)
+    found = found.withColumns({part: F.coalesce(F.col(part) & (F.col("_inside") | (F.col("_long") & begins(part))), F.lit(False)) for part in parts})
+    anywhere = F.greatest(*[F.col(part) for part in parts]) if len(parts) > 1 else F.col(parts[0])
+    return found.where(anywhere).drop("_word", "_said", "_gram", "_long", "_inside", "_all", *[f"_then_{part}" for part in parts])

@@ -34,7 +34,9 @@ def call_facts(segments: DataFrame, vocab: DataFrame, seconds: float = 30) -> Da
     ``said`` has an element for each phrase of the vocabulary in the call, with the
     first segment at all (``first``), of the agent (``agent``), in the agent's
     opening (``opening``) and of the customer (``customer``); its length is
-    bounded by that of the vocabulary. Segments are read once for all checks.
+    bounded by that of the vocabulary. Each of these parts of a call is read as one
+    text, so that a phrase may go over several of its segments; it counts where it
+    begins. Segments are read once for all checks.
     """
     is_agent, is_customer = F.coalesce(F.lower("speaker").isin(*AGENT), F.lit(False)), F.coalesce(F.lower("speaker").isin(*CUSTOMER), F.lit(False))
     w, length = Window.partitionBy("call_id"), F.col("end_s") - F.col("start_s")
@@ -43,9 +45,10 @@ def call_facts(segments: DataFrame, vocab: DataFrame, seconds: float = 30) -> Da
     before = F.sum(F.when(F.col("scope"), F.col("length"))).over(w.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1))
     marked = marked.withColumn("opening", F.col("scope") & (F.coalesce(before, F.lit(0.0)) < seconds))
     known = vocab.select("category", "subcategory", "phrase", "ord")
-    hits = phrase_hits(marked.select("call_id", "segment_id", "text", "scope", "opening", "is_customer"), known)
+    spoken = marked.select("call_id", "segment_id", "text", "scope", "opening", "is_customer", F.lit(True).alias("whole"))
+    hits = phrase_hits(spoken, known, ("whole", "scope", "opening", "is_customer"))
     least = lambda flag, name: F.min(F.when(F.col(flag), F.col("segment_id"))).alias(name)
-    first = hits.groupBy("call_id", "category", "subcategory", "phrase").agg(F.min("ord").alias("ord"), F.min("segment_id").alias("first"), least("scope", "agent"), least("opening", "opening"), least("is_customer", "customer"))
+    first = hits.groupBy("call_id", "category", "subcategory", "phrase").agg(F.min("ord").alias("ord"), least("whole", "first"), least("scope", "agent"), least("opening", "opening"), least("is_customer", "customer"))
     said = first.groupBy("call_id").agg(F.collect_list(F.struct("category", "subcategory", "phrase", "ord", "first", "agent", "opening", "customer")).alias("said"))
     spent = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col("length"))), F.lit(0.0))
     calls = marked.groupBy("call_id").agg(F.min("call_type").alias("call_type"), spent("is_agent").alias("agent_s"), spent("is_customer").alias("customer_s"), F.collect_list(F.when(F.col("is_agent"), F.col("segment_id"))).alias("turns"))

@@ -94,7 +94,7 @@ def spoken_amounts(segments: DataFrame) -> DataFrame:
 
 def detect_call_type(segments: DataFrame, phrases: DataFrame, seconds: float = 45, least: int = 2) -> DataFrame:
     """Call type from the keywords of the first seconds: the type of most distinct ones if there are two or more, else general."""
-    opening = segments.where(F.col("start_s") < seconds).select("call_id", "text")
+    opening = segments.where(F.col("start_s") < seconds).select("call_id", "segment_id", "text")
     hits = phrase_hits(opening, phrases.where(F.col("category") == "call_type").select("phrase", F.col("subcategory").alias("kind")))
     counted = hits.groupBy("call_id", "kind").agg(F.count_distinct("phrase").alias("n")).where(F.col("n") >= least)
     best = counted.groupBy("call_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "kind")).alias("best"))
@@ -154,7 +154,7 @@ def trim_calls(segments: DataFrame, start: float, end: float) -> DataFrame:
 
 
 def first_mention(segments: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The first segment of each call that has a phrase."""
+    """The first segment of each call in which a phrase begins."""
     return phrase_hits(segments.select("call_id", "segment_id", "text"), phrases).groupBy("call_id", "phrase").agg(F.min("segment_id").alias("segment_id"))
 
 

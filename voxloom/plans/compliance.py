@@ -9,7 +9,7 @@ from ..operators import compliance as k
 from ..sources import vocabulary
 from ..sources.fixtures import Corpus
 from .registry import query
-from .transcript import HAS
+from .transcript import heard
 
 AGENT, CUSTOMER = "('agent', 'speaker a', 'speaker_00')", "('customer', 'speaker b', 'speaker_01')"
 SCOPE = f"scope as (select * exclude (has) from (select *, max((lower(speaker) in {AGENT})::int) over (partition by call_id) as has from segments) where lower(speaker) in {AGENT} or has = 0)"
@@ -19,26 +19,36 @@ def _remap(raw: str) -> str:
     return f"case when call_type in ('collections', 'kyc', 'consent') then {raw} when call_type in ('complaint', 'onboarding') then case {raw} when 'critical' then 'high' when 'high' then 'medium' else 'low' end else 'low' end"
 
 
-REQUIRED = f"""rules as (select split_part(subcategory, '/', 1) as call_type, split_part(subcategory, '/', 2) as check_name, phrase from vocab where category = 'required'),
-    opening as (select * from (select *, coalesce(sum(end_s - start_s) over (partition by call_id order by segment_id rows between unbounded preceding and 1 preceding), 0) as b from scope) where b < 30),
-    rh as (select call_id, check_name, min(segment_id) as segment_id from opening s join rules p on s.call_type = p.call_type and {HAS} group by all),
+OPENING = "opening as (select * from (select *, coalesce(sum(end_s - start_s) over (partition by call_id order by segment_id rows between unbounded preceding and 1 preceding), 0) as b from scope) where b < 30)"
+SCOPED = f"{SCOPE}, {heard('scope_hits', 'scope')}"
+WHOLE = heard("hits", "segments")
+REQUIRED = f"""{OPENING}, {heard("opening_hits", "opening")},
+    rules as (select distinct split_part(subcategory, '/', 1) as call_type, split_part(subcategory, '/', 2) as check_name from vocab where category = 'required'),
+    rh as (select call_id, split_part(subcategory, '/', 2) as check_name, min(segment_id) as segment_id from opening_hits where category = 'required' and call_type = split_part(subcategory, '/', 1) group by all),
     required as (select call_id, check_name, segment_id is not null as passed, case when segment_id is not null then 'low' else {_remap("'high'")} end as severity, segment_id, null::varchar as evidence
-        from (select distinct call_id, call_type from segments where call_type <> 'general') c join (select distinct call_type, check_name from rules) r using (call_type) left join rh using (call_id, check_name))"""
+        from (select distinct call_id, call_type from segments where call_type <> 'general') c join rules r using (call_type) left join rh using (call_id, check_name))"""
 PROHIBITED = f"""prohibited as (select call_id, 'prohibited_' || subcategory as check_name, false as passed, {_remap("case when subcategory in ('threats', 'coercion', 'misleading') then 'critical' else 'high' end")} as severity, min(segment_id) as segment_id, phrase as evidence
-        from scope join (select * from vocab where category = 'prohibited') p on {HAS} group by call_id, call_type, subcategory, phrase)"""
-THIRD = f"third as (select call_id, 'third_party_disclosure' as check_name, false as passed, 'critical' as severity, min(segment_id) as segment_id, phrase as evidence from scope join (select * from vocab where category = 'third_party') p on {HAS} group by call_id, phrase)"
+        from scope_hits where category = 'prohibited' group by call_id, call_type, subcategory, phrase)"""
+THIRD = "third as (select call_id, 'third_party_disclosure' as check_name, false as passed, 'critical' as severity, min(segment_id) as segment_id, phrase as evidence from scope_hits where category = 'third_party' group by call_id, phrase)"
 DOMINATION = f"""domination as (select call_id, 'agent_domination' as check_name, false as passed, 'medium' as severity, null::int as segment_id, null::varchar as evidence from
         (select call_id, coalesce(sum(end_s - start_s) filter (lower(speaker) in {AGENT}), 0) as a, coalesce(sum(end_s - start_s) filter (lower(speaker) in {CUSTOMER}), 0) as c from segments where call_type = 'collections' group by call_id) where a + c > 0 and a / (a + c) > 0.75)"""
-ENDED = f"""asked as (select call_id, arg_min(segment_id, (ord, segment_id)) as segment_id, arg_min(phrase, (ord, segment_id)) as evidence from segments join (select * from vocab where category = 'end_call') p on {HAS} where lower(speaker) in {CUSTOMER} group by call_id),
-    ended as (select a.call_id, 'ignored_end_request' as check_name, false as passed, 'high' as severity, a.segment_id, a.evidence from asked a join segments s on s.call_id = a.call_id and lower(s.speaker) in {AGENT} and s.segment_id > a.segment_id group by all having count(*) > 3)"""
-NOTICES = f"""nh as (select call_id, subcategory as check_name, min(segment_id) as segment_id from segments join (select * from vocab where category = 'disclaimer') p on {HAS} where call_type = 'general' group by all),
+NOTICES = """nh as (select call_id, subcategory as check_name, min(segment_id) as segment_id from hits where category = 'disclaimer' and call_type = 'general' group by all),
     notices as (select call_id, check_name, segment_id is not null as passed, 'low' as severity, segment_id, null::varchar as evidence from (select distinct call_id from segments where call_type = 'general') cross join (select distinct subcategory as check_name from vocab where category = 'disclaimer') left join nh using (call_id, check_name))"""
-PROTECTION = f"""da as (select distinct call_id, call_type from segments join (select * from vocab where category = 'data_request') p on {HAS}),
-    dhit as (select call_id, category, min(segment_id) as segment_id from segments join (select * from vocab where category in ('data_purpose', 'data_consent', 'data_rights')) p on {HAS} group by all),
+PROTECTION = f"""da as (select distinct call_id, call_type from hits where category = 'data_request'),
+    dhit as (select call_id, category, min(segment_id) as segment_id from hits where category in ('data_purpose', 'data_consent', 'data_rights') group by all),
     protection as (select call_id, check_name, segment_id is not null as passed, case when segment_id is not null then 'low' else {_remap("raw")} end as severity, segment_id, null::varchar as evidence
         from da cross join (values ('data_purpose', 'purpose_notice', 'high'), ('data_consent', 'consent_obtained', 'critical'), ('data_rights', 'rights_notice', 'medium')) r(category, check_name, raw) left join dhit using (call_id, category)
-        union all select call_id, 'data_minimisation', false, {_remap("'high'")}, min(segment_id), array_to_string(list_sort(list(distinct phrase)), ', ') from segments join (select * from vocab where category = 'sensitive_id') p on {HAS} where call_type not in ('kyc', 'onboarding') group by call_id, call_type)"""
-CHECKS = f"""{SCOPE}, {REQUIRED}, {PROHIBITED}, {THIRD}, {DOMINATION}, {ENDED}, {NOTICES}, {PROTECTION},
+        union all select call_id, 'data_minimisation', false, {_remap("'high'")}, min(segment_id), array_to_string(list_sort(list(distinct phrase)), ', ') from hits where category = 'sensitive_id' and call_type not in ('kyc', 'onboarding') group by call_id, call_type)"""
+
+
+def ended(source: str) -> str:
+    """Requests to end the call that were ignored, in ``source``."""
+    return f"""{heard("customer_hits", f"(select * from {source} where lower(speaker) in {CUSTOMER})")},
+    asked as (select call_id, arg_min(segment_id, (ord, segment_id, phrase)) as segment_id, arg_min(phrase, (ord, segment_id, phrase)) as evidence from customer_hits where category = 'end_call' group by call_id),
+    ended as (select a.call_id, 'ignored_end_request' as check_name, false as passed, 'high' as severity, a.segment_id, a.evidence from asked a join {source} s on s.call_id = a.call_id and lower(s.speaker) in {AGENT} and s.segment_id > a.segment_id group by all having count(*) > 3)"""
+
+
+CHECKS = f"""{SCOPED}, {WHOLE}, {REQUIRED}, {PROHIBITED}, {THIRD}, {DOMINATION}, {ended("segments")}, {NOTICES}, {PROTECTION},
     checks as (select * from required union all select * from prohibited union all select * from third union all select * from domination union all select * from ended union all select * from notices union all select * from protection)"""
 
 
@@ -53,13 +63,13 @@ def co01(c: Corpus) -> DataFrame:
     return k.required_disclosures(c.segments(), vocab(c))
 
 
-@query("co02_prohibited_phrases", f"with {SCOPE}, {PROHIBITED} select * from prohibited", "segments vocab")
+@query("co02_prohibited_phrases", f"with {SCOPED}, {PROHIBITED} select * from prohibited", "segments vocab")
 def co02(c: Corpus) -> DataFrame:
     """Prohibited phrases."""
     return k.prohibited_phrases(c.segments(), vocab(c))
 
 
-@query("co03_third_party", f"with {SCOPE}, {THIRD} select * from third", "segments vocab")
+@query("co03_third_party", f"with {SCOPED}, {THIRD} select * from third", "segments vocab")
 def co03(c: Corpus) -> DataFrame:
     """Disclosure to others."""
     return k.third_party(c.segments(), vocab(c))
@@ -71,19 +81,19 @@ def co04(c: Corpus) -> DataFrame:
     return k.agent_domination(c.segments())
 
 
-@query("co05_ignored_end_request", f"with {ENDED.replace(' segments ', ' segments_long ')} select * from ended", "segments segments_long vocab")
+@query("co05_ignored_end_request", f"with {ended('segments_long')} select * from ended", "segments segments_long vocab")
 def co05(c: Corpus) -> DataFrame:
     """Requests to end the call that were ignored."""
     return k.ignored_end_request(c.segments_long(), vocab(c))
 
 
-@query("co06_general_notices", f"with {NOTICES} select * from notices", "segments vocab")
+@query("co06_general_notices", f"with {WHOLE}, {NOTICES} select * from notices", "segments vocab")
 def co06(c: Corpus) -> DataFrame:
     """Notices of general calls (CO-06 to CO-08)."""
     return k.general_notices(c.segments(), vocab(c))
 
 
-@query("co09_data_protection", f"with {PROTECTION} select * from protection", "segments vocab")
+@query("co09_data_protection", f"with {WHOLE}, {PROTECTION} select * from protection", "segments vocab")
 def co09(c: Corpus) -> DataFrame:
     """Data protection (CO-09 to CO-12)."""
     return k.data_protection(c.segments(), vocab(c))
@@ -120,7 +130,7 @@ def co16(c: Corpus) -> DataFrame:
     return k.import_verdicts(judged(c))
 
 
-@query("co17_merge_checks", f"with {SCOPE}, {THIRD}, {JUDGED}, {VERDICTS}, base as (select * from third union all select * from verdicts where call_id % 2 = 0) select * from base union all select * from verdicts v where not exists (select 1 from base b where b.call_id = v.call_id and b.check_name = v.check_name)", "segments vocab")
+@query("co17_merge_checks", f"with {SCOPED}, {THIRD}, {JUDGED}, {VERDICTS}, base as (select * from third union all select * from verdicts where call_id % 2 = 0) select * from base union all select * from verdicts v where not exists (select 1 from base b where b.call_id = v.call_id and b.check_name = v.check_name)", "segments vocab")
 def co17(c: Corpus) -> DataFrame:
     """Verdicts merged into the checks."""
     found = k.import_verdicts(judged(c))

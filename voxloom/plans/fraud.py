@@ -10,10 +10,10 @@ from ..sources import vocabulary
 from ..sources.fixtures import Corpus
 from .compliance import AGENT, CUSTOMER
 from .registry import query
-from .transcript import HAS, WORDS
+from .transcript import WORDS, heard
 
 _RULES = ", ".join(f"('{a}', '{b}', {n}, {x}::double, {y}::double, {z}::double)" for a, b, n, x, y, z in f.PHRASE_SIGNALS)
-PHRASES = f"""fh as (select call_id, subcategory, count(distinct phrase) as n, arg_min(segment_id, (ord, segment_id, phrase)) as segment_id, arg_min(phrase, (ord, segment_id, phrase)) as detail from segments join (select * from vocab where category = 'fraud') p on {HAS} group by all),
+PHRASES = f"""{heard("said", "segments")}, fh as (select call_id, subcategory, count(distinct phrase) as n, arg_min(segment_id, (ord, segment_id, phrase)) as segment_id, arg_min(phrase, (ord, segment_id, phrase)) as detail from said where category = 'fraud' group by all),
     phrase_signals as (select call_id, signal_type, segment_id, round(least(base + step * n, cap), 4) as confidence, detail from fh join (values {_RULES}) r(signal_type, subcategory, least_n, base, step, cap) using (subcategory) where n >= least_n)"""
 SPEAKERS = "speakers as (select call_id, 'unexpected_speaker' as signal_type, null::int as segment_id, 0.7::double as confidence, array_to_string(list_sort(list(distinct speaker)), ',') as detail from segments group by call_id having count(distinct speaker) > 2)"
 MONOLOGUE = f"monologue as (select call_id, 'agent_monologue' as signal_type, null::int as segment_id, 0.5::double as confidence, null::varchar as detail from (select call_id, sum(end_s - start_s) as t, coalesce(sum(end_s - start_s) filter (lower(speaker) in {AGENT}), 0) as a from segments group by call_id) where a > 60 and a > 0.8 * t)"

@@ -19,7 +19,7 @@ SHARED = {
     "emotions": fixtures.emotions_sql(),
     "emotions_long": fixtures.emotions_sql("segments_long").replace("emotions as", "emotions_long as", 1),
     "frames": fixtures.FRAMES_SQL,
-    "vocab": f"vocab as ({vocabulary.pack_sql()})",
+    "vocab": f"vocab as ({vocabulary.pack_sql()}), grams as ({vocabulary.grams_sql()})",
 }
 
 

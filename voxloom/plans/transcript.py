@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from ..operators import transcript as t
 from ..sources import vocabulary
+from ..sources.vocabulary import normal_sql
 from ..sources.fixtures import Corpus
 from .registry import query
 
-NORMAL = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
-#: Whole-word phrase test over the alias ``p`` of a phrase table.
-HAS = f"contains(' ' || {NORMAL} || ' ', ' ' || trim(regexp_replace(lower(p.phrase), '[^a-z0-9]+', ' ', 'g')) || ' ')"
+NORMAL = normal_sql("text")
+
+
+def heard(name: str, source: str) -> str:
+    """Expression ``name``: phrases (all columns of ``grams``) where they begin in the rows of ``source``, which are read as one text for each call."""
+    return f"""{name} as (select t.call_id, t.segment_id, t.call_type, p.* from (
+        select call_id, segment_id, call_type, list(word) over (partition by call_id order by segment_id, k rows between current row and 11 following) as ahead from (
+            select call_id, segment_id, call_type, unnest(w) as word, generate_subscripts(w, 1) as k from (select *, list_filter(string_split({NORMAL}, ' '), lambda x: x <> '') as w from {source}))) t
+        join grams p on t.ahead[1] = p.g[1] and t.ahead[1:len(p.g)] = p.g)"""
+
+
 WORDS = "(case when trim(coalesce(text, '')) = '' then 0 else len(regexp_split_to_array(trim(text), '\\s+')) end)"
 
 
@@ -95,8 +104,8 @@ def tx09(c: Corpus) -> DataFrame:
     return t.spoken_amounts(c.segments())
 
 
-@query("tx10_unusable_calls", """
-    with s as (select call_id, bool_and(len(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' and w <> 'foreign')) = 0) as only_filler, avg(coalesce(confidence, 0.5)) as m from segments group by call_id)
+@query("tx10_unusable_calls", f"""
+    with s as (select call_id, bool_and(len(list_filter(string_split({NORMAL}, ' '), lambda w: w <> '' and w <> 'foreign')) = 0) as only_filler, avg(coalesce(confidence, 0.5)) as m from segments group by call_id)
     select call_id, only_filler, round(m, 6) as mean_confidence, only_filler or m < 0.55 as unusable from s""", "segments")
 def tx10(c: Corpus) -> DataFrame:
     """Calls whose transcript can't be used."""
@@ -104,7 +113,8 @@ def tx10(c: Corpus) -> DataFrame:
 
 
 @query("tx11_call_type", f"""
-    with h as (select call_id, subcategory as kind, count(distinct phrase) as n from segments join (select * from vocab where category = 'call_type') p on {HAS} where start_s < 45 group by call_id, subcategory having count(distinct phrase) >= 2),
+    with {heard("th", "(select * from segments where start_s < 45)")},
+    h as (select call_id, subcategory as kind, count(distinct phrase) as n from th where category = 'call_type' group by call_id, subcategory having count(distinct phrase) >= 2),
     b as (select call_id, arg_min(kind, (-n, kind)) as kind, max(n) as n from h group by call_id)
     select call_id, coalesce(kind, 'general') as detected_type, coalesce(n, 0) as n_keywords from (select distinct call_id from segments) left join b using (call_id)""", "segments vocab")
 def tx11(c: Corpus) -> DataFrame:
@@ -180,7 +190,7 @@ def tx20(c: Corpus) -> DataFrame:
     return t.trim_calls(c.segments(), 20.0, 90.0).select("call_id", "segment_id", "speaker", "start_s", "end_s", "confidence", "text", "call_type")
 
 
-@query("tx21_first_mention", f"select call_id, phrase, min(segment_id) as segment_id from segments join (select distinct phrase from vocab where category = 'fraud') p on {HAS} group by call_id, phrase", "segments vocab")
+@query("tx21_first_mention", f"with {heard('fh', 'segments')} select call_id, phrase, min(segment_id) as segment_id from fh where category = 'fraud' group by call_id, phrase", "segments vocab")
 def tx21(c: Corpus) -> DataFrame:
     """First segment with a phrase."""
     return t.first_mention(c.segments(), vocabulary.pack(c.spark).where("category = 'fraud'").select("phrase").distinct())

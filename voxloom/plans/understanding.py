@@ -10,7 +10,7 @@ from ..sources import vocabulary
 from ..sources.fixtures import Corpus
 from .compliance import AGENT, CUSTOMER
 from .registry import query
-from .transcript import WORDS
+from .transcript import NORMAL, WORDS
 
 _TOX = sorted(u.TOXIC)
 SCORES = "tox as (select call_id, segment_id, speaker, " + ", ".join(f"((call_id * {3 + 2 * k} + segment_id * {7 + k}) % 101) / 100.0::double as {x}" for k, x in enumerate(_TOX)) + " from segments)"
@@ -115,7 +115,7 @@ def in07(c: Corpus) -> DataFrame:
 
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-LEXICON = f"""lexi as (select *, list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) as w from segments),
+LEXICON = f"""lexi as (select *, list_distinct(string_split({NORMAL}, ' ')) as w from segments),
     lexc as (select *, len(list_intersect(w, {_LIST(u.POSITIVE)})) as p, len(list_intersect(w, {_LIST(u.NEGATIVE)})) as n from lexi),
     scored as (select call_id, segment_id, speaker, case when p + n = 0 then 0 else (p - n) / (p + n) end as score from lexc)"""
 

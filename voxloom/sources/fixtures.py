@@ -38,6 +38,18 @@ TEMPLATES = [
     "foreign foreign",
     "Thank you, Priya, over to you",
     "What is the due date?",
+    "अगर पैसे नहीं दिए तो घर पर आदमी भेजेंगे, ओटीपी बताइए",
+    "फोन मत करो, मैं ₹ {amt} कल दूँगा",
+    "உடனே பணம் கட்டுங்கள், வீட்டுக்கு ஆள் அனுப்புவோம்",
+    "இது வேண்டாம், வீட்டுக்கு ஆள்",
+    "அனுப்புவோம் என்று சொன்னேன், உங்கள் பிறந்த தேதி என்ன?",
+    "\u0915\u093cर्\u091c\u093c बाकी है, किस्त भरिए, यह कॉल रिकॉर्ड हो",
+    "रही है, आधार नंबर बताइए, मैं सहमत हूँ",
+    "If nobody pays then we will send our",
+    "people to your house, so please stop calling",
+    "me, I said it before, please leave me",
+    "alone, I will pay 500 today from my account",
+    "आपके account की जानकारी नहीं दूँगा",
 ]
 
 
@@ -55,7 +67,7 @@ def segments_sql(lineitem: str = "lineitem", orders: str = "orders") -> str:
         case when rn % 7 = 6 then 'SPEAKER_02' when rn % 2 = 0 then 'SPEAKER_00' else 'SPEAKER_01' end as speaker,
         cast(coalesce(sum(cast(floor(l_quantity) as int)) over (partition by l_orderkey order by rn rows between unbounded preceding and 1 preceding), 0) as double) as start_s,
         cast(sum(cast(floor(l_quantity) as int)) over (partition by l_orderkey order by rn rows between unbounded preceding and current row) as double) as end_s,
-        case when rn = 0 and l_orderkey % 3 <> 0 then 0 else (l_partkey + 7*l_suppkey + 5*rn) % 32 end as tid,
+        case when rn = 0 and l_orderkey % 3 <> 0 then 0 else (l_partkey + 7*l_suppkey + 5*rn) % {len(TEMPLATES)} end as tid,
         cast(floor(l_extendedprice) as bigint) as amt, cast(floor(l_quantity) as int) as qty,
         cast(floor(l_discount*100+0.5) as int) as rate, l_partkey as pk,
         (cast(floor(l_quantity) as int) * 37 + l_partkey * 11) % 100 as cpct from ordered_lines),
@@ -65,12 +77,14 @@ def segments_sql(lineitem: str = "lineitem", orders: str = "orders") -> str:
         from spoken join tpl on spoken.tid = tpl.tid join {orders} o on o.o_orderkey = spoken.call_id)"""
 
 
-LONG_SQL = """segments_long as (select call_id % 50 as call_id,
-        cast(row_number() over (partition by call_id % 50 order by call_id, segment_id) - 1 as int) as segment_id, speaker,
-        sum(end_s - start_s) over (partition by call_id % 50 order by call_id, segment_id rows between unbounded preceding and current row) - (end_s - start_s) as start_s,
-        sum(end_s - start_s) over (partition by call_id % 50 order by call_id, segment_id rows between unbounded preceding and current row) as end_s,
+#: Orders that make up one long call: their number grows with the input, their length doesn't.
+LONG = 400
+LONG_SQL = f"""segments_long as (select cast(floor(call_id / {LONG}) as bigint) as call_id,
+        cast(row_number() over (partition by floor(call_id / {LONG}) order by call_id, segment_id) - 1 as int) as segment_id, speaker,
+        sum(end_s - start_s) over (partition by floor(call_id / {LONG}) order by call_id, segment_id rows between unbounded preceding and current row) - (end_s - start_s) as start_s,
+        sum(end_s - start_s) over (partition by floor(call_id / {LONG}) order by call_id, segment_id rows between unbounded preceding and current row) as end_s,
         confidence, text,
-        case (call_id % 50) % 5 when 0 then 'collections' when 1 then 'kyc' when 2 then 'complaint' when 3 then 'general' else 'onboarding' end as call_type from segments)"""
+        case cast(floor(call_id / {LONG}) as bigint) % 5 when 0 then 'collections' when 1 then 'kyc' when 2 then 'complaint' when 3 then 'general' else 'onboarding' end as call_type from segments)"""
 
 
 def emotions_sql(source: str = "segments") -> str:
@@ -104,7 +118,7 @@ class Corpus:
         return self.spark.sql(f"with {segments_sql('vx_lineitem', 'vx_orders')} select * from segments")
 
     def segments_long(self) -> DataFrame:
-        """Segments of fifty long calls."""
+        """Segments of long calls, each of LONG orders."""
         self._views("lineitem", "orders")
         return self.spark.sql(f"with {segments_sql('vx_lineitem', 'vx_orders')}, {LONG_SQL} select * from segments_long")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import UNSEEN
+
 SCHEMA = "lang string, category string, subcategory string, phrase string, attr string, ord int"
 
 # A small pack of our own, (language, category, subcategory, attribute, phrases).
@@ -49,6 +51,18 @@ PACK = [
     ("en", "data_consent", "", None, ["do you consent", "i agree", "i consent"]),
     ("en", "data_rights", "", None, ["withdraw your consent", "right to erase"]),
     ("en", "sensitive_id", "", None, ["aadhaar", "pan is", "cvv"]),
+    ("hi", "required", "collections/recording_consent", "it_act", ["कॉल रिकॉर्ड हो रही है"]),
+    ("hi", "prohibited", "threats", None, ["घर पर आदमी भेजेंगे"]),
+    ("ta", "prohibited", "threats", None, ["வீட்டுக்கு ஆள் அனுப்புவோம்"]),
+    ("hi", "third_party", "", None, ["आपके account की बात बताई"]),
+    ("hi", "end_call", "", None, ["फोन मत करो"]),
+    ("hi", "fraud", "credentials", None, ["ओटीपी बताइए"]),
+    ("ta", "fraud", "urgency", None, ["உடனே", "இப்போதே"]),
+    ("hi", "fraud", "threats", None, ["₹ 500 दे दो"]),
+    ("hi", "call_type", "collections", None, ["\u0958र्\u095b बाकी", "किस्त"]),
+    ("ta", "data_request", "", None, ["பிறந்த தேதி"]),
+    ("hi", "data_consent", "", None, ["मैं सहमत हूँ"]),
+    ("hi", "sensitive_id", "", None, ["आधार नंबर"]),
 ]
 
 
@@ -68,6 +82,16 @@ def pack_sql() -> str:
     return "select * from (values " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows()) + ") v(lang, category, subcategory, phrase, attr, ord)"
 
 
+def normal_sql(text: str) -> str:
+    """DuckDB SQL of ``functions.text.normal``."""
+    return f"trim(regexp_replace(lower(nfc_normalize(translate(coalesce({text}, ''), '{UNSEEN}', ''))), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def grams_sql() -> str:
+    """Phrases of the small pack with their words (g), in DuckDB SQL over ``vocab``."""
+    return f"select *, list_filter(string_split({normal_sql('phrase')}, ' '), lambda x: x <> '') as g from vocab"
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Nested JSON files (one for each language, named by it) as the long table; where there is none, an empty one.
 
