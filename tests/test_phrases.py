@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import sql
 from voxloom.functions.text import normal, phrase_hits, tokens
+from voxloom.operators import pii
 from voxloom.sources import vocabulary
 
 
@@ -49,3 +50,26 @@ def test_parts_of_a_call_are_read_by_themselves(spark):
 
 def test_reach_of_the_sql_covers_the_pack():
     assert max(len(p.split()) for _, _, _, _, phrases in vocabulary.PACK for p in phrases) <= 11
+
+
+def test_values_that_are_spoken_spaced_or_followed_by_words(spark):
+    said = {
+        "call +91 98765 43210 now": "call XXXXXXXX3210 now",
+        "call +91-98765-43210 now": "call XXXXXXXX3210 now",
+        "pay asha@ybl or asha@paytm today": "pay a***@ybl or a***@paytm today",
+        "pay to some.one@newbank now": "pay to s***@newbank now",
+        "ES91 2100 0418 4502 0005 1332 NOW": "XXXXXXXXXXXXXXXXXX1332 NOW",
+        "write first-last@x-y.org soon": "write f***@x-y.org soon",
+        "write a.b@mail.x-y.co.in soon": "write a***@mail.x-y.co.in soon",
+        "my aadhaar is 2 3 4 5 6 7 8 9 0 1 2 4, ok": "my aadhaar is XXXXXXXX0124, ok",
+        "aadhaar two three four five, six seven eight nine oh one two four": "aadhaar XXXXXXXX0124",
+        "Aadhaar Two three 4 5 6 7 8 9 0 1 2 five": "Aadhaar Two three 4 5 6 7 8 9 0 1 2 five",
+        "count one two three four five six seven eight nine one two three four five": "count one two three four five six seven eight nine one two three four five",
+        "pan a b c p k one double two 4 f there": "pan XXXXX1224X there",
+        "number 919876543210 and +919876543210": None,
+    }
+    texts = spark.createDataFrame([(1, k, t) for k, t in enumerate(said)], "call_id int, segment_id int, text string")
+    key = ["call_id", "segment_id"]
+    masked = {r["segment_id"]: r["text"] for r in pii.mask_spans(texts, pii.places(texts, key), key).collect()}
+    assert {t: masked[k] for k, t in enumerate(said) if said[t]} == {t: m for t, m in said.items() if m}
+    assert [r["entity_type"] for r in pii.detect(texts, key).where("segment_id = 12 and mention like '+%'").collect()] == ["PHONE"]

@@ -5,21 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pii import verhoeff
+from .pii import SPOKEN, verhoeff
 
 #: Types that are scored.
 TRACKED = ("AADHAAR", "PAN", "IFSC", "UPI", "PHONE")
 # The inverse of each element of the Verhoeff group.
 VERHOEFF_INVERSE = "0432156789"
+_APART = lambda x, n: " || ' ' || ".join(f"substr({x}, {k}, 1)" for k in range(1, n + 1))
+_PAN = "chr(65 + cast(k % 26 as int)) || chr(65 + cast(k * 3 % 26 as int)) || 'CPK' || cast(1000 + k % 9000 as varchar(4)) || 'F'"
+
+
+def spoken_sql(text: str) -> str:
+    """SQL of digits as words, equal neighbours as "double"; the inverse of ``pii.as_written``."""
+    for word, digit in SPOKEN.items():
+        text = f"replace({text}, '{digit}', '{word}')" if word != "oh" else text
+    for word in SPOKEN:
+        text = f"replace({text}, '{word} {word}', 'double {word}')" if word != "oh" else text
+    return text
+
+
 #: What a sample of each kind says, what its value is, and whether that must not be found; ``k`` is the key, ``good`` a number with its right check digit, ``bad`` one with a wrong one. Both engines read it.
 KINDS = [
     ("AADHAAR", "'My Aadhaar is ' || value || ' for verification'", "good", False),
-    ("PAN", "'The pan is ' || value || ' as I said'", "chr(65 + cast(k % 26 as int)) || chr(65 + cast(k * 3 % 26 as int)) || 'CPK' || cast(1000 + k % 9000 as varchar(4)) || 'F'", False),
+    ("PAN", "'The pan is ' || value || ' as I said'", _PAN, False),
     ("IFSC", "'Send it with ifsc ' || value || ' today'", "'HDF' || chr(65 + cast(k % 26 as int)) || '0' || cast(100000 + k % 900000 as varchar(6))", False),
     ("UPI", "'You may pay to ' || value || ' now'", "'meera' || cast(10 + k % 990 as varchar(3)) || '@oksbi'", False),
     ("PHONE", "'Please call ' || value || ' after five'", "'+91' || cast(9000000000 + k % 1000000000 as varchar(10))", False),
     ("AADHAAR", "'My Aadhaar is ' || value || ' for verification'", "bad", True),
     ("AADHAAR", "'My Aadhaar reads ' || value || ' as printed'", "substr(good, 1, 4) || ' ' || substr(good, 5, 4) || ' ' || substr(good, 9, 4)", False),
+    ("AADHAAR", "'Sir the Aadhaar on record is ' || value || '.'", _APART("good", 12), False),
+    ("AADHAAR", "'Let me read out my Aadhaar, it is ' || value || ', right'", spoken_sql(_APART("good", 12)), False),
+    ("AADHAAR", "'The Aadhaar I noted is ' || value || ' I think'", spoken_sql(_APART("bad", 12)), True),
+    ("PAN", "'The pan is ' || value || ' please note'", spoken_sql("lower(" + _APART(f"({_PAN})", 10) + ")"), False),
     (None, "'I will pay ' || cast(k % 5000 as varchar(20)) || ' rupees by Friday'", "cast(null as varchar(20))", False),
 ]
 PAYLOAD = "cast(2 + k % 8 as varchar(1)) || lpad(cast((k * 7919 + 13) % 10000000000 as varchar(10)), 10, '0')"

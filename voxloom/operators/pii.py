@@ -9,23 +9,35 @@ from pyspark.sql import functions as F
 VERHOEFF_TIMES = ["0123456789", "1234067895", "2340178956", "3401289567", "4012395678", "5987604321", "6598710432", "7659821043", "8765932104", "9876543210"]
 VERHOEFF_MOVE = ["0123456789", "1576283094", "5803796142", "8916043527", "9453126870", "4286573901", "2793806415", "7046913258"]
 
-# Fixed values: (type, score, pattern), and words that support a type.
+#: Digits as they are spoken.
+SPOKEN = {"zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9}
+#: One dictated digit, which may be doubled, and what may stand between two.
+_DIGIT, _PAUSE = f"(?:(?:double|triple)[ -]+)?(?:[0-9]|{'|'.join(SPOKEN)})", "[ ,-]+"
+# Handles of payment addresses.
+HANDLES = "ybl okhdfcbank okicici oksbi okaxis okbizaxis paytm apl ibl axl axisbank upi phonepe gpay hdfcbank icici sbi yesbank kotak federal idfcbank indus barodampay cnrb airtel freecharge abfspay jupiteraxis naviaxis fam slc rapl waaxis waicici wasbi".split()
+#: (type, score, pattern). No pattern looks around itself: what stands beside a value is taken along and judged by ``valid``.
 RECOGNIZERS = [
     ("AADHAAR", 0.7, r"\b[2-9]\d{3}[ -]\d{4}[ -]\d{4}\b"),
-    ("AADHAAR", 0.5, r"\b[2-9]\d{11}\b"),
+    ("AADHAAR", 0.6, rf"(?i)\b{_DIGIT}(?:{_PAUSE}{_DIGIT}){{5,40}}\b"),
+    ("AADHAAR", 0.5, r"\+?\b[2-9]\d{11}\b"),
     ("PAN", 0.8, r"\b[A-Z]{5}\d{4}[A-Z]\b"),
-    ("PHONE", 0.6, r"\+91\d{10}\b"),
-    ("PHONE", 0.4, r"\b[6-9]\d{9}\b"),
-    ("UPI", 0.9, r"\b[\w.]+@ok(?:axis|hdfc|sbi|icici)\b"),
+    ("PAN", 0.6, rf"(?i)\b[A-Z](?:{_PAUSE}[A-Z]){{4}}(?:{_PAUSE}{_DIGIT}){{2,4}}{_PAUSE}[A-Z]\b"),
+    ("PHONE", 0.6, r"\+91[ -]?[6-9]\d{4}[ -]?\d{5}\b"),
+    ("PHONE", 0.4, r"\b[6-9]\d{4}[ -]?\d{5}\b"),
+    ("UPI", 0.9, rf"\b[\w.-]+@(?:{'|'.join(HANDLES)})\b"),
+    ("UPI", 0.5, r"\b[\w.-]{2,64}@[a-z]{2,30}\b(?:[.-]\w+)*"),
     ("IFSC", 0.8, r"\b[A-Z]{4}0\d{6}\b"),
     ("BANK_ACCOUNT", 0.3, r"\b\d{9,18}\b"),
     ("CARD", 0.8, r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b"),
     ("CARD", 0.4, r"\b\d{16}\b"),
-    ("EMAIL", 0.9, r"\b[A-Za-z0-9._%+]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}\b"),
+    ("EMAIL", 0.9, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"),
     ("IBAN", 0.9, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("IP", 0.6, r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
     ("DATE", 0.6, r"\b\d{1,2}/\d{1,2}/\d{4}\b"),
 ]
+#: How a dictated value is written: (pattern, replacement), in order.
+WRITTEN = [*[(rf"(?i)\b{word}\b", str(digit)) for word, digit in SPOKEN.items()], (r"(?i)\bdouble[ -]+([0-9])", "$1$1"), (r"(?i)\btriple[ -]+([0-9])", "$1$1$1"), ("[^A-Za-z0-9]+", "")]
+#: Words that support a type.
 CONTEXT = {"AADHAAR": ["aadhaar", "verification"], "PAN": ["pan"], "PHONE": ["call", "phone"], "UPI": ["pay", "upi"], "IFSC": ["ifsc"], "BANK_ACCOUNT": ["account"], "CARD": ["card"], "EMAIL": ["write", "mail"], "DATE": ["born", "birth"]}
 BOOST, REACH = 0.35, 5
 #: Characters before a mention that are looked at first for its five words; the whole text before it where they hold fewer.
@@ -58,12 +70,24 @@ def luhn_ok(digits: Column) -> Column:
 
 
 def iban_ok(value: Column) -> Column:
-    """Whether an international account number leaves 1 modulo 97, its first four characters moved to the end and letters read as 10 to 35."""
+    """Whether an international account number of 15 to 34 characters leaves 1 modulo 97, its first four characters moved to the end and letters read as 10 to 35."""
     plain = F.replace(value, F.lit(" "), F.lit(""))
     moved = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.left(plain, F.lit(4)))
     each = F.filter(F.split(moved, ""), lambda x: x != "")
     step = lambda acc, x: F.when(x.rlike("[0-9]"), acc * 10 + x.try_cast("int")).otherwise(acc * 100 + F.ascii(x) - 55) % 97
-    return F.aggregate(each, F.lit(0), step) == 1
+    return F.length(plain).between(15, 34) & (F.aggregate(each, F.lit(0), step) == 1)
+
+
+def as_written(value: Column) -> Column:
+    """A value without what separates its characters, spoken digits as digits, in upper case."""
+    for pattern, replacement in WRITTEN:
+        value = F.regexp_replace(value, pattern, replacement)
+    return F.upper(value)
+
+
+def shorter(value: Column) -> list[Column]:
+    """A value, and it without its last, its last two and its last three words."""
+    return [value, *[F.regexp_replace(value, f"(?: [A-Z0-9]+){{{k}}}$", "") for k in (1, 2, 3)]]
 
 
 def found(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -73,7 +97,7 @@ def found(texts: DataFrame, key: list[str]) -> DataFrame:
     pieces between matches, as functions over all matches give no positions.
     """
     each = [F.struct(F.lit(k).alias("rule"), F.lit(kind).alias("entity_type"), F.lit(score).alias("score"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("m")) for k, (kind, score, pattern) in enumerate(RECOGNIZERS)]
-    digits = texts.where(F.col("text").rlike("[0-9@]"))  # each pattern asks for one of them
+    digits = texts.where(F.col("text").rlike(f"[0-9@]|(?i:{_DIGIT}{_PAUSE}{_DIGIT})"))  # each pattern asks for one of them
     rows = digits.select(*key, "text", F.inline(F.filter(F.array(*each), lambda x: F.size(x["m"]) > 0)))
     pieces = F.coalesce(*[F.when(F.col("rule") == k, F.split("text", pattern, -1)) for k, (_, _, pattern) in enumerate(RECOGNIZERS)])
     lengths = lambda x: F.transform(x, lambda p: F.length(p))
@@ -91,10 +115,12 @@ def _words(text: Column) -> Column:
 
 
 def valid(mentions: DataFrame) -> DataFrame:
-    """Without numbers whose check digits are wrong, and addresses out of range."""
-    digits = F.regexp_replace("mention", r"\D", "")
+    """Without numbers whose check digits are wrong or that belong to something longer, and addresses out of range; of an account number, what has right check digits, as words may follow it."""
+    digits, written = F.regexp_replace("mention", r"\D", ""), as_written(F.col("mention"))
+    account = F.coalesce(*[F.when(iban_ok(x), x) for x in shorter(F.col("mention"))])
+    mentions = mentions.withColumn("mention", F.when(F.col("entity_type") == "IBAN", account).otherwise(F.col("mention"))).where("mention is not null")
     octets = F.forall(F.split("mention", r"\."), lambda x: x.cast("int") <= 255)
-    ok = F.when(F.col("entity_type") == "AADHAAR", verhoeff_ok(digits)).when(F.col("entity_type") == "CARD", luhn_ok(digits)).when(F.col("entity_type") == "IBAN", iban_ok(F.col("mention"))).when(F.col("entity_type") == "IP", octets).otherwise(F.lit(True))
+    ok = F.when(F.col("entity_type") == "AADHAAR", ~F.startswith("mention", F.lit("+")) & written.rlike("^[2-9][0-9]{11}$") & verhoeff_ok(written)).when(F.col("entity_type") == "PAN", written.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$")).when(F.col("entity_type") == "UPI", ~F.col("mention").rlike("@.*[.-]")).when(F.col("entity_type") == "CARD", luhn_ok(digits)).when(F.col("entity_type") == "IP", octets).otherwise(F.lit(True))
     return mentions.where(ok)
 
 
@@ -117,20 +143,21 @@ def detect(texts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def places(texts: DataFrame, key: list[str]) -> DataFrame:
-    """Every place of what ``detect`` finds in a text, with the best score of its type and mention there: what is to be masked."""
+    """Every place of what ``detect`` finds in a text, once for each type, with the best score of its type and mention there: what is to be masked."""
     good = with_context(valid(found(texts, key)))
     best = F.max("score").over(Window.partitionBy(*key, "entity_type", "mention"))
-    return good.select(*key, "entity_type", "mention", best.alias("score"), "start").where(F.col("score") >= _limit())
+    return good.select(*key, "entity_type", "mention", best.alias("score"), "start").where(F.col("score") >= _limit()).distinct()
 
 
 def mask_value(kind: Column, value: Column) -> Column:
     """A value as it may be shown."""
-    digits = F.regexp_replace(value, r"\D", "")
+    written = as_written(value)
+    digits = F.regexp_replace(F.when(kind == "AADHAAR", written).otherwise(value), r"\D", "")
     last = F.concat(F.repeat(F.lit("X"), F.greatest(F.length(digits) - 4, F.lit(0))), F.right(digits, F.lit(4)))
     return (
         F.when(kind.isin("AADHAAR", "PHONE", "BANK_ACCOUNT", "CARD", "IBAN"), last)
         .when(kind.isin("EMAIL", "UPI"), F.concat(F.substring(value, 1, 1), F.lit("***@"), F.substring_index(value, "@", -1)))
-        .when(kind == "PAN", F.concat(F.lit("XXXXX"), F.substring(value, 6, 4), F.lit("X")))
+        .when(kind == "PAN", F.concat(F.lit("XXXXX"), F.substring(written, 6, 4), F.lit("X")))
         .otherwise(F.concat(F.lit("["), kind, F.lit("]")))
     )
 

@@ -9,10 +9,10 @@ from ..operators import entities, pii
 from ..operators import labelled as o
 from ..sources.fixtures import Corpus
 from .entities import ENTITIES
-from .pii import _D, VERHOEFF, _detected
+from .pii import _C, VERHOEFF, _detected
 from .registry import query
 
-_CHECK = "substr('{}', {} + 1, 1)".format(o.VERHOEFF_INVERSE, VERHOEFF.removesuffix(" = 0").replace(_D, "(payload || '0')"))
+_CHECK = "substr('{}', {} + 1, 1)".format(o.VERHOEFF_INVERSE, VERHOEFF.removesuffix(" = 0").replace(_C, "(payload || '0')"))
 CORPUS = f"""keyed as (select o_orderkey as k, o_orderkey % {len(o.KINDS)} as kind from orders), paid as (select *, {o.PAYLOAD} as payload from keyed), digit as (select *, {_CHECK} as d from paid),
     made as (select *, payload || d as good, payload || ((d::int + 1 + k % 9) % 10)::varchar as bad from digit), valued as (select *, {o.pick(2)} as value from made),
     corpus as (select k as sample_id, {o.pick(1)} as text, {o.pick(0)} as entity_type, value, {o.pick(3)} as forbidden from valued)"""

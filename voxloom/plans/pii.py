@@ -22,22 +22,28 @@ def _found(table: str, key: str) -> str:
 
 
 _D = "regexp_replace(mention, '\\D', '', 'g')"
+_C = "mention"
+for _pattern, _new in p.WRITTEN:
+    _C = f"regexp_replace({_C}, '{_pattern}', '{_new.replace('$', chr(92))}', 'g')"
+_C = f"upper({_C})"
 _MOVE = "[" + ", ".join(f"'{r}'" for r in p.VERHOEFF_MOVE) + "]"
 _TIMES = "[" + ", ".join(f"'{r}'" for r in p.VERHOEFF_TIMES) + "]"
-VERHOEFF = f"list_reduce(list_transform(range(0, length({_D})), lambda k: substr({_MOVE}[k % 8 + 1], reverse({_D})[k + 1]::int + 1, 1)::int), lambda c, x: substr({_TIMES}[c + 1], x + 1, 1)::int, 0) = 0"
+VERHOEFF = f"list_reduce(list_transform(range(0, length({_C})), lambda k: substr({_MOVE}[k % 8 + 1], reverse({_C})[k + 1]::int + 1, 1)::int), lambda c, x: substr({_TIMES}[c + 1], x + 1, 1)::int, 0) = 0"
 LUHN = f"list_sum(list_transform(range(0, length({_D})), lambda k: case when k % 2 = 0 then reverse({_D})[k + 1]::int when reverse({_D})[k + 1]::int > 4 then reverse({_D})[k + 1]::int * 2 - 9 else reverse({_D})[k + 1]::int * 2 end)) % 10 = 0"
 _PLAIN = "replace(mention, ' ', '')"
-IBAN = f"list_reduce(list_transform(string_split(substr({_PLAIN}, 5) || left({_PLAIN}, 4), ''), lambda x: case when regexp_matches(x, '[0-9]') then x::int else 1000 + ascii(x) - 55 end), lambda a, x: case when x < 1000 then a * 10 + x else a * 100 + x - 1000 end % 97, 0) = 1"
+IBAN = f"length({_PLAIN}) between 15 and 34 and list_reduce(list_transform(string_split(substr({_PLAIN}, 5) || left({_PLAIN}, 4), ''), lambda x: case when regexp_matches(x, '[0-9]') then x::int else 1000 + ascii(x) - 55 end), lambda a, x: case when x < 1000 then a * 10 + x else a * 100 + x - 1000 end % 97, 0) = 1"
+_SHORTER = ["mention", *[f"regexp_replace(mention, '(?: [A-Z0-9]+){{{k}}}$', '')" for k in (1, 2, 3)]]
+ACCOUNT = "coalesce(" + ", ".join(f"case when {IBAN.replace('mention', x)} then {x} end" for x in _SHORTER) + ")"
 _CONTEXT = " ".join("when '{}' then [{}]".format(k, ", ".join(f"'{w}'" for w in v)) for k, v in p.CONTEXT.items())
 
 
 def _detected(table: str, key: str) -> str:
     return f"""{_found(table, key)},
-    valid as (select * from found where case entity_type when 'AADHAAR' then {VERHOEFF} when 'CARD' then {LUHN} when 'IBAN' then {IBAN} when 'IP' then len(list_filter(string_split(mention, '.'), lambda x: x::int > 255)) = 0 else true end),
+    valid as (select * replace (case when entity_type = 'IBAN' then {ACCOUNT} else mention end as mention) from found where case entity_type when 'AADHAAR' then mention[1] <> '+' and case when regexp_matches({_C}, '^[2-9][0-9]{{11}}$') then {VERHOEFF} else false end when 'PAN' then regexp_matches({_C}, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') when 'UPI' then not regexp_matches(mention, '@.*[.-]') when 'CARD' then {LUHN} when 'IBAN' then {ACCOUNT} is not null when 'IP' then len(list_filter(string_split(mention, '.'), lambda x: x::int > 255)) = 0 else true end),
     near as (select *, list_filter(string_split(trim(regexp_replace(lower(before), '[^a-z]+', ' ', 'g')), ' '), lambda w: w <> '') as w from valid),
     scored as (select * exclude (w, score), round(case when list_has_any(w[greatest(len(w) - 4, 1):], coalesce(case entity_type {_CONTEXT} end, [])) then least(score + 0.35, 1) else score end, 2) as score from near),
     everywhere as (select *, length(before) as start, max(score) over (partition by {key}, entity_type, mention) as most from scored),
-    places as (select {key}, entity_type, mention, most as score, start from everywhere where most >= case entity_type when 'DATE' then 0.7 else 0.5 end),
+    places as (select distinct {key}, entity_type, mention, most as score, start from everywhere where most >= case entity_type when 'DATE' then 0.7 else 0.5 end),
     best as (select *, length(before) as start, row_number() over (partition by {key}, entity_type, mention order by score desc, length(before)) as k from scored where score >= case entity_type when 'DATE' then 0.7 else 0.5 end),
     pii as (select {key}, entity_type, mention, score, start from best where k = 1)"""
 
@@ -56,7 +62,7 @@ def pi01(c: Corpus) -> DataFrame:
 def pi02(c: Corpus) -> DataFrame:
     """Verhoeff check of twelve-digit numbers."""
     rows = p.found(c.segments(), KEY).where("entity_type = 'AADHAAR'")
-    return rows.select(*KEY, "mention", p.verhoeff_ok(F.regexp_replace("mention", r"\D", "")).alias("ok"))
+    return rows.select(*KEY, "mention", p.verhoeff_ok(p.as_written(F.col("mention"))).alias("ok"))
 
 
 @query("pi10_detect", f"with {CALLS} select * from pii", "segments")
@@ -83,8 +89,8 @@ def pi13(c: Corpus) -> DataFrame:
     return p.counts(p.detect(c.segments(), KEY), "call_id")
 
 
-_MASK = f"""case when entity_type in ('AADHAAR', 'PHONE', 'BANK_ACCOUNT', 'CARD', 'IBAN') then repeat('X', greatest(length({_D}) - 4, 0)) || right({_D}, 4)
-    when entity_type in ('EMAIL', 'UPI') then left(mention, 1) || '***@' || split_part(mention, '@', -1) when entity_type = 'PAN' then 'XXXXX' || substr(mention, 6, 4) || 'X' else '[' || entity_type || ']' end"""
+_MASK = f"""case when entity_type in ('AADHAAR', 'PHONE', 'BANK_ACCOUNT', 'CARD', 'IBAN') then repeat('X', greatest(length(case when entity_type = 'AADHAAR' then {_C} else {_D} end) - 4, 0)) || right(case when entity_type = 'AADHAAR' then {_C} else {_D} end, 4)
+    when entity_type in ('EMAIL', 'UPI') then left(mention, 1) || '***@' || split_part(mention, '@', -1) when entity_type = 'PAN' then 'XXXXX' || substr({_C}, 6, 4) || 'X' else '[' || entity_type || ']' end"""
 
 
 @query("pi14_mask_values", f"with {DOCS} select doc_id, entity_type, mention, {_MASK} as masked from pii")
