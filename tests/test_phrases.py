@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import sql
 from voxloom.functions.text import normal, phrase_hits, tokens
-from voxloom.operators import pii
+from voxloom.operators import pii, summaries, transcript
 from voxloom.sources import vocabulary
 
 
@@ -73,3 +73,33 @@ def test_values_that_are_spoken_spaced_or_followed_by_words(spark):
     masked = {r["segment_id"]: r["text"] for r in pii.mask_spans(texts, pii.places(texts, key), key).collect()}
     assert {t: masked[k] for k, t in enumerate(said) if said[t]} == {t: m for t, m in said.items() if m}
     assert [r["entity_type"] for r in pii.detect(texts, key).where("segment_id = 12 and mention like '+%'").collect()] == ["PHONE"]
+
+
+def test_marks_don_t_stand_in_one_another(spark):
+    said = ["the home loan and the loan", "a < b & \"loan\"", "loan loan", "", None, "no entity"]
+    texts = spark.createDataFrame([(1, k, t) for k, t in enumerate(said)], "call_id int, segment_id int, text string")
+    found = [(0, "home loan", "home loan"), (0, "loan", "loan"), (0, "the", "x\"y"), (1, "loan", "loan"), (1, "& \"loan\"", "q"), (2, "loan", "loan"), (2, "absent", "z"), (3, "", "e")]
+    entities = spark.createDataFrame([(1, k, m, t) for k, m, t in found], "call_id int, segment_id int, mention string, entity_type string")
+    made = {r["segment_id"]: r["html"] for r in transcript.mark_entities(texts, entities).collect()}
+    assert made == {
+        0: '<mark class="x&quot;y">the</mark> <mark class="home loan">home loan</mark> and the loan',
+        1: 'a &lt; b <mark class="q">&amp; &quot;loan&quot;</mark>',
+        2: '<mark class="loan">loan</mark> loan',
+        3: "",
+        4: None,
+        5: "no entity",
+    }
+
+
+def test_numbered_answers(spark):
+    said = ["**Summary:** Paid.\n1. First thing\n**Key Outcomes**\n1. First thing\n2) Outcome 2: second\nActions:\n- 3. Call back", "# Outcomes\n10. ten\nNext actions\n* [Action 1] do it\nAction plan agreed"]
+    found = [tuple(r) for r in summaries.parse_answer(spark.createDataFrame(list(enumerate(said)), "call_id int, answer string")).orderBy("call_id").select("summary", "outcomes", "actions").collect()]
+    assert found == [("Paid.", ["First thing", "second"], ["Call back"]), (summaries.NO_SUMMARY, ["ten"], ["do it"])]
+
+
+def test_claims_go_with_what_leads_to_them(spark):
+    said = ["It is 400 rupees (about $5,000), or roughly 700 thousand euros.", "Pay US$ 7,250.50 million now", "Twenty, that is 900 USD", "$88 and 12 yen stay"]
+    fields = spark.createDataFrame([(1, "summary", k, t) for k, t in enumerate(said)], "call_id int, field string, ord int, text string")
+    segments = spark.createDataFrame([(1, 0, "nothing said")], "call_id int, segment_id int, text string")
+    made = {r["ord"]: (r["text"], r["removed"]) for r in summaries.drop_foreign(fields, segments).collect()}
+    assert made == {0: ("It is 400 rupees.", ["about $5,000", "roughly 700 thousand euros"]), 1: ("Pay now", ["US$ 7,250.50 million"]), 2: ("Twenty", ["900 USD"]), 3: ("$88 and 12 yen stay", [])}

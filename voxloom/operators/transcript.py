@@ -203,15 +203,34 @@ def name_speakers(segments: DataFrame, reach: int = 4, least: int = 2) -> DataFr
     return best.withColumn("k", F.row_number().over(Window.partitionBy("call_id", "name").orderBy(F.desc("points"), "speaker"))).where("k = 1").drop("k")
 
 
-def mark_entities(segments: DataFrame, entities: DataFrame) -> DataFrame:
-    """Text escaped for HTML, with the first place of each entity's mention marked, longer ones first."""
-    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    lists = entities.groupBy("call_id", "segment_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("mention")).alias("n"), "mention", "entity_type"))).alias("found"))
+def _escaped(text: Column) -> Column:
+    for plain, safe in HTML_ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    return text
+
+
+#: Characters that have a meaning in HTML text and attributes; the ampersand first.
+HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
 
-    def mark(text: Column, x: Column) -> Column:
-        m = escaped(x["mention"])
-        at = F.call_function("instr", text, m)
-        return F.when(at == 0, text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), F.lit('<mark class="'), x["entity_type"], F.lit('">'), m, F.lit("</mark>"), F.substring(text, at + F.length(m), F.length(text))))
 
-    joined = segments.join(lists, ["call_id", "segment_id"], "left")
-    return joined.select("call_id", "segment_id", F.when(F.col("found").isNull(), escaped(F.col("text"))).otherwise(F.aggregate("found", escaped(F.col("text")), mark)).alias("html"))
+def mark_entities(segments: DataFrame, entities: DataFrame) -> DataFrame:
+    """Text escaped for HTML, with the first place of each entity's mention marked.
+
+    Places are those in the plain text; where they overlap, the longer mention is
+    marked, then the first by place, then by type. The markup is put together
+    once, so that no mention is looked for in it.
+    """
+    at = F.call_function("instr", F.col("text"), F.col("mention"))
+    found = entities.select("call_id", "segment_id", "mention", "entity_type").where("mention <> ''").distinct().join(segments.select("call_id", "segment_id", "text"), ["call_id", "segment_id"])
+    found = found.withColumn("start", at).where("start > 0").select("call_id", "segment_id", F.struct((-F.length("mention")).alias("n"), "start", "entity_type", (F.col("start") + F.length("mention")).alias("stop")).alias("x"))
+    lists = found.groupBy("call_id", "segment_id").agg(F.array_sort(F.collect_list("x")).alias("found"))
+    none = F.array().cast("array<struct<start: int, stop: int, entity_type: string>>")
+    place = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["entity_type"].alias("entity_type"))
+    apart = lambda taken, x: F.forall(taken, lambda t: (x["start"] >= t["stop"]) | (x["stop"] <= t["start"]))
+    chosen = F.array_sort(F.aggregate("found", none, lambda taken, x: F.when(apart(taken, x), F.concat(taken, F.array(place(x)))).otherwise(taken)))
+    joined = segments.join(lists.select("call_id", "segment_id", chosen.alias("spans")), ["call_id", "segment_id"], "left").withColumn("spans", F.coalesce("spans", none))
+    before = lambda k: F.when(k > 0, F.element_at("spans", F.greatest(k, F.lit(1)))["stop"]).otherwise(1)
+    piece = lambda low, high: _escaped(F.substring("text", low, high - low))
+    marked = F.transform("spans", lambda s, k: F.concat(piece(before(k), s["start"]), F.lit('<mark class="'), _escaped(s["entity_type"]), F.lit('">'), piece(s["start"], s["stop"]), F.lit("</mark>")))
+    rest = piece(before(F.size("spans")), F.length("text") + 1)
+    return joined.select("call_id", "segment_id", F.concat(F.array_join(marked, ""), rest).alias("html"))

@@ -29,11 +29,13 @@ def query(name: str, sql: str | None = None, uses: str = "") -> Callable[[Query]
     def register(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            body = sql.strip()
+            body, head = sql.strip(), "with "
             shared = ", ".join(SHARED[x] for x in uses.split())
-            if body[:5].lower() == "with " and shared:
-                body = f", {body[5:]}"
-            SQL[name] = (f"with {shared} " if shared else "") + body
+            if body[:15].lower() == "with recursive ":
+                body, head = "with " + body[15:], "with recursive "
+            if body[:5].lower() == "with ":
+                body = (f", {body[5:]}" if shared else head + body[5:])
+            SQL[name] = (f"{head}{shared} " if shared else "") + body
         return f
 
     return register

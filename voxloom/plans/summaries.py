@@ -16,7 +16,7 @@ from .records import NUMBERS, SCORED, parts
 from .registry import query
 from .understanding import INTENTS
 
-_LINE = "case segment_id % 7 when 0 then '**Summary: ' || text when 1 then text || ' *' when 2 then 'Key Outcomes' when 3 then '- [Outcome 1]: ' || text when 4 then ' ACTIONS: ' when 5 then '* 2) ' || text else '- specific finding: ' || text end"
+_LINE = "case segment_id % 7 when 0 then '**Summary: ' || text when 1 then text || ' *' when 2 then 'Key Outcomes' when 3 then '- [Outcome 1]: ' || text when 4 then ' ACTIONS: ' when 5 then '* 2) ' || text else case when call_id % 2 = 0 then '- specific finding: ' || text else '3. Step 4: ' || text end end"
 ANSWER = f"told as (select call_id, segment_id, {_LINE} as line from segments)"
 
 
@@ -26,15 +26,16 @@ def answers(c: Corpus) -> DataFrame:
     return rows.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("answer"))
 
 
+_HEADS = " ".join(f"when regexp_matches(trim(line), '{opens}') then '{name}'" for name, opens in s.SECTIONS)
 _MARKS = "[" + ", ".join(f"'{m}'" for m in s.TEMPLATE_MARKS) + "]"
 _FREE = f"len(list_filter({_MARKS}, lambda m: contains(lower(item), m))) = 0"
 
 
-@query("rs11_parse_answers", f"""with {ANSWER}, l as (select call_id, segment_id, trim(line) as line, case when lower(trim(line)) like '**summary%' then 'summary' when lower(trim(line)) like 'key outcomes%' then 'outcomes' when lower(trim(line)) like 'actions:%' then 'actions' end as head from told),
+@query("rs11_parse_answers", f"""with {ANSWER}, l as (select call_id, segment_id, trim(line) as line, case {_HEADS} end as head from told),
     p as (select *, arg_max(head, segment_id) filter (head is not null) over (partition by call_id order by segment_id rows unbounded preceding) as section, max(segment_id) filter (head = 'summary') over (partition by call_id order by segment_id rows unbounded preceding) as since from l where line <> ''),
     lasts as (select call_id, max(since) as since from p group by call_id),
-    sm as (select call_id, trim(string_agg(case head when 'summary' then trim(trim(trim(regexp_replace(line, '^[^:]*:?', '')), '*')) else trim(trim(line, '*')) end, ' ' order by segment_id)) as item from p join lasts using (call_id) where section = 'summary' and segment_id >= lasts.since and not regexp_matches(line, '^[-*] ') group by call_id),
-    it as (select call_id, section, segment_id, trim(regexp_replace(trim(regexp_replace(line, '^[-*0-9.) ]+', '')), '(?i)^\\[?(?:Outcome|Action|Step|Item)\\s*\\d*\\]?:?\\s*', '')) as item from p where head is null and regexp_matches(line, '^[-*] ')),
+    sm as (select call_id, trim(string_agg(case head when 'summary' then trim(trim(trim(regexp_replace(line, '^[^:]*:?', '')), '*')) else trim(trim(line, '*')) end, ' ' order by segment_id)) as item from p join lasts using (call_id) where section = 'summary' and segment_id >= lasts.since and not regexp_matches(line, '{s.BULLET}') group by call_id),
+    it as (select call_id, section, segment_id, trim(regexp_replace(trim(regexp_replace(line, '{s.BULLET}', '')), '{s.LABEL}', '')) as item from p where head is null and regexp_matches(line, '{s.BULLET}')),
     g as (select call_id, string_agg(item, '/' order by segment_id) filter (section = 'outcomes') as o, string_agg(item, '/' order by segment_id) filter (section = 'actions') as a from it where item <> '' and {_FREE} group by call_id)
     select call_id, coalesce((select any_value(item) from sm where sm.call_id = c.call_id and item <> '' and {_FREE}), '{s.NO_SUMMARY}') as summary, coalesce(o, '{s.NO_OUTCOME}') as outcomes, coalesce(a, '{s.NO_ACTION}') as actions
     from (select distinct call_id from segments) c left join g using (call_id)""", "segments")
@@ -45,14 +46,15 @@ def rs11(c: Corpus) -> DataFrame:
 
 _SCAFFOLD = "case segment_id % 4 when 0 then '**Outlook for the year:** ' || text when 1 then '[Key figure goes here] ' || text || ' : : ' || text || ' :' when 2 then 'Summary: Next actions: : ' || text else text end"
 _STRIPPED = _SCAFFOLD
-for _pattern, _new in [(s.PLACEHOLDER, ""), (s.HEADINGS, ""), (r"\*\*", ""), (r"(?:\s*:\s*)+:", ":"), (r"(?:\s*:\s*)+$", ""), (r"\s{2,}", " ")]:
-    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_pattern}', '{_new}', 'g')"
+PROMPT = ["outlook", "summary", "next actions"]
+for _pattern, _new in s.scaffolding(PROMPT):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_pattern}', '{_new.replace('$1', chr(92) + '1')}', 'g')"
 
 
 @query("rs10_strip_scaffolding", f"with x as (select call_id, segment_id, trim({_STRIPPED}, ' -–—:*') as t from segments) select call_id, segment_id, case when len(list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) < 12 then '' else t end as text from x", "segments")
 def rs10(c: Corpus) -> DataFrame:
     """Placeholders and headings taken out."""
-    return c.segments().select("call_id", "segment_id", s.strip_scaffolding(F.expr(_SCAFFOLD)).alias("text"))
+    return c.segments().select("call_id", "segment_id", s.strip_scaffolding(F.expr(_SCAFFOLD), PROMPT).alias("text"))
 
 
 _CLAIM = "case segment_id % 3 when 0 then text || ', that is about $' || (call_id * 37 + 1000) || ' USD or 40 dollars' when 1 then 'Owed (approximately ' || (call_id * 41 + 500) || ' euros), paid ' || text || ' or roughly US$ 7,250.50 million.' else 'Due $' || coalesce(nullif(regexp_extract(text, '[0-9]+', 0), ''), '77') || ' ; and ' || (call_id * 3 + 101) || ' rupees' end"
@@ -64,7 +66,7 @@ FOREIGN = f"""{NUMBERS}, fields as (select call_id, case when segment_id % 2 = 0
     cl as (select call_id, ord, generate_subscripts(m, 1) as k, unnest(m) as claim from (select call_id, ord, regexp_extract_all(text, '{s.FOREIGN}') as m from fields)),
     cn as (select *, {_CANON.format("claim")} as n from cl),
     cs as (select *, exists (select 1 from numbers u where u.call_id = cn.call_id and u.number = cn.n) or (regexp_matches(n, '^\\d{{1,3}}$') and try_cast(n as int) <= 100) as ok from cn),
-    cj as (select call_id, ord, list(case when ok then claim else '' end order by k) as stay, list(trim(claim, ' ' || chr(9)) order by k) filter (not ok) as removed from cs group by call_id, ord),
+    cj as (select call_id, ord, list(case when ok then claim else chr(1) end order by k) as stay, list(trim(claim, ' ' || chr(9)) order by k) filter (not ok) as removed from cs group by call_id, ord),
     fp as (select call_id, field, ord, coalesce(stay, []) as stay, coalesce(removed, []) as removed, regexp_split_to_array(text, '{s.FOREIGN}') as pieces from fields left join cj using (call_id, ord)),
     fk as (select *, pieces[1] || array_to_string(list_transform(range(1, len(stay) + 1), lambda i: stay[i] || pieces[i + 1]), '') as kept from fp),
     guarded as (select call_id, field, ord, trim({_TIDIED}) as text, removed from fk)"""
@@ -134,9 +136,20 @@ def qy06(c: Corpus) -> DataFrame:
     return records.intent_export(understanding.keyword_intents(c.segments()), c.segments())
 
 
-@query("tx22_mark_entities", f"""with {ENTITIES}, o as (select call_id, segment_id, row_number() over (partition by call_id, segment_id order by length(mention) desc, mention, entity_type) as k, mention, entity_type from (select distinct call_id, segment_id, mention, entity_type from entities)),
-    l as (select call_id, segment_id, list(mention || chr(1) || '<mark class="' || entity_type || '">' || mention || '</mark>' order by k) as l from o group by all)
-    select call_id, segment_id, case when l is null then text else list_reduce(l, lambda t, x: case when contains(t, split_part(x, chr(1), 1)) then left(t, instr(t, split_part(x, chr(1), 1)) - 1) || split_part(x, chr(1), 2) || substr(t, instr(t, split_part(x, chr(1), 1)) + length(split_part(x, chr(1), 1))) else t end, text) end as html from segments left join l using (call_id, segment_id)""", "segments")
+def _html(text: str) -> str:
+    for plain, safe in transcript.HTML_ESCAPES:
+        text = "replace({}, '{}', '{}')".format(text, plain.replace("'", "''"), safe)
+    return text
+
+
+@query("tx22_mark_entities", f"""with recursive {ENTITIES}, o as (select *, row_number() over (partition by call_id, segment_id order by length(mention) desc, a, entity_type) as k, count(*) over (partition by call_id, segment_id) as n from (
+        select distinct call_id, segment_id, mention, entity_type, instr(text, mention) as a, a + length(mention) as z from entities join segments using (call_id, segment_id) where mention <> '' and instr(text, mention) > 0)),
+    pick(call_id, segment_id, k, n, taken) as (select call_id, segment_id, k, n, [{{'a': a, 'z': z, 't': entity_type}}] from o where k = 1
+        union all select o.call_id, o.segment_id, o.k, o.n, case when len(list_filter(taken, lambda x: o.a < x.z and o.z > x.a)) = 0 then list_append(taken, {{'a': o.a, 'z': o.z, 't': o.entity_type}}) else taken end from pick p join o on o.call_id = p.call_id and o.segment_id = p.segment_id and o.k = p.k + 1),
+    spans as (select call_id, segment_id, unnest(taken) as x from pick where k = n),
+    cut as (select call_id, segment_id, text, x.a as a, x.z as z, x.t as t, coalesce(lag(x.z) over (partition by call_id, segment_id order by x.a), 1) as b from spans join segments using (call_id, segment_id)),
+    made as (select call_id, segment_id, string_agg({_html("substr(text, b, a - b)")} || '<mark class="' || {_html("t")} || '">' || {_html("substr(text, a, z - a)")} || '</mark>', '' order by a) as h, max(z) as z from cut group by call_id, segment_id)
+    select call_id, segment_id, coalesce(h, '') || {_html("substr(text, coalesce(z, 1)::bigint)")} as html from segments left join made using (call_id, segment_id)""", "segments")
 def tx22(c: Corpus) -> DataFrame:
     """Entities marked in the transcript."""
     return transcript.mark_entities(c.segments(), e.extract(c.segments()))
