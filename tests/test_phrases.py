@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from voxloom.functions import sql
 from voxloom.functions.text import normal, phrase_hits, tokens
-from voxloom.operators import pii, summaries, transcript
+from voxloom.operators import mining, pii, summaries, transcript
 from voxloom.sources import vocabulary
 
 
@@ -103,3 +105,41 @@ def test_claims_go_with_what_leads_to_them(spark):
     segments = spark.createDataFrame([(1, 0, "nothing said")], "call_id int, segment_id int, text string")
     made = {r["ord"]: (r["text"], r["removed"]) for r in summaries.drop_foreign(fields, segments).collect()}
     assert made == {0: ("It is 400 rupees.", ["about $5,000", "roughly 700 thousand euros"]), 1: ("Pay now", ["US$ 7,250.50 million"]), 2: ("Twenty", ["900 USD"]), 3: ("$88 and 12 yen stay", [])}
+
+
+def longest_common(a: list[str], b: list[str]) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_aligned_words_are_as_many_as_can_be(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(300):
+        a = [rng.choice("abcde") for _ in range(rng.randint(0, 30))]
+        b = [x if rng.random() < 0.7 else rng.choice("abcdef") for x in a if rng.random() < 0.9]
+        found = mining._common(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(found, found[1:], strict=False))
+        assert len(found) == longest_common(a, b)
+        pairs = mining.aligned(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+        doubled = [w for w in a for _ in (0, 1)], [w for w in b for _ in (0, 1)]  # without words that stand once
+        assert len(mining.aligned(*doubled)) == longest_common(*doubled)
+    monkeypatch.setattr(mining, "ALIGNED", 8)
+    pairs = mining.aligned(list("ab" * 40), list("ba" * 40))
+    assert len(pairs) > 60 and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_long_transcripts_are_aligned_in_seconds():
+    rng = random.Random(5)
+    truth = [f"w{rng.randrange(3000)}" for _ in range(100_000)]
+    heard = [w if rng.random() < 0.9 else "x" for w in truth]
+    start = time.time()
+    found = list(mining.replaced_words(" ".join(heard), " ".join(truth)))
+    assert sum(len(h.split()) for h, _ in found) == heard.count("x")
+    list(mining.replaced_words(" ".join(["a", "b"] * 50_000), " ".join(["c", "b", "d"] * 30_000)))
+    assert time.time() - start < 20

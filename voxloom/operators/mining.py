@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,12 +76,94 @@ def merge_phrases(*lists: DataFrame) -> DataFrame:
     return out.distinct().orderBy("phrase")
 
 
+#: Words of either side that are compared as a whole: its square bounds time, and a bit of it each memory.
+ALIGNED = 4096
+
+
+def _anchors(a: list[str], b: list[str], where: tuple[int, int, int, int]) -> list[tuple[int, int]]:
+    """Words that stand once in both ranges, the longest series of them that is in order in both."""
+    low, high, left, right = where
+    times_a, times_b = Counter(a[low:high]), Counter(b[left:right])
+    place = {w: j for j, w in enumerate(b[left:right], left) if times_b[w] == 1 and times_a.get(w) == 1}
+    tops: list[int] = []
+    last: list[tuple[int, int, tuple | None]] = []  # the series that ends at each top, as linked cells
+    for i in range(low, high):
+        if (j := place.get(a[i])) is not None:
+            k = bisect_left(tops, j)
+            cell = (i, j, last[k - 1] if k else None)
+            tops[k : k + 1], last[k : k + 1] = [j], [cell]
+    out, cell = [], last[-1] if last else None
+    while cell:
+        out.append(cell[:2])
+        cell = cell[2]
+    return out[::-1]
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence: a row of bits for each word of b, of which those that are 0 count what matches."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows, v = [], full
+    for w in b:
+        u = v & places.get(w, 0)
+        v = (v + u | v - u) & full
+        rows.append(v)
+    out, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+        elif rows[j] >> i & 1:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal words, in order in both texts.
+
+    Common ends are taken first, then words that stand once in both texts; what
+    lies between is treated likewise and, where it has no such words, compared
+    for a longest common subsequence. Ranges of over ALIGNED words without such
+    words are cut into as many parts on both sides, so that time and memory stay
+    in proportion to the texts.
+    """
+    out, waiting = [], [(0, len(a), 0, len(b))]
+    while waiting:
+        low, high, left, right = waiting.pop()
+        while low < high and left < right and a[low] == b[left]:
+            out.append((low, left))
+            low, left = low + 1, left + 1
+        while low < high and left < right and a[high - 1] == b[right - 1]:
+            high, right = high - 1, right - 1
+            out.append((high, right))
+        if low == high or left == right:
+            continue
+        found = _anchors(a, b, (low, high, left, right))
+        if found:
+            out += found
+            edges = [(low - 1, left - 1), *found, (high, right)]
+            waiting += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False)]
+        elif max(high - low, right - left) <= ALIGNED:
+            out += [(low + i, left + j) for i, j in _common(a[low:high], b[left:right])]
+        else:
+            parts = -(-max(high - low, right - left) // ALIGNED)
+            cut = lambda x, y, k: x + (y - x) * k // parts  # noqa: E731, B023
+            waiting += [(cut(low, high, k), cut(low, high, k + 1), cut(left, right, k), cut(left, right, k + 1)) for k in range(parts)]
+    return sorted(out)
+
+
 def replaced_words(heard: str | None, truth: str | None) -> Iterator[tuple[str, str]]:
-    """Runs of words that differ when both texts are aligned; the time is quadratic in their length."""
+    """Runs of words that differ when both texts are aligned, where either side has some."""
     a, b = (heard or "").split(), (truth or "").split()
-    for op, i, j, k, m in SequenceMatcher(None, a, b, False).get_opcodes():
-        if op == "replace":
-            yield " ".join(a[i:j]), " ".join(b[k:m])
+    i = j = 0
+    for k, m in [*aligned(a, b), (len(a), len(b))]:
+        if i < k and j < m:
+            yield " ".join(a[i:k]), " ".join(b[j:m])
+        i, j = k + 1, m + 1
 
 
 class AlignWords:
