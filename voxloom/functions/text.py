@@ -30,6 +30,8 @@ def _class(characters: set[str]) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(characters)) + "]"
 
 
+#: Whatever differs holds a combining mark or a letter of India; that is cheap to rule out.
+_MAY_DIFFER = r"[\x{300}-\x{36f}\x{900}-\x{dff}]"
 #: Only texts with such a character or pair of characters hold another form.
 _DIFFERS = "|".join([_class({x for x, _ in FORMS if len(x) == 1}), _class({x[0] for x, _ in FORMS if len(x) > 1}) + _class({x[1] for x, _ in FORMS if len(x) > 1})])
 
@@ -38,7 +40,7 @@ def composed(text: Column) -> Column:
     """Letters of COMPOSED_BLOCKS in canonical composition; texts without another form are left alone."""
     pairs = F.split(F.lit(" ".join(f"{a}>{b}" for a, b in FORMS)), " ")  # one literal: the plan stays small
     part = lambda p, k: F.split_part(p, F.lit(">"), F.lit(k))
-    return F.when(text.rlike(_DIFFERS), F.aggregate(pairs, text, lambda t, p: F.replace(t, part(p, 1), part(p, 2)))).otherwise(text)
+    return F.when(text.rlike(_MAY_DIFFER) & text.rlike(_DIFFERS), F.aggregate(pairs, text, lambda t, p: F.replace(t, part(p, 1), part(p, 2)))).otherwise(text)
 
 
 def normal(text: Column) -> Column:
@@ -58,6 +60,10 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
 
 
+#: First words of phrases that may be part of a plan; of more, each word of a text goes into the join.
+FEW = 1000
+
+
 def phrase_hits(segments: DataFrame, phrases: DataFrame, streams: tuple[str, ...] = ()) -> DataFrame:
     """A row for each segment and phrase that begins in it as whole words; the phrase may end in later segments of the call.
 
@@ -89,8 +95,11 @@ def phrase_hits(segments: DataFrame, phrases: DataFrame, streams: tuple[str, ...
             said = said.withColumn(f"_then_{part}", F.concat_ws("", *[F.lead("_starts", k).over(later) for k in range(1, longest)]))
             then[part] = F.col(f"_then_{part}")
     kept = said.drop("text", "_starts") if "text" in segments.columns else said
-    words = F.explode(F.array_distinct(F.split(F.btrim("_said"), " ")))
-    found = kept.withColumn("_word", words).join(known, "_word").withColumn("_inside", F.contains("_said", "_gram"))
+    words = F.array_distinct(F.split(F.btrim("_said"), " "))
+    first = [r[0] for r in known.select("_word").distinct().limit(FEW + 1).collect()]
+    if len(first) <= FEW:  # a filter only: the join decides
+        words = F.filter(words, lambda w: w.isin(first))
+    found = kept.withColumn("_word", F.explode(words)).join(known, "_word").withColumn("_inside", F.contains("_said", "_gram"))
     begins = lambda part: F.call_function("instr", F.concat("_said", then[part]), F.col("_gram")).between(1, F.length("_said") - 1)
     found = found.withColumns({part: F.coalesce(F.col(part) & (F.col("_inside") | (F.col("_long") & begins(part))), F.lit(False)) for part in parts})
     anywhere = F.greatest(*[F.col(part) for part in parts]) if len(parts) > 1 else F.col(parts[0])
