@@ -160,16 +160,17 @@ def _licenses_sql() -> str:
 
 
 def _containments_sql() -> str:
-    def shingles(table: str, key: str) -> str:
-        words = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
-        return f"(select distinct {key}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from (select {key}, {words} as w from {table}) where len(w) > 4)"
-
+    words = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    runs = "unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) as s"
     return f"""
-    with items as {shingles("benchmark", "item_id")}, docs as {shingles("documents", "doc_id")},
-    sizes as (select item_id, count(*) as n from items group by item_id),
-    hits as (select doc_id, item_id, count(*) as found from docs join items using (s) group by doc_id, item_id)
-    select doc_id, item_id, found as n_found, n as n_shingles, round(found / n, 6) as containment
-    from hits join sizes using (item_id) where 100 * found >= 75 * n
+    with items as (select row_number() over () as key, item_id, w, least(len(w), {decontam.SHINGLE}) as width from (select item_id, {words} as w from (select distinct item_id, text from benchmark)) where len(w) > 0),
+    docs as (select row_number() over () as rid, doc_id, {words} as w from documents where doc_id is not null),
+    item_runs as (select distinct key, width, {runs} from items),
+    doc_runs as (select distinct rid, width, {runs} from docs, (select distinct width from items) where len(w) >= width),
+    sizes as (select key, count(*) as n from item_runs group by key),
+    hits as (select rid, key, count(*) as found from doc_runs join item_runs using (width, s) group by rid, key),
+    best as (select doc_id, item_id, max({{'c': found / n, 'f': found, 'n': n}}) as m from hits join sizes using (key) join items using (key) join docs using (rid) where 100 * found >= 75 * n group by doc_id, item_id)
+    select doc_id, item_id, m.f as n_found, m.n as n_shingles, round(m.f / m.n, 6) as containment from best
     """
 
 
