@@ -1,4 +1,4 @@
-"""Readers and writers, SQL functions, vocabulary and streams."""
+"""Readers and writers, SQL functions, vocabulary."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql.types import StructType
 from voxloom.functions import sql
 from voxloom.operators import mining, records, transcript, understanding
 from voxloom.sources import files, vocabulary
-from voxloom.streaming import jobs
 
 
 def test_corrupt_records_are_set_apart(spark, tmp_path):
@@ -79,19 +78,6 @@ def test_rebuilt_index(spark):
     assert records.rebuild(rows.limit(0)).columns == rows.columns
 
 
-def test_index_after_each_number_of_batches(spark, tmp_path):
-    changes, index, state = (str(tmp_path / x) for x in ("changes", "index", "state"))
-    best = {}
-    for n in range(5):
-        batch = [(k, (k * 7 + n * 3) % 5, f"{n}-{k}") for k in range(n, n + 4)]
-        for k, version, status in batch:
-            if k not in best or version >= best[k][0]:
-                best[k] = (version, status)
-        spark.createDataFrame(batch, "call_id int, version int, status string").write.mode("append").parquet(changes)
-        jobs.upsert_index(jobs.source(spark, changes), index, state, 2)
-        assert {r["call_id"]: (r["version"], r["status"]) for r in jobs.read_index(spark, index, 2).collect()} == best
-
-
 def test_scorer_that_fails_on_some_texts(spark):
     def scorer(texts, lang):
         if any("bad" in t for t in texts):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import index as store
 from ..sources.fixtures import Corpus
 from ..sources.shared import shared_dir
 from ..streaming import jobs
@@ -42,8 +43,8 @@ def st02(c: Corpus) -> DataFrame:
     first, second = versions(c)
     changes = first.where("call_id % 2 > 0").unionByName(second).withColumn("part", F.pmod(F.hash("call_id"), F.lit(3)))
     index, state = _folder(c, "index"), _folder(c, "checkpoint")
-    _arrive(c, changes, "part", lambda rows: jobs.upsert_index(rows.drop("part"), index, state, 2))
-    return jobs.read_index(c.spark, index, 2)
+    _arrive(c, changes, "part", lambda rows: jobs.upsert_index(rows.drop("part"), index, state, 2, 8))
+    return store.read(c.spark, index)
 
 
 @query("st03_once_per_call", "select distinct user_id as call_id from events")
@@ -63,7 +64,7 @@ def st04(c: Corpus) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "error").otherwise("running")
     events = c.table("events").select(F.col("user_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
     out, state = _folder(c, "progress"), _folder(c, "checkpoint")
-    _arrive(c, events, "ts", lambda rows: jobs.progress(rows, out, state))
+    _arrive(c, events, "ts", lambda rows: jobs.progress(rows, out, state, delay="0 seconds"))
     return c.spark.read.parquet(out).groupBy("call_id").agg(F.max(F.struct("at", "status")).alias("x")).select("call_id", "x.status")
 
 

@@ -12,9 +12,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ..operators import records, transcript
+from ..operators import transcript
+from ..sources import index as store
+
+#: Statuses after which nothing more is expected of a call.
+SETTLED = ("complete", "error")
 
 
 def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -32,36 +36,17 @@ def ingest(segments: DataFrame, out: str, checkpoint: str) -> None:
     _run(transcript.correct_terms(segments).writeStream.format("parquet").option("path", out), checkpoint)
 
 
-def upsert_index(changes: DataFrame, index: str, checkpoint: str, every: int = 16) -> None:
-    """Changes merged into the index; a batch that is replayed changes nothing, as of each call the highest version stays.
+def upsert_index(changes: DataFrame, index: str, checkpoint: str, every: int = 8, buckets: int = 64) -> None:
+    """Changes merged into the index at ``index``, batch by batch; see ``sources.index``.
 
-    A batch writes its own changes only, into ``log``; every ``every`` batches
-    the log since the last fold goes into a new ``base``. The batch's log comes
-    last, so that a base is whole where the log of its batch is.
+    A batch that is replayed finds itself in the manifest and changes nothing. A
+    new checkpoint counts its batches from 0 again, so it is refused for an index
+    that has some.
     """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark, last = batch.sparkSession, number // every * every - 1
-        batch.persist()
-        if number % every == every - 1:
-            parts = [f"{index}/base/upto={last}"] * (last >= 0) + [f"{index}/log/batch={n}" for n in range(last + 1, number)]
-            before = spark.read.schema(batch.schema).parquet(*parts) if parts else batch.limit(0)
-            records.upsert(before, records.upsert(batch.limit(0), batch)).write.mode("overwrite").parquet(f"{index}/base/upto={number}")
-        records.upsert(batch.limit(0), batch).write.mode("overwrite").parquet(f"{index}/log/batch={number}")
-        batch.unpersist()
-
-    _run(changes.writeStream.foreachBatch(merge), checkpoint)
-
-
-def read_index(spark: SparkSession, index: str, every: int = 16) -> DataFrame:
-    """The index that ``upsert_index`` has left: its last base with the log since; ``every`` as there."""
-    log = spark.read.parquet(f"{index}/log")
-    newest = log.agg(F.max("batch")).first()[0]
-    last = (newest + 1) // every * every - 1
-    since = log.where(F.col("batch") > last).drop("batch")
-    if last < 0:
-        return records.upsert(since.limit(0), since)
-    return records.upsert(spark.read.schema(since.schema).parquet(f"{index}/base/upto={last}"), since)
+    spark = changes.sparkSession
+    if store.newest(spark, index) and not store.exists(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{index} has batches of another checkpoint")
+    _run(changes.writeStream.foreachBatch(lambda batch, number: store.add(batch, index, number, every, buckets)), checkpoint)
 
 
 def once_per_call(events: DataFrame, out: str, checkpoint: str, delay: str = "1 day") -> None:
@@ -70,27 +55,70 @@ def once_per_call(events: DataFrame, out: str, checkpoint: str, delay: str = "1
     _run(kept.writeStream.format("parquet").option("path", out), checkpoint)
 
 
-def progress(events: DataFrame, out: str, checkpoint: str, orphan_after: str = "1 hour") -> None:
-    """The state of each call (call_id, ts, status) after each batch; a call that is silent for an hour of event time without being complete becomes an error as of the end of that hour."""
-    limit = int(pd.Timedelta(orphan_after).total_seconds() * 1000)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, status = state.get if state.exists else (0, "")
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"call_id": [key[0]], "at": [at + limit * 1000], "status": ["error"]})
-            return
-        for frame in frames:
-            for ts, told in zip(frame["ts"].astype("datetime64[us]").astype("int64"), frame["status"], strict=True):
-                at, status = max((at, status), (int(ts), told))
-        state.update((at, status))
-        if status not in ("complete", "error"):
-            state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + limit)
+class Progress(StatefulProcessor):
+    """The latest status of a call and one timer: when a running call counts as lost, and when a settled one is forgotten."""
+
+    def __init__(self, lost: int, forgotten: int):
+        self.lost, self.forgotten = lost, forgotten
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        """Declares the state of a call."""
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "at long, status string, due long")
+
+    def _told(self, key: tuple, at: int, status: str, timer: int | None) -> Iterator[pd.DataFrame]:
+        """Keeps a status, moves the timer, and tells the status."""
+        due = at // 1000 + (self.forgotten if status in SETTLED else self.lost)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+        self.latest.update((at, status, due))
         yield pd.DataFrame({"call_id": [key[0]], "at": [at], "status": [status]})
 
-    rows = events.select("call_id", F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", "0 seconds")
-    told = rows.groupBy("call_id").applyInPandasWithState(step, "call_id long, at long, status string", "at long, status string", "append", GroupStateTimeout.EventTimeTimeout)
-    _run(told.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """Takes the latest of the rows; those before the state that is known change nothing."""
+        known = self.latest.get()
+        before = (known[0], known[1]) if known else None
+        best = before
+        for frame in rows:
+            times = frame["ts"].astype("datetime64[us]").astype("int64")
+            for event in zip(times.tolist(), frame["status"].tolist(), strict=True):
+                best = event if best is None or event > best else best
+        if best is not None and best != before:
+            yield from self._told(key, *best, known[2] if known else None)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """A running call becomes an error as of the timer; a settled one is forgotten."""
+        at, status, due = self.latest.get()
+        if status in SETTLED:
+            self.latest.clear()
+        else:
+            yield from self._told(key, at + self.lost * 1000, "error", None)
+
+    def close(self) -> None:
+        """Nothing to close."""
+
+
+def progress(events: DataFrame, out: str, checkpoint: str, orphan_after: str = "1 hour", delay: str = "10 minutes", keep: str = "7 days") -> None:
+    """The status of each call (call_id, at in microseconds, status) whenever it changes, appended; of a call the row of greatest (at, status) holds.
+
+    Events may come out of order by ``delay``; later ones are dropped. A call that
+    isn't complete or an error and is silent for ``orphan_after`` of event time
+    becomes an error as of the end of that time; a later event takes it up again.
+    A complete or failed call is forgotten after ``keep``; an event after that
+    begins it anew. Events without time or status are left out; those without
+    call_id are one call. State is in RocksDB, saved under the checkpoint.
+    """
+    rows = events.select("call_id", F.col("ts").cast("timestamp").alias("ts"), "status").where("ts is not null and status is not null")
+    step = Progress(*[int(pd.Timedelta(x).total_seconds() * 1000) for x in (orphan_after, keep)])
+    told = rows.withWatermark("ts", delay).groupBy("call_id").transformWithStateInPandas(step, "call_id long, at long, status string", "append", "eventTime")
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _run(told.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
+    finally:
+        conf.set(name, before)
 
 
 def running_stats(events: DataFrame, out: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes") -> None:
