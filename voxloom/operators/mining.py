@@ -5,37 +5,82 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, word_count
+from ..sources.shared import written
 from .ranking import ranked
 
 
+def _runs(k: int) -> Column:
+    """The runs of k words of the array w, as texts."""
+    places = F.sequence(F.lit(1), F.size("w") - (k - 1))
+    return F.when(F.size("w") >= k, F.transform(places, lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def _extended(k: int) -> Column:
+    """Of each run of k words of w the run without its last word, that without its first, and the last word."""
+    places = F.sequence(F.lit(1), F.size("w") - (k - 1))
+    return F.transform(places, lambda i: F.struct(F.array_join(F.slice("w", i, k - 1), " ").alias("first"), F.array_join(F.slice("w", i + 1, k - 1), " ").alias("last"), F.element_at("w", i + (k - 1)).alias("word")))
+
+
 def ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
     """How often each run of 3 to 5 words occurs in the texts of each label, and in how many: label, gram, n, docs."""
     words = docs.select("doc_id", "label", tokens(F.col("text")).alias("w"))
-
-    def runs(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.size("w") - (k - 1))
-        return F.when(F.size("w") >= k, F.transform(places, lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
-
-    each = words.select("doc_id", "label", F.explode(F.concat(*[runs(k) for k in sizes])).alias("gram"))
+    each = words.select("doc_id", "label", F.explode(F.concat(*[_runs(k) for k in sizes])).alias("gram"))
     per_doc = each.groupBy("label", "gram", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("label", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
-def overrepresented(counts: DataFrame, sizes: DataFrame, positive: int, most: int = 5000, ratio: float = 2.0) -> DataFrame:
-    """Grams more frequent per text under one label than under others: of its most frequent ones those with n of max(3, texts / 100) or more and a rate twice the others'. sizes: label, texts."""
+def frequent_grams(texts: DataFrame, least: int, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
+    """Runs of words that occur ``least`` times or more over all texts (column text): gram, n.
+
+    Level by level, from single words on: a run is counted only where both runs
+    that are a word shorter are frequent, so that what is shuffled are runs made
+    of frequent ones, first added up in their tasks. At most words / ``least`` runs
+    of a size are frequent; Catalyst sends them to all tasks where the written
+    table is small, and joins by key else. ``least`` of 1 or less finds all runs.
+    Texts without words, or none at all, have no runs.
+    """
+    if any(k < 1 for k in sizes):
+        raise ValueError("sizes must be 1 or more")
+    words, below, found = texts.select(tokens(F.col("text")).alias("w")), None, []
+    for k in range(1, max(sizes) + 1):
+        if below is None:
+            runs = words.select(F.explode("w").alias("gram"))
+        else:
+            runs = words.where(F.size("w") >= k).select(F.inline(_extended(k)))
+            for side in ("first", "last"):
+                runs = runs.join(below.select(F.col("gram").alias(side)), side, "left_semi")
+            runs = runs.select(F.concat("first", F.lit(" "), "word").alias("gram"))
+        below = written(runs.where("gram <> ''").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least), "grams")
+        if k in sizes:
+            found.append(below)
+    return reduce(DataFrame.union, found)
+
+
+def overrepresented(docs: DataFrame, positive: int, most: int = 5000, ratio: float = 2.0, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
+    """Grams more frequent per text under one label than under others (docs: label, text): gram, a, b, ratio.
+
+    Of the label's ``most`` frequent ones, ties in order of gram, those with a of
+    max(3, texts / 100) or more and ``ratio`` times the rate of the others, which
+    counts as 0.0001 at least. Only grams that reach the first bound are counted,
+    and only the ``most`` of them among other texts. Texts without label count
+    nowhere; without texts of the label nothing is found.
+    """
     own = F.col("label") == positive
-    both = counts.groupBy("gram").agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~own, F.col("n")).otherwise(0)).alias("b"))
-    totals = sizes.agg(F.sum(F.when(own, F.col("texts")).otherwise(0)).alias("ta"), F.sum(F.when(~own, F.col("texts")).otherwise(0)).alias("tb"))
-    top = both.where("a > 0").orderBy(F.desc("a"), "gram").limit(most)
-    joined = top.crossJoin(F.broadcast(totals))  # one row of totals
-    rate = (F.col("a") / F.col("ta")) / F.greatest(F.col("b") / F.greatest(F.col("tb"), F.lit(1)), F.lit(0.0001))
-    return joined.where((F.col("a") >= F.greatest(F.lit(3), F.floor(F.col("ta") / 100))) & (rate >= ratio)).select("gram", "a", "b", F.round(rate, 6).alias("ratio"))
+    texts, others = docs.agg(F.count_if(own), F.count_if(~own)).first()
+    least = max(3, texts // 100)
+    top = written(frequent_grams(docs.where(own), least, sizes).withColumnRenamed("n", "a").orderBy(F.desc("a"), "gram").limit(most), "top")
+    words = docs.where(~own).select(tokens(F.col("text")).alias("w"))
+    other = words.select(F.explode(F.concat(*[_runs(k) for k in sizes])).alias("gram")).join(top.select("gram"), "gram").groupBy("gram").agg(F.count("*").alias("b"))
+    joined = top.join(other, "gram", "left").withColumn("b", F.coalesce("b", F.lit(0)))
+    rate = (F.col("a") / max(texts, 1)) / F.greatest(F.col("b") / max(others, 1), F.lit(0.0001))
+    return joined.where(rate >= ratio).select("gram", "a", "b", F.round(rate, 6).alias("ratio"))
 
 
 def assign_category(phrases: DataFrame, categories: list[tuple[str, list[str]]], mode: str = "token") -> DataFrame:

@@ -178,6 +178,38 @@ def upsert(index: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_new")
 
 
+#: Columns of an index row and what stands for a missing, empty or zero value; language is looked for in two columns.
+INDEXED = {
+    "source": ("string", None), "duration_s": ("double", 0.0), "language": ("string", "en"), "call_type": ("string", None), "n_speakers": ("int", 0), "risk_level": ("string", "low"), "compliance_score": ("int", 0),
+    "review_required": ("boolean", False), "priority": ("int", 5), "summary": ("string", ""), "n_personal": ("int", 0), "tamper_risk": ("string", "none"),
+}
+SUMMARY = 500
+
+
+def index_rows(records: DataFrame) -> DataFrame:
+    """The index row of each record: call_id, columns of INDEXED, review_reasons and degradations as JSON lists, and version where there is one.
+
+    A record may lack any column but call_id. Empty text counts as missing, a
+    priority of 0 stays. The language that was detected precedes the one that was
+    told. Summaries are cut at SUMMARY characters. Of degradations
+    (arrays of structs) the components are listed; null lists are empty ones.
+    """
+    have = dict(records.dtypes)
+
+    def value(name: str, kind: str) -> Column:
+        found = F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+        return F.nullif(found, F.lit("")) if kind == "string" else found
+
+    rows = {name: F.coalesce(value(name, kind), F.lit(default).cast(kind)) for name, (kind, default) in INDEXED.items()}
+    rows["language"] = F.coalesce(value("detected_language", "string"), rows["language"])
+    rows["summary"] = F.substring(rows["summary"], 1, SUMMARY)
+    none = F.array().cast("array<string>")
+    lists = {"review_reasons": F.col("review_reasons") if "review_reasons" in have else none, "degradations": F.col("degradations.component") if "degradations" in have else none}
+    lists = {name: F.to_json(F.coalesce(column, none)) for name, column in lists.items()}
+    version = ["version"] if "version" in have else []
+    return records.select("call_id", *version, *[column.alias(name) for name, column in (rows | lists).items()])
+
+
 def rebuild(records: DataFrame) -> DataFrame:
     """The index made anew from all records: of each call the row of highest version, ties by the largest other values in order; rows without call_id go."""
     rest = [c for c in records.columns if c not in ("call_id", "version")]

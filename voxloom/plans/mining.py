@@ -36,8 +36,7 @@ OVER = f"""{GRAMS}, gb as (select gram, coalesce(sum(n) filter (label = 1), 0)::
 
 def over(c: Corpus) -> DataFrame:
     """Phrases of toxic texts."""
-    d = labelled(c)
-    return m.overrepresented(m.ngram_counts(d), d.groupBy("label").agg(F.count("*").alias("texts")), 1)
+    return m.overrepresented(labelled(c), 1)
 
 
 @query("mi02_overrepresented", f"with {OVER.replace('over as', 'more as')} select * from more")

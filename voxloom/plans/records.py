@@ -9,6 +9,7 @@ from ..operators import compliance, entities, fraud, understanding
 from ..operators import records as r
 from ..sources import vocabulary
 from ..sources.fixtures import Corpus
+from ..sources.shared import written
 from .compliance import CHECKS
 from .entities import ENTITIES
 from .fraud import SIGNALS
@@ -191,6 +192,23 @@ def io17(c: Corpus) -> DataFrame:
     return r.upsert(*versions(c))
 
 
+@query("io17_index_rows", f"""with {SCORED}, fx as (select call_id, max(end_s) as duration_s, count(distinct speaker) as n_speakers, string_agg(text, ' ' order by segment_id) as said from segments group by call_id)
+    select call_id, 1 as version, null::varchar as source, duration_s, case when regexp_matches(said, '[\\x{{0900}}-\\x{{097F}}]') then 'hi' when call_id % 3 = 0 then 'en' else 'ta' end as language, call_type, n_speakers, risk_level, compliance_score, review_required, priority, left(said, 500) as summary, 0 as n_personal, 'none' as tamper_risk,
+        case when review_reasons = '' then '[]' else '["' || replace(review_reasons, '; ', '","') || '"]' end as review_reasons,
+        '[' || concat_ws(',', case when call_id not in (select call_id from checks) then '"checks"' end, case when call_id not in (select call_id from signals) then '"fraud"' end) || ']' as degradations
+    from scored_calls join fx using (call_id)""", USES)
+def io17_rows(c: Corpus) -> DataFrame:
+    """Rows of the index from records with missing values."""
+    s, checks, signals = parts(c)
+    checks, signals = written(checks, "checks"), written(signals, "signals")  # both are read twice
+    ran = s.select("call_id", F.lit("transcript").alias("component")).union(checks.select("call_id", F.lit("checks"))).union(signals.select("call_id", F.lit("fraud")))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "text"))), lambda x: x["text"]), " ")
+    facts = s.groupBy("call_id").agg(F.max("end_s").alias("duration_s"), F.count_distinct("speaker").alias("n_speakers"), said.alias("summary"))
+    told = facts.withColumns({"detected_language": F.when(F.col("summary").rlike(r"[\x{0900}-\x{097F}]"), "hi"), "language": F.when(F.col("call_id") % 3 == 0, "").otherwise("ta"), "version": F.lit(1)})
+    scores = r.score_calls(s.select("call_id", "call_type").distinct(), checks, signals).withColumn("review_reasons", F.filter(F.split("review_reasons", "; "), lambda x: x != ""))
+    return r.index_rows(r.assemble(scores.join(told, "call_id"), degradations=r.degradations(ran, ["transcript", "checks", "fraud"])))
+
+
 @query("io18_rebuild", f"with {VERSIONS} select call_id, version, status from (select *, row_number() over (partition by call_id order by version desc, status desc) as k from (select * from idx union all select * from chg)) where k = 1")
 def io18(c: Corpus) -> DataFrame:
     """The index from all records."""
