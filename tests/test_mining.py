@@ -1,4 +1,4 @@
-"""Frequent runs of words level by level against plain counts, and rows of the index."""
+"""Frequent runs of words level by level against plain counts, rows of the index, and escalated calls."""
 
 from __future__ import annotations
 
@@ -54,3 +54,12 @@ def test_index_rows_have_defaults(spark):
     assert [found[k]["risk_level"] for k in (1, 2, 3)] == ["low", "high", "low"]
     assert [json.loads(found[k]["review_reasons"]) for k in (1, 2, 3)] == [['a "b"', "c"], [], []]
     assert [json.loads(found[k]["degradations"]) for k in (1, 2, 3)] == [["audio", "fraud"], [], []]
+
+
+def test_escalated_calls(spark):
+    calls = spark.createDataFrame([(k,) for k in (1, 1, 2, 3, 4, 5)], "call_id int")
+    intents = spark.createDataFrame([(1, "escalation"), (1, "escalation"), (2, None), (3, "question")], "call_id int, intent string")
+    emotions = spark.createDataFrame([(2, "angry"), (2, "happy"), (3, "neutral"), (3, "neutral"), (3, "angry"), (4, None), (5, "frustrated"), (9, "angry")], "call_id int, emotion string")
+    found = {r["call_id"]: (r["customer_emotion"], r["escalated"]) for r in records.escalations(calls, intents, emotions).collect()}
+    assert found == {1: (None, True), 2: ("angry", True), 3: ("neutral", False), 4: (None, False), 5: ("frustrated", True)}
+    assert records.escalations(calls.limit(0), intents, emotions).count() == 0

@@ -30,6 +30,26 @@ def score_calls(calls: DataFrame, checks: DataFrame, signals: DataFrame) -> Data
     return scored.withColumn("review_required", review).withColumn("priority", priority).withColumn("review_reasons", F.array_join(reasons, "; "))
 
 
+#: Emotions of a customer that count as an escalation (fixed values).
+UPSET = ("angry", "frustrated")
+
+
+def escalations(calls: DataFrame, intents: DataFrame, emotions: DataFrame) -> DataFrame:
+    """Whether a call escalated: call_id, customer_emotion, escalated.
+
+    It did if an utterance asks for escalation or the customer's emotion is one of
+    UPSET. That emotion is the most frequent of the customer's annotations
+    (``emotions``: call_id, emotion), ties by name, null ones left out, null where
+    there are none. Both sides are added up in their tasks before the join.
+    """
+    asked = intents.where("intent = 'escalation'").groupBy("call_id").agg(F.lit(True).alias("_asked"))
+    counts = emotions.where("emotion is not null").groupBy("call_id", "emotion").agg(F.count("*").alias("n"))
+    felt = counts.groupBy("call_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "emotion")).alias("_felt")).select("call_id", F.col("_felt.emotion").alias("customer_emotion"))
+    joined = calls.select("call_id").distinct().join(asked, "call_id", "left").join(felt, "call_id", "left")
+    upset = F.coalesce(F.col("customer_emotion").isin(*UPSET), F.lit(False))
+    return joined.select("call_id", "customer_emotion", (F.col("_asked").isNotNull() | upset).alias("escalated"))
+
+
 def review_queue(scored: DataFrame, first: int | None = None) -> DataFrame:
     """Calls to be reviewed; with ``first``, that many of the most urgent and newest, in order (the whole queue isn't sorted: its readers page through it)."""
     queue = scored.where("review_required")

@@ -84,6 +84,22 @@ def intents(c: Corpus) -> DataFrame:
     return understanding.keyword_intents(c.segments())
 
 
+ESCALATED = """ec as (select call_id, emotion, count(*) as n from emotions where speaker = 'SPEAKER_01' group by all), ef as (select call_id, first(emotion order by n desc, emotion) as customer_emotion from ec group by call_id),
+    ea as (select distinct call_id from intents where intent = 'escalation'),
+    escalations as (select c.call_id, customer_emotion, ea.call_id is not null or coalesce(customer_emotion in ('angry', 'frustrated'), false) as escalated from (select distinct call_id from segments) c left join ea on ea.call_id = c.call_id left join ef on ef.call_id = c.call_id)"""
+
+
+def escalated(c: Corpus, segments: DataFrame) -> DataFrame:
+    """Escalations by keywords and by the second speaker's emotions."""
+    return r.escalations(segments, understanding.keyword_intents(segments), c.emotions(segments).where("speaker = 'SPEAKER_01'"))
+
+
+@query("rs03_escalations", f"with {INTENTS}, {ESCALATED} select * from escalations", "segments emotions")
+def rs03(c: Corpus) -> DataFrame:
+    """Calls that escalated."""
+    return escalated(c, c.segments())
+
+
 @query("rs15_topics", f"""with {INTENTS}, n as (select call_id, intent, count(*) as n from intents group by all), s as (select *, round(n / sum(n) over (partition by call_id), 4) as share from n)
     select call_id, array_to_string(list_transform(string_split(intent, '_'), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') as topic, n, share from s where share >= 0.02""", "segments")
 def rs15(c: Corpus) -> DataFrame:

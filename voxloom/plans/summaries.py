@@ -12,7 +12,7 @@ from ..sources.fixtures import Corpus
 from .entities import ANSWERS, ENTITIES, IMPORTED, LINES, NER, imported
 from .entities import answers as lines
 from .pii import CALLS, KEY
-from .records import NUMBERS, SCORED, parts
+from .records import ESCALATED, NUMBERS, SCORED, escalated, parts
 from .registry import query
 from .understanding import INTENTS
 
@@ -158,13 +158,13 @@ def tx22(c: Corpus) -> DataFrame:
 _ALL = ENTITIES.replace("every as", "every_entity as").replace("from every)", "from every_entity)")
 
 
-@query("io06_flat_calls", f"""with {SCORED}, {INTENTS}, {_ALL}, {CALLS.replace("scored as", "scored_pii as").replace("from scored", "from scored_pii")}, {ANSWERS}, {LINES},
+@query("io06_flat_calls", f"""with {SCORED}, {INTENTS}, {ESCALATED}, {_ALL}, {CALLS.replace("scored as", "scored_pii as").replace("from scored", "from scored_pii")}, {ANSWERS}, {LINES},
     f as (select call_id, max(end_s) as duration_s, round(avg(confidence), 6) as confidence, count(distinct speaker) as n_speakers, round(coalesce(sum(end_s - start_s) filter (lower(speaker) in ('agent', 'speaker a', 'speaker_00')), 0) / nullif(sum(end_s - start_s), 0), 4) as agent_share,
         round(coalesce(sum(end_s - start_s) filter (lower(speaker) in ('customer', 'speaker b', 'speaker_01')), 0) / nullif(sum(end_s - start_s), 0), 4) as customer_share from segments group by call_id),
     n1 as (select call_id, count(*) as n from intents group by 1), n2 as (select call_id, count(*) as n from entities group by 1), n3 as (select call_id, count(*) as n from lines where t like 'OBLIGATION|%' and not t like 'OBLIGATION|x|%' group by 1), n4 as (select call_id, count(*) as n from pii group by 1)
     select call_id, null::varchar as source, duration_s, null::varchar as language, null::boolean as mixed, call_type, null::double as quality_score, null::varchar as quality_flag, null::double as snr_db, confidence, n_speakers, agent_share, customer_share, n1.n as n_intents, coalesce(n2.n, 0) as n_entities,
-        coalesce(n3.n, 0) as n_obligations, coalesce(n3.n, 0) as n_binding, violations as n_failed, fraud as n_signals, coalesce(n4.n, 0) as n_personal, 0::bigint as n_toxic, null::varchar as tamper_risk, compliance_score, risk_level, null::varchar as customer_emotion, null::boolean as escalated, review_required, priority, null::varchar as summary
-    from scored_calls join f using (call_id) left join n1 using (call_id) left join n2 using (call_id) left join n3 using (call_id) left join n4 using (call_id)""", "segments vocab")
+        coalesce(n3.n, 0) as n_obligations, coalesce(n3.n, 0) as n_binding, violations as n_failed, fraud as n_signals, coalesce(n4.n, 0) as n_personal, 0::bigint as n_toxic, null::varchar as tamper_risk, compliance_score, risk_level, customer_emotion, escalated, review_required, priority, null::varchar as summary
+    from scored_calls join f using (call_id) join escalations using (call_id) left join n1 using (call_id) left join n2 using (call_id) left join n3 using (call_id) left join n4 using (call_id)""", "segments vocab emotions")
 def io06(c: Corpus) -> DataFrame:
     """A flat row of 29 columns for each call, from what the fixture knows of it."""
     segments, checks, signals = parts(c)
@@ -172,4 +172,4 @@ def io06(c: Corpus) -> DataFrame:
     about = segments.groupBy("call_id").agg(F.max("end_s").alias("duration_s"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_distinct("speaker").alias("n_speakers"))
     counted = lambda rows, name, *more: rows.groupBy("call_id").agg(F.count("*").alias(name), *more)
     bound = counted(e.parse_obligation_lines(lines(c)), "n_obligations", F.count_if(F.col("strength") == "binding").alias("n_binding"))
-    return records.flat_calls(scored, about, transcript.talk_time(segments), counted(understanding.keyword_intents(segments), "n_intents"), counted(e.extract(segments), "n_entities"), bound, counted(pii.detect(segments, KEY), "n_personal"))
+    return records.flat_calls(scored, about, transcript.talk_time(segments), counted(understanding.keyword_intents(segments), "n_intents"), counted(e.extract(segments), "n_entities"), bound, counted(pii.detect(segments, KEY), "n_personal"), escalated(c, segments))
