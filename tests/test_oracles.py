@@ -99,3 +99,12 @@ def test_answers_with_nothing_in_them(spark):
 def test_account_numbers_with_wrong_digits(spark):
     rows = spark.createDataFrame([("GB82 WEST 1234 5698 7654 32",), ("GB82WEST12345698765433",), ("DE89370400440532013000",)], "v string")
     assert [r[0] for r in rows.select(pii.iban_ok(F.col("v"))).collect()] == [True, False, True]
+
+
+def test_confidences_of_one_intent_by_several_rules(spark):
+    rows_ = [(1, 0, "collections", "Your balance is here"), (2, 0, "general", "Nothing said"), (3, 0, "collections", "Get me your supervisors"), (4, 0, "kyc", None), (5, 0, "general", "q&a session")]
+    calls = spark.createDataFrame(rows_, "call_id long, segment_id int, call_type string, text string").withColumn("intent", F.lit("clash"))
+    found = {r["call_id"]: (r["intent"], r["confidence"]) for r in understanding.keyword_intents(calls).collect()}
+    assert found == {1: ("information_request", 0.68), 2: ("information_request", 0.50), 3: ("escalation", 0.75), 4: ("unknown", 0.30), 5: ("procedural", 0.75)}
+    whole = {r["call_id"]: r["intent"] for r in understanding.keyword_intents(calls, word=True).collect()}
+    assert whole == {1: "information_request", 2: "information_request", 3: "unknown", 4: "unknown", 5: "procedural"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,28 +86,27 @@ def trivial_intents(segments: DataFrame, greetings: DataFrame) -> DataFrame:
     return joined.select("call_id", "segment_id", F.when(F.col("greeting"), "greeting").otherwise("acknowledgment").alias("intent"), F.lit(0.9).alias("confidence"))
 
 
-def _any(text: Column, phrases: list[str]) -> Column:
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | text.contains(phrase)
-    return found
+def _any(text: Column, phrases: list[str], where: str = "{}") -> Column:
+    """Whether one of the phrases stands in a text, as one pattern: the text's own expression stands once in the plan, not once a phrase."""
+    return text.rlike(where.format("(?:" + "|".join(re.escape(p) for p in phrases) + ")"))
 
 
 def keyword_intents(segments: DataFrame, word: bool = False) -> DataFrame:
     """Intent by the first rule of the cascade whose phrases a text contains; with ``word`` only as whole words."""
     low = F.lower(F.btrim("text"))
-    found = (lambda phrases: low.rlike("(?<![a-z0-9])(?:" + "|".join(p.replace("&", "\\&") for p in phrases) + ")(?![a-z0-9])")) if word else (lambda phrases: _any(low, phrases))
-    intent, sure = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
+    rules = []
     for name, confidence, regulated, phrases in CASCADE:
-        holds = (F.col("call_type").isin(*REGULATED) & found(phrases)) if regulated else found(phrases)
-        intent, sure = intent.when(holds, name), sure.when(holds, confidence)
-    asks = low.endswith("?")
-    for start in QUESTION_STARTS:
-        asks = asks | low.startswith(start)
+        found = _any(low, phrases, "(?<![a-z0-9]){}(?![a-z0-9])" if word else "{}")
+        rules.append((F.col("call_type").isin(*REGULATED) & found if regulated else found, name, confidence))
+    asks = low.endswith("?") | _any(low, QUESTION_STARTS, "^{}")
     general = F.col("call_type") == "general"
-    for holds, name, confidence in ((asks, "question", 0.70), (_any(low, EXPLANATIONS), "explanation", 0.65), (general, "information_request", 0.50)):
-        intent, sure = intent.when(holds, name), sure.when(holds, confidence)
-    return segments.select("call_id", "segment_id", intent.otherwise("unknown").alias("intent"), sure.otherwise(0.30).alias("confidence"))
+    rules += [(asks, "question", 0.70), (_any(low, EXPLANATIONS), "explanation", 0.65), (general, "information_request", 0.50), (None, "unknown", 0.30)]
+    chain = lambda rules, k: reduce(lambda rest, rule: F.when(rule[0], rule[k]).otherwise(rest), reversed(rules[:-1]), F.lit(rules[-1][k]))
+    told = segments.withColumn("intent", chain(rules, 1))
+    # the confidence follows from the intent; only where several rules give one intent are these looked at again
+    of = {name: chain([r for r in rules if r[1] == name], 2) for _, name, _ in rules}
+    sure = reduce(lambda rest, name: F.when(F.col("intent") == name, of[name]).otherwise(rest), of, F.lit(None).cast("double"))
+    return told.select("call_id", "segment_id", "intent", sure.alias("confidence"))
 
 
 def import_intents(queue: DataFrame, answers: DataFrame) -> DataFrame:
