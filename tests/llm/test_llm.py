@@ -326,6 +326,34 @@ def test_licenses_inside_longer_text(spark):
     assert found[5]["licenses"] == ["gpl-2.0"]
 
 
+def test_licenses_by_tag_and_denied(spark, tmp_path):
+    no = "not licensed under the Apache License, Version 2.0."
+    texts = [
+        (1, "/* SPDX-License-Identifier: MIT */\nint x;", "mit"),
+        (2, "# spdx-license-identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR Apache-2.0.", "apache-2.0,gpl-2.0"),
+        (3, "SPDX-License-Identifier: see the file\nMIT", ""),
+        (4, "This article is " + no, ""),
+        (5, "It is " + no, ""),
+        (6, "It is\n" + no + "\n\nIt isn't licensed under the MIT License.\nReleased under the MIT License.", "mit"),
+        (7, " ".join(["x"] * (licenses.PIECE - 1)) + " " + no, ""),
+        (8, "Get it. The code is licensed under the terms of the MIT license, says a page of ours on the net", "mit"),
+        (9, licenses.TEMPLATES["mpl-2.0"][2], "mpl-2.0"),
+        (10, "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", "bsl-1.0"),
+        (11, None, ""),
+        (12, "SPDX-License-Identifier:", ""),
+    ]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    found = collected(licenses.scan(docs), "doc_id")
+    assert {k: ",".join(r["licenses"]) for k, r in found.items()} == {k: names for k, _, names in texts}
+    import duckdb
+
+    con, few = duckdb.connect(), docs.where("doc_id <> 7").toPandas()
+    few.to_parquet(tmp_path / "documents.parquet")
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    told = con.sql(queries.oracle_sql()["op10_licenses"]).df()
+    assert {r.doc_id: (r.licenses, r.n_matches) for r in told.itertuples()} == {k: (",".join(r["licenses"]), r["n_matches"]) for k, r in found.items() if k != 7}
+
+
 def test_standard_notices_and_texts_of_licenses():
     matcher = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
 

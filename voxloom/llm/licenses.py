@@ -11,12 +11,17 @@ window of a whole text that has as many words as a template is compared with
 it too, at a stricter coefficient (WITHIN percent). A window whose middle lies in
 a window of another licence that shares more bigrams with its own template goes:
 the two-clause BSD text isn't found in the three-clause one.
+
+A block, or a window with the word before it, that says "not licensed" or the
+like (NEGATED) matches nothing. Tags ``SPDX-License-Identifier: ...`` name their
+licences: each known name of such a line counts, with a coefficient of 1;
+"-only", "-or-later" and "+" are taken off.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from itertools import islice
 
 import numpy as np
@@ -27,11 +32,17 @@ from .common import chunks, doc_texts
 
 # Licence notices as their publishers word them, titles of full texts, and paragraphs that no other licence here has.
 TEMPLATES = {
+    "agpl-3.0": [
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+        "\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
     ],
     "bsd-2-clause": [
         "Licensed under the BSD 2-Clause License.",
@@ -44,6 +55,11 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
+    "bsl-1.0": [
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under the Creative Commons Attribution 4.0 International License.",
@@ -59,6 +75,14 @@ TEMPLATES = {
         "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Creative Commons Attribution-ShareAlike 4.0 International Public License",
     ],
+    "cc0-1.0": [
+        "Creative Commons Legal Code CC0 1.0 Universal",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ],
+    "epl-2.0": [
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
     "gpl-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
@@ -87,6 +111,7 @@ TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "Licensed under the terms of the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -95,9 +120,15 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Mozilla Public License Version 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
     ],
     "unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     ],
 }
 THRESHOLD = 0.8
@@ -105,6 +136,10 @@ THRESHOLD = 0.8
 WITHIN = 90
 #: Words of a text that are looked at together; pieces overlap by the longest template.
 PIECE = 1 << 16
+#: Word bigrams that say that something isn't licensed.
+NEGATED = [(a, b) for a in ("not", "never", "t", "longer") for b in ("licensed", "released", "available")]
+# Tags, the names in one, and what is taken off a name; SQL reads them, too.
+TAG, NAME, LATER = r"(?i)SPDX-License-Identifier:([^\n]*)", r"[a-z0-9+]+(?:[.-][a-z0-9+]+)*", r"(?:-only|-or-later|\+)$"
 _WORD = re.compile(r"[^\W_]+")
 _BLANK = re.compile(r"\n[^\S\n]*\n")
 
@@ -135,6 +170,8 @@ class Matcher:
         if not self.least <= len(found) - 1 and self.least > 1:
             return
         pairs = set(zip(found, found[1:], strict=False))
+        if not pairs.isdisjoint(NEGATED):
+            return
         n = len(pairs)
         if not self.least <= n <= self.most:
             return
@@ -148,8 +185,8 @@ class Matcher:
             if m * t <= n * (2 - t) and n * t <= m * (2 - t) and 2 * common >= t * (n + m):
                 yield name, 2 * common / (n + m)
 
-    def windows(self, words: list[str], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of windows that reach ``percent``: template, and for each window its first word, bigrams shared and coefficient."""
+    def windows(self, words: list[str], percent: int, before: str = "") -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of windows that reach ``percent``: template, and for each window its first word, bigrams shared and coefficient. ``before`` is the word before the first."""
         pairs = set(zip(words, words[1:], strict=False))
         shared: dict[int, int] = {}
         for pair in self.by_bigram.keys() & pairs:
@@ -162,13 +199,15 @@ class Matcher:
         ids = {pair: i for i, pair in enumerate(pairs)}
         codes = np.array([ids[pair] for pair in zip(words, words[1:], strict=False)])
         order = np.argsort(codes, kind="stable")
-        before = np.full(len(codes), -1)  # where a bigram stood last
+        last = np.full(len(codes), -1)  # where a bigram stood last
         again = codes[order][1:] == codes[order][:-1]
-        before[order[1:][again]] = order[:-1][again]
+        last[order[1:][again]] = order[:-1][again]
+        # denials up to each place, the bigram with the word before the window being the one before it
+        denials = np.cumsum([0, (before, words[0]) in NEGATED, *np.isin(codes, [ids[pair] for pair in NEGATED if pair in ids])])
 
         def distinct(places: np.ndarray, size: int) -> np.ndarray:
             """Of these places the first of their bigram in each window of ``size`` bigrams, counted by its start."""
-            edges = np.bincount(np.maximum(before[places], places - size) + 1, minlength=len(codes) + 1)
+            edges = np.bincount(np.maximum(last[places], places - size) + 1, minlength=len(codes) + 1)
             return np.cumsum(edges - np.bincount(places + 1, minlength=len(codes) + 1))[: len(codes) - size + 1]
 
         for k in fit:
@@ -177,7 +216,7 @@ class Matcher:
             known[[ids[pair] for pair in template & pairs]] = True
             size = self.lengths[k] - 1
             common, n = distinct(np.flatnonzero(known[codes]), size), distinct(np.arange(len(codes)), size)
-            starts = np.flatnonzero(200 * common >= percent * (n + len(template)))
+            starts = np.flatnonzero((200 * common >= percent * (n + len(template))) & (denials[size + 1 :] == denials[: -size - 1]))
             if len(starts):
                 yield k, starts, common[starts], 2 * common[starts] / (n[starts] + len(template))
 
@@ -185,12 +224,12 @@ class Matcher:
         """Licences of a text's windows, each with its best coefficient."""
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         source, overlap, at = (m[0] for m in _WORD.finditer(text.lower())), max(self.lengths) - 1, 0
-        words = list(islice(source, PIECE + overlap))
+        words, before = list(islice(source, PIECE + overlap)), ""
         while words:
-            for k, starts, common, dice in self.windows(words, percent):
+            for k, starts, common, dice in self.windows(words, percent, before):
                 own = starts < PIECE
                 found.setdefault(k, []).append((starts[own] + at, common[own], dice[own]))
-            words, at = words[PIECE:], at + PIECE
+            words, before, at = words[PIECE:], words[min(PIECE, len(words)) - 1], at + PIECE
             words += islice(source, PIECE)
         hits = {k: [np.concatenate(x) for x in zip(*parts, strict=True)] for k, parts in found.items()}
         best: dict[str, float] = {}
@@ -208,6 +247,11 @@ class Matcher:
         return best
 
 
+def tagged(text: str, known: Container[str]) -> set[str]:
+    """The known names in tags of a text."""
+    return {name for line in re.findall(TAG, text) for found in re.findall(NAME, line.lower()) if (name := re.sub(LATER, "", found)) in known}
+
+
 def blocks(text: str) -> Iterator[str]:
     """The lines of a text, and its runs of two or more lines between blank ones."""
     lines = text.split("\n")
@@ -221,9 +265,9 @@ def blocks(text: str) -> Iterator[str]:
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document: doc_id, license (the best; ties by name; null if none), dice, n_matches and licenses (all found, sorted).
 
-    Found are the licences of blocks and of windows. n_matches counts blocks
-    that match some template, so it is 0 where a notice stands inside a block
-    only. Null and empty texts match nothing; repeated rows stay.
+    Found are the licences of blocks, of windows and of tags that name a licence
+    of ``templates``. n_matches counts blocks that match some template, so it is 0
+    where a notice stands inside a block only. Null and empty texts match nothing; repeated rows stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +275,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
         for batch in chunks(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                best, n = matcher.within(text), 0
+                best, n = matcher.within(text) | dict.fromkeys(tagged(text, templates or TEMPLATES), 1.0), 0
                 for block in blocks(text):
                     hits = list(matcher.of(block))
                     n += bool(hits)

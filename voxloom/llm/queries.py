@@ -128,6 +128,7 @@ def _manifest_sql() -> str:
 
 def _licenses_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in licenses.TEMPLATES.items() for text in texts)
+    names, negated = ", ".join(f"'{x}'" for x in licenses.TEMPLATES), ", ".join(f"'{a} {b}'" for a, b in licenses.NEGATED)
     pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
     with t as (select row_number() over () as t, name, len(w) as long, {pairs.format("w")} as b
@@ -139,7 +140,7 @@ def _licenses_sql() -> str:
         union all
         select r, block from (select r, unnest(regexp_split_to_array(text, '\\n[^\\S\\n]*\\n')) as block from d) where contains(trim(block, chr(10)), chr(10))),
     words as (select row_number() over () as k, r, regexp_extract_all(lower(block), '[\\p{{L}}\\p{{N}}]+') as w from blocks),
-    pairs as (select k, r, {pairs.format("w")} as b from words where len(w) > 1),
+    pairs as (select k, r, {pairs.format("w")} as b from words where len(w) > 1 and not list_has_any({pairs.format("w")}, [{negated}])),
     grams as (select k, r, len(b) as n, unnest(b) as g from pairs),
     hits as (select k, r, name, 2.0 * count(*) / (n + m) as dice from grams join tb using (g)
              group by k, r, n, t, name, m having 2 * count(*) >= {licenses.THRESHOLD} * (n + m)),
@@ -147,11 +148,13 @@ def _licenses_sql() -> str:
     runs as (select r, len(w) as long, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as s from whole where len(w) > 1),
     likely as (select r, t, count(*) as c from (select distinct r, unnest(s) as g from runs) join tb using (g) group by r, t, m having 200 * count(*) >= {licenses.WITHIN} * (count(*) + m)),
     placed as (select r, t, name, b, t.long, s, unnest(range(1, runs.long - t.long + 2)) as p from likely join runs using (r) join t using (t) where t.long <= runs.long),
-    compared as (select r, t, name, long, p, len(b) as m, len(list_distinct(s[p:p + long - 2])) as n, len(list_intersect(list_distinct(s[p:p + long - 2]), b)) as c from placed),
+    compared as (select r, t, name, long, p, len(b) as m, len(list_distinct(s[p:p + long - 2])) as n, len(list_intersect(list_distinct(s[p:p + long - 2]), b)) as c from placed where not list_has_any(s[greatest(p - 1, 1):p + long - 2], [{negated}])),
     inside as (select * from compared where 200 * c >= {licenses.WITHIN} * (n + m)),
     alone as (select r, name, 2.0 * c / (n + m) as dice from inside x where not exists (
         select 1 from inside y where y.r = x.r and y.name <> x.name and y.c > x.c and x.p + x.long // 2 >= y.p and x.p + x.long // 2 < y.p + y.long)),
-    best as (select r, name, max(dice) as dice from (select r, name, dice from hits union all select * from alone) group by r, name),
+    tags as (select r, unnest(regexp_extract_all(text, '{licenses.TAG}', 1)) as line from d),
+    tagged as (select r, unnest(list_transform(regexp_extract_all(lower(line), '{licenses.NAME}'), lambda x: regexp_replace(x, '{licenses.LATER}', ''))) as name from tags),
+    best as (select r, name, max(dice) as dice from (select r, name, dice from hits union all select * from alone union all select r, name, 1.0 from tagged where name in ({names})) group by r, name),
     per as (select r, arg_min(name, (-dice, name)) as license, max(dice) as dice, string_agg(name, ',' order by name) as licenses from best group by r),
     counts as (select r, count(distinct k) as n from hits group by r)
     select doc_id, license, round(dice, 6) as dice, coalesce(n, 0) as n_matches, coalesce(licenses, '') as licenses
