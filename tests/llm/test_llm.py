@@ -619,5 +619,5 @@ def test_sketches_of_long_sets_agree_with_their_similarity():
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert shared_dir
