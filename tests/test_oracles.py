@@ -108,3 +108,10 @@ def test_confidences_of_one_intent_by_several_rules(spark):
     assert found == {1: ("information_request", 0.68), 2: ("information_request", 0.50), 3: ("escalation", 0.75), 4: ("unknown", 0.30), 5: ("procedural", 0.75)}
     whole = {r["call_id"]: r["intent"] for r in understanding.keyword_intents(calls, word=True).collect()}
     assert whole == {1: "information_request", 2: "information_request", 3: "unknown", 4: "unknown", 5: "procedural"}
+
+
+@pytest.mark.parametrize("name", ["rs17_risk_factors", "ev07_gate_cost", "ev01_precision_recall"])
+def test_texts_are_not_made_in_conditions(spark, name):
+    """Filters on what follows from a text must not copy the expressions that make it up into joins."""
+    plan = all_queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "{amt}" not in plan and "lineitem.parquet" not in plan

@@ -74,13 +74,13 @@ FOREIGN = f"""{NUMBERS}, fields as (select call_id, case when segment_id % 2 = 0
 
 def fields(c: Corpus) -> DataFrame:
     """Texts about calls, with claims in currencies."""
-    return c.segments().select("call_id", F.when(F.col("segment_id") % 2 == 0, "summary").otherwise("outcomes").alias("field"), F.col("segment_id").alias("ord"), F.expr(_CLAIM).alias("text"))
+    return c.spoken().select("call_id", F.when(F.col("segment_id") % 2 == 0, "summary").otherwise("outcomes").alias("field"), F.col("segment_id").alias("ord"), F.expr(_CLAIM).alias("text"))
 
 
 @query("rs07_foreign_claims", f"with {FOREIGN} select call_id, field, ord, text, array_to_string(removed, '/') as removed from guarded", "segments")
 def rs07(c: Corpus) -> DataFrame:
     """Unsupported claims in a foreign currency taken out."""
-    return s.drop_foreign(fields(c), c.segments()).withColumn("removed", F.array_join("removed", "/"))
+    return s.drop_foreign(fields(c), c.spoken()).withColumn("removed", F.array_join("removed", "/"))
 
 
 @query("rs09_guard_audit", f"""with {FOREIGN}, fn as (select distinct call_id, regexp_replace(replace(unnest(regexp_extract_all(text, '\\d+(?:,\\d{{2,3}})*(?:\\.\\d+)?')), ',', ''), '\\.0+$', '') as number from guarded),
@@ -88,7 +88,7 @@ def rs07(c: Corpus) -> DataFrame:
     select call_id, array_to_string(list_sort(flatten(list(removed))), '/') as removed, coalesce(any_value(unsupported), '') as unsupported from guarded left join un using (call_id) group by call_id""", "segments")
 def rs09(c: Corpus) -> DataFrame:
     """What the guard found over all fields of a call."""
-    found = s.guard_audit(fields(c), c.segments())
+    found = s.guard_audit(fields(c), c.spoken())
     return found.select("call_id", F.array_join("removed", "/").alias("removed"), F.array_join("unsupported", "/").alias("unsupported"))
 
 
@@ -110,7 +110,7 @@ def rs14(c: Corpus) -> DataFrame:
     union all select call_id, 'high_refusal_rate', 1, 'Refusal rate ' || round_even(r, 0)::int || '% — customer resistance detected' from n where r > 10""", "segments")
 def rs17(c: Corpus) -> DataFrame:
     """Risk factors of a call."""
-    return s.risk_factors(understanding.keyword_intents(c.segments()), c.segments())
+    return s.risk_factors(understanding.keyword_intents(c.spoken()), c.spoken())
 
 
 @query("em09_emotions_view", """with n as (select call_id, emotion, count(*) as n from emotions group by all), l as (select call_id, arg_min(emotion, (-n, emotion)) as largest from n group by call_id),
