@@ -15,6 +15,7 @@ import __spark_entry__
 from voxloom.operators import pii, summaries, transcript, understanding
 from voxloom.operators.entities import words_to_number
 from voxloom.plans import all_queries, all_sql
+from voxloom.sources import fixtures
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "orders lineitem events documents labels conversations".split()
@@ -115,3 +116,14 @@ def test_texts_are_not_made_in_conditions(spark, name):
     """Filters on what follows from a text must not copy the expressions that make it up into joins."""
     plan = all_queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "{amt}" not in plan and "lineitem.parquet" not in plan
+
+
+def test_partitions_of_long_calls_grow_with_the_input(spark, monkeypatch):
+    """The sorts of a task stay of one size, and the rows are those of the SQL."""
+    corpus = fixtures.Corpus(spark, DATA)
+    monkeypatch.setattr(fixtures, "SHARE", 700)
+    found = corpus.segments_long()
+    assert found.rdd.getNumPartitions() == corpus.table("lineitem").count() // 700 + 1
+    corpus._views("lineitem", "orders")
+    want = spark.sql(f"with {fixtures.segments_sql('vx_lineitem', 'vx_orders')}, {fixtures.LONG_SQL} select * from segments_long")
+    assert found.columns == want.columns and rows(found.toPandas()) == rows(want.toPandas())
