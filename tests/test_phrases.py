@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import sql
 from voxloom.functions.text import normal, phrase_hits, tokens
-from voxloom.operators import mining, pii, summaries, transcript
+from voxloom.operators import compliance, fraud, mining, pii, summaries, transcript
 from voxloom.sources import vocabulary
 
 
@@ -143,3 +143,30 @@ def test_long_transcripts_are_aligned_in_seconds():
     assert sum(len(h.split()) for h, _ in found) == heard.count("x")
     list(mining.replaced_words(" ".join(["a", "b"] * 50_000), " ".join(["c", "b", "d"] * 30_000)))
     assert time.time() - start < 20
+
+
+def said_in_parts(spark):
+    rows = [
+        (1, 0, "SPEAKER_00", 0.0, 40.0, "we will send our"), (1, 1, "SPEAKER_01", 40.0, 50.0, "please stop"), (1, 2, "SPEAKER_00", 50.0, 60.0, "people, to your house! Calling from"),
+        (1, 3, "SPEAKER_01", 60.0, 70.0, None), (1, 4, "SPEAKER_01", 70.0, 80.0, "calling me"), *[(1, k, "SPEAKER_00", 80.0, 81.0, "ok") for k in range(5, 9)],
+        (2, 0, "x", 0.0, 1.0, "my OTP"), (2, 1, "y", 1.0, 2.0, ""), (3, 0, "SPEAKER_00", 0.0, 1.0, None),
+    ]
+    return spark.createDataFrame([(*r, "collections") for r in rows], "call_id long, segment_id int, speaker string, start_s double, end_s double, text string, call_type string").repartition(3)
+
+
+def test_checks_and_signals_of_parts_over_segments(spark):
+    facts = compliance.call_facts(said_in_parts(spark), vocabulary.pack(spark)).select("call_id", compliance.every_check().alias("checks"), fraud.every_signal().alias("signals"))
+    found = {r["call_id"]: r for r in facts.collect()}
+    failed = lambda k: sorted((c["check_name"], c["segment_id"], c["evidence"]) for c in found[k]["checks"] if not c["passed"])
+    opening = [(n, None, None) for n in ("caller_identification", "purpose_disclosure", "recording_consent")]
+    assert failed(1) == sorted([*opening, ("ignored_end_request", 1, "stop calling me"), ("prohibited_threats", 0, "send our people to your house")])
+    assert failed(2) == opening and failed(3) == [("agent_domination", None, None), *opening]
+    assert [tuple(s) for s in found[2]["signals"]] == [("credential_request", 0, 0.75, "otp")]
+    assert not found[3]["signals"]
+
+
+def test_segments_are_shuffled_once_for_checks_and_signals(spark):
+    facts = compliance.call_facts(said_in_parts(spark), vocabulary.pack(spark))
+    plan = facts.select("call_id", F.inline(compliance.every_check()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(call_id") == 1 and "SortMergeJoin" not in plan
+    assert plan.count("Sort [call_id") == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import phrase_hits
+from ..functions.text import first_places
 from .transcript import AGENT, CUSTOMER, REGULATED
 
 CRITICAL_CATEGORIES = ("threats", "coercion", "misleading")
@@ -28,35 +28,39 @@ _CHECKS = "array<struct<check_name: string, passed: boolean, severity: string, s
 NOTICES = [("data_purpose", "purpose_notice", "high"), ("data_consent", "consent_obtained", "critical"), ("data_rights", "rights_notice", "medium")]
 
 
+#: The part of a call that phrases of a category are looked for in, and the categories that are looked for in the whole call.
+PARTS = {"required": "opening", "prohibited": "agent", "third_party": "agent", "end_call": "customer"}
+WHOLE = ("fraud", "disclaimer", "data_request", *[n[0] for n in NOTICES], "sensitive_id")
+
+
 def call_facts(segments: DataFrame, vocab: DataFrame, seconds: float = 30) -> DataFrame:
-    """A row for each call with all that the checks ask for: call_id, call_type, agent_s, customer_s, turns (the agent's segments), said, required, notices.
-
-    ``said`` has an element for each phrase of the vocabulary in the call, with the
-    first segment at all (``first``), of the agent (``agent``), in the agent's
-    opening (``opening``) and of the customer (``customer``); its length is
-    bounded by that of the vocabulary. Each of these parts of a call is read as one
-    text, so that a phrase may go over several of its segments; it counts where it
-    begins. Segments are read once for all checks.
+    """A row for each call with all that checks and signals ask for: call_id, call_type, agent_s, customer_s, spoken_s, last_s, speakers, turns (the agent's segments), said, required, notices.
+
+    ``said`` has an element for each phrase of the vocabulary that is in the part of
+    the call where its category is looked for (PARTS, else the whole), with the first
+    ``segment``; its length is bounded by that of the vocabulary. Each of these parts
+    of a call is read as one text, so that a phrase may go over several of its
+    segments; it counts where it begins. Segments are shuffled and sorted once for
+    all checks. Categories that no check or signal asks for are left out.
     """
     is_agent, is_customer = F.coalesce(F.lower("speaker").isin(*AGENT), F.lit(False)), F.coalesce(F.lower("speaker").isin(*CUSTOMER), F.lit(False))
-    w, length = Window.partitionBy("call_id"), F.col("end_s") - F.col("start_s")
-    marked = segments.select("call_id", "call_type", "segment_id", "text", length.alias("length"), is_agent.alias("is_agent"), is_customer.alias("is_customer"))
-    marked = marked.withColumn("scope", F.col("is_agent") | ~F.max("is_agent").over(w))  # the agent's, or all where no speaker is an agent
-    before = F.sum(F.when(F.col("scope"), F.col("length"))).over(w.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1))
-    marked = marked.withColumn("opening", F.col("scope") & (F.coalesce(before, F.lit(0.0)) < seconds))
-    known = vocab.select("category", "subcategory", "phrase", "ord")
-    spoken = marked.select("call_id", "segment_id", "text", "scope", "opening", "is_customer", F.lit(True).alias("whole"))
-    hits = phrase_hits(spoken, known, ("whole", "scope", "opening", "is_customer"))
-    least = lambda flag, name: F.min(F.when(F.col(flag), F.col("segment_id"))).alias(name)
-    first = hits.groupBy("call_id", "category", "subcategory", "phrase").agg(F.min("ord").alias("ord"), least("whole", "first"), least("scope", "agent"), least("opening", "opening"), least("is_customer", "customer"))
-    said = first.groupBy("call_id").agg(F.collect_list(F.struct("category", "subcategory", "phrase", "ord", "first", "agent", "opening", "customer")).alias("said"))
+    w, length = Window.partitionBy("call_id").orderBy("segment_id"), F.col("end_s") - F.col("start_s")
+    marked = segments.select("call_id", "call_type", F.col("segment_id").cast("int").alias("segment_id"), "speaker", "text", "end_s", length.alias("length"), is_agent.alias("is_agent"), is_customer.alias("customer"))
+    everywhere, before = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumns({"_has": F.max("is_agent").over(everywhere), "_of_agent": F.sum(F.when(F.col("is_agent"), F.col("length"))).over(before), "_of_all": F.sum("length").over(before)})
+    spoken = F.coalesce(F.when(F.col("_has"), F.col("_of_agent")).otherwise(F.col("_of_all")), F.lit(0.0))
+    marked = marked.withColumn("agent", F.col("is_agent") | ~F.col("_has"))  # the agent's, or all where no speaker is an agent
+    marked = marked.withColumns({"opening": F.col("agent") & (spoken < seconds), "whole": F.lit(True)}).drop("_has", "_of_agent", "_of_all")
     spent = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col("length"))), F.lit(0.0))
-    calls = marked.groupBy("call_id").agg(F.min("call_type").alias("call_type"), spent("is_agent").alias("agent_s"), spent("is_customer").alias("customer_s"), F.collect_list(F.when(F.col("is_agent"), F.col("segment_id"))).alias("turns"))
+    facts = {"call_type": F.min("call_type"), "agent_s": spent("is_agent"), "customer_s": spent("customer"), "spoken_s": F.sum("length"), "last_s": F.max("end_s"), "speakers": F.array_sort(F.collect_set("speaker")), "turns": F.collect_list(F.when(F.col("is_agent"), F.col("segment_id")))}
+    part_of = F.coalesce(F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])[F.col("category")], F.lit("whole"))
+    once = vocab.where(F.col("category").isin(*PARTS, *WHOLE)).groupBy("category", "subcategory", "phrase").agg(F.min("ord").alias("ord")).withColumn("part", part_of)
+    calls = first_places(marked, once, ("whole", "agent", "opening", "customer"), **facts)
     part = lambda k: F.split_part("subcategory", F.lit("/"), F.lit(k))
-    rules = known.where("category in ('required', 'disclaimer')").select(F.when(F.col("category") == "required", part(1)).otherwise("general").alias("call_type"), "category", F.when(F.col("category") == "required", part(2)).otherwise(F.col("subcategory")).alias("name"))
+    rules = vocab.where("category in ('required', 'disclaimer')").select(F.when(F.col("category") == "required", part(1)).otherwise("general").alias("call_type"), "category", F.when(F.col("category") == "required", part(2)).otherwise(F.col("subcategory")).alias("name"))
     names = lambda category: F.array_sort(F.collect_set(F.when(F.col("category") == category, F.col("name"))))
     wanted = rules.groupBy("call_type").agg(names("required").alias("required"), names("disclaimer").alias("notices"))
-    return calls.join(said, "call_id", "left").join(wanted, "call_type", "left")
+    return calls.join(F.broadcast(wanted), "call_type", "left")
 
 
 def _check(name: Column, passed: Column, severity: Column, segment: Column, evidence: Column | None = None) -> Column:
@@ -66,21 +70,18 @@ def _check(name: Column, passed: Column, severity: Column, segment: Column, evid
 def _said(category: str, more: Callable[[Column], Column] | None = None) -> Column:
     """The elements of ``said`` of a category."""
     kept = lambda x: (x["category"] == category) & (F.lit(True) if more is None else more(x))
-    return F.filter(F.coalesce("said", F.array().cast(_SAID)), kept)
-
-
-_SAID = "array<struct<category: string, subcategory: string, phrase: string, ord: int, first: int, agent: int, opening: int, customer: int>>"
+    return F.filter("said", kept)
 
 
-def _least(found: Column, field: str) -> Column:
-    return F.array_min(F.transform(found, lambda x: x[field]))
+def _least(found: Column) -> Column:
+    return F.array_min(F.transform(found, lambda x: x["segment"]))
 
 
-def _named(names: str, category: str, field: str, subcategory: Callable[[Column], Column], raw: str | None) -> Column:
+def _named(names: str, category: str, subcategory: Callable[[Column], Column], raw: str | None) -> Column:
     """A check for each name: passed if one of its phrases is there."""
 
     def one(name: Column) -> Column:
-        segment = _least(_said(category, lambda x: x["subcategory"] == subcategory(name)), field)
+        segment = _least(_said(category, lambda x: x["subcategory"] == subcategory(name)))
         severity = F.lit("low") if raw is None else F.when(segment.isNotNull(), "low").otherwise(remap_severity(F.col("call_type"), F.lit(raw)))
         return _check(name, segment.isNotNull(), severity, segment)
 
@@ -88,13 +89,12 @@ def _named(names: str, category: str, field: str, subcategory: Callable[[Column]
 
 
 def _required() -> Column:
-    found = _named("required", "required", "opening", lambda name: F.concat("call_type", F.lit("/"), name), "high")
+    found = _named("required", "required", lambda name: F.concat("call_type", F.lit("/"), name), "high")
     return F.when(F.col("call_type").isin(*REGULATED), found)
 
 
 def _failed(category: str, name: Callable[[Column], Column], severity: Callable[[Column], Column]) -> Column:
-    found = _said(category, lambda x: x["agent"].isNotNull())
-    return F.transform(found, lambda x: _check(name(x), F.lit(False), severity(x), x["agent"], x["phrase"]))
+    return F.transform(_said(category), lambda x: _check(name(x), F.lit(False), severity(x), x["segment"], x["phrase"]))
 
 
 def _prohibited() -> Column:
@@ -112,24 +112,29 @@ def _domination(share: float) -> Column:
 
 
 def _ignored_end(most: int) -> Column:
-    asked = F.array_min(F.transform(_said("end_call", lambda x: x["customer"].isNotNull()), lambda x: F.struct(x["ord"].alias("ord"), x["customer"].alias("segment"), x["phrase"].alias("phrase"))))
-    later = F.size(F.filter("turns", lambda t: t > asked["segment"]))
-    return F.when(later > most, F.array(_check(F.lit("ignored_end_request"), F.lit(False), F.lit("high"), asked["segment"], asked["phrase"])))
+    asked = F.array_min(F.transform(_said("end_call"), lambda x: F.struct(x["ord"].alias("ord"), x["segment"].alias("segment"), x["phrase"].alias("phrase"))))
+
+    def check(x: Column) -> Column:
+        later = F.size(F.filter("turns", lambda t: t > x["segment"]))
+        return F.when(later > most, _check(F.lit("ignored_end_request"), F.lit(False), F.lit("high"), x["segment"], x["phrase"]))
+
+    # a variable of a function holds the request, as its expression would be computed anew for each turn
+    return F.filter(F.transform(F.filter(F.array(asked), lambda x: x.isNotNull()), check), lambda x: x.isNotNull())
 
 
 def _notices() -> Column:
-    return F.when(F.col("call_type") == "general", _named("notices", "disclaimer", "first", lambda name: name, None))
+    return F.when(F.col("call_type") == "general", _named("notices", "disclaimer", lambda name: name, None))
 
 
 def _protection() -> Column:
     def notice(category: str, name: str, raw: str) -> Column:
-        segment = _least(_said(category), "first")
+        segment = _least(_said(category))
         return _check(F.lit(name), segment.isNotNull(), F.when(segment.isNotNull(), "low").otherwise(remap_severity(F.col("call_type"), F.lit(raw))), segment)
 
     asked = F.when(F.size(_said("data_request")) > 0, F.array(*[notice(*n) for n in NOTICES]))
     found = _said("sensitive_id")
     evidence = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["phrase"]))), ", ")
-    sensitive = _check(F.lit("data_minimisation"), F.lit(False), remap_severity(F.col("call_type"), F.lit("high")), _least(found, "first"), evidence)
+    sensitive = _check(F.lit("data_minimisation"), F.lit(False), remap_severity(F.col("call_type"), F.lit("high")), _least(found), evidence)
     outside = F.when((F.size(found) > 0) & ~F.col("call_type").isin("kyc", "onboarding"), F.array(sensitive))
     return _joined(asked, outside)
 
@@ -181,9 +186,14 @@ def data_protection(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     return _rows(call_facts(segments, used), _protection())
 
 
+def every_check() -> Column:
+    """All checks of a row of ``call_facts``, as an array of structs."""
+    return _joined(_required(), _prohibited(), _third_party(), _domination(0.75), _ignored_end(3), _notices(), _protection())
+
+
 def all_checks(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     """Every check of every call, from one pass over the segments."""
-    return _rows(call_facts(segments, vocab), _required(), _prohibited(), _third_party(), _domination(0.75), _ignored_end(3), _notices(), _protection())
+    return call_facts(segments, vocab).select("call_id", F.inline(every_check()))
 
 
 def judge_candidates(segments: DataFrame, most: int = 40, shortest: int = 15) -> DataFrame:

@@ -39,6 +39,26 @@ def phrase_signals(segments: DataFrame, vocab: DataFrame) -> DataFrame:
     return kept.select("call_id", "signal_type", F.col("f.segment_id").alias("segment_id"), confidence.alias("confidence"), F.col("f.phrase").alias("detail"))
 
 
+def every_signal() -> Column:
+    """The signals of phrases, speakers and monologues of a row of ``compliance.call_facts``, as an array of structs of COLUMNS without call_id."""
+    heard = F.filter("said", lambda x: x["category"] == "fraud")
+
+    def one(name: str, segment: Column, confidence: Column, detail: Column) -> Column:
+        return F.struct(F.lit(name).alias("signal_type"), segment.cast("int").alias("segment_id"), F.round(confidence, 4).cast("double").alias("confidence"), detail.cast("string").alias("detail"))
+
+    def phrase(said: Column, name: str, subcategory: str, least: int, base: float, step: float, cap: float) -> Column:
+        found = F.transform(F.filter(said, lambda x: x["subcategory"] == subcategory), lambda x: F.struct(x["ord"].alias("ord"), x["segment"].alias("segment_id"), x["phrase"].alias("phrase")))
+        n, first = F.size(found), F.array_min(found)
+        return F.when(n >= least, one(name, first["segment_id"], F.least(F.lit(base) + F.lit(step) * n, F.lit(cap)), first["phrase"]))
+
+    none = F.lit(None)
+    speakers = F.when(F.size("speakers") > 2, one("unexpected_speaker", none, F.lit(0.7), F.array_join("speakers", ",")))
+    monologue = F.when((F.col("agent_s") > 60) & (F.col("agent_s") > 0.8 * F.col("spoken_s")), one("agent_monologue", none, F.lit(0.5), none))
+    # a variable of a function holds the phrases, as Catalyst would copy their expression to each signal; most calls have none
+    some = F.flatten(F.transform(F.filter(F.array(heard), lambda x: F.size(x) > 0), lambda said: F.array(*[phrase(said, *rule) for rule in PHRASE_SIGNALS])))
+    return F.filter(F.concat(some, F.array(speakers, monologue)), lambda x: x.isNotNull())
+
+
 def unexpected_speakers(segments: DataFrame, most: int = 2) -> DataFrame:
     """More speakers than expected."""
     who = segments.groupBy("call_id").agg(F.array_sort(F.collect_set("speaker")).alias("s")).where(F.size("s") > most)

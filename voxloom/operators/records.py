@@ -19,7 +19,17 @@ def score_calls(calls: DataFrame, checks: DataFrame, signals: DataFrame) -> Data
     """Per call (call_id, call_type): failed checks and signals, risk level, compliance score, review flag, priority and reasons."""
     failed = checks.where("not passed").groupBy("call_id").agg(F.count("*").alias("violations"), F.bool_or(F.col("severity") == "critical").alias("critical_failed"))
     fraud = signals.groupBy("call_id").agg(F.count("*").alias("fraud"))
-    joined = calls.join(failed, "call_id", "left").join(fraud, "call_id", "left").select("call_id", "call_type", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("critical_failed", F.lit(False)).alias("critical_failed"), F.coalesce("fraud", F.lit(0)).alias("fraud"))
+    return _scored(calls.join(failed, "call_id", "left").join(fraud, "call_id", "left").select("call_id", "call_type", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("critical_failed", F.lit(False)).alias("critical_failed"), F.coalesce("fraud", F.lit(0)).alias("fraud")))
+
+
+def score_judged(judged: DataFrame) -> DataFrame:
+    """``score_calls`` where the checks and signals of a call lie in arrays of its row (call_id, call_type, checks, signals): nothing is shuffled."""
+    failed = F.filter("checks", lambda x: ~x["passed"])
+    return _scored(judged.select("call_id", "call_type", F.size(failed).cast("long").alias("violations"), F.exists(failed, lambda x: x["severity"] == "critical").alias("critical_failed"), F.size("signals").cast("long").alias("fraud")))
+
+
+def _scored(joined: DataFrame) -> DataFrame:
+    """Calls with violations, critical_failed and fraud, scored."""
     w = weight(F.col("call_type"))
     v, f = F.col("violations") * w, F.col("fraud") * w
     risk = F.when((F.col("critical_failed") & (w >= 1)) | (v >= 3) | (f >= 2), "critical").when((v >= 2) | (f >= 1), "high").when(v >= 1, "medium").otherwise("low")

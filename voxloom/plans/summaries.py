@@ -12,7 +12,7 @@ from ..sources.fixtures import Corpus
 from .entities import ANSWERS, ENTITIES, IMPORTED, LINES, NER, imported
 from .entities import answers as lines
 from .pii import CALLS, KEY
-from .records import ESCALATED, NUMBERS, SCORED, escalated, parts
+from .records import ESCALATED, NUMBERS, SCORED, escalated, judged
 from .registry import query
 from .understanding import INTENTS
 
@@ -167,8 +167,8 @@ _ALL = ENTITIES.replace("every as", "every_entity as").replace("from every)", "f
     from scored_calls join f using (call_id) join escalations using (call_id) left join n1 using (call_id) left join n2 using (call_id) left join n3 using (call_id) left join n4 using (call_id)""", "segments vocab emotions")
 def io06(c: Corpus) -> DataFrame:
     """A flat row of 29 columns for each call, from what the fixture knows of it."""
-    segments, checks, signals = parts(c)
-    scored = records.score_calls(segments.select("call_id", "call_type").distinct(), checks, signals).withColumnsRenamed({"violations": "n_failed", "fraud": "n_signals"})
+    segments = c.spoken()
+    scored = records.score_judged(judged(c, segments)).withColumnsRenamed({"violations": "n_failed", "fraud": "n_signals"})
     about = segments.groupBy("call_id").agg(F.max("end_s").alias("duration_s"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_distinct("speaker").alias("n_speakers"))
     counted = lambda rows, name, *more: rows.groupBy("call_id").agg(F.count("*").alias(name), *more)
     bound = counted(e.parse_obligation_lines(lines(c)), "n_obligations", F.count_if(F.col("strength") == "binding").alias("n_binding"))
