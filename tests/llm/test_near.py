@@ -6,9 +6,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from voxloom.llm import minhash, queries
+from voxloom.llm import minhash, queries, repeats, rlz
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -77,3 +79,34 @@ def test_no_link_of_the_given_table_is_lost(spark, folder):
     found = queries.op3_near_duplicates(spark, f"/root/testdata/{folder}").collect()
     wrong = [r["doc_id"] for r in found if want[r["doc_id"]] != r["component_id"]]
     assert (len(found), wrong) == (len(want), [])
+
+
+def test_a_dense_block_gives_pairs_in_proportion_to_its_documents():
+    n = 300
+    same = np.zeros((n, minhash.SKETCH // 64), np.uint64)
+    keys = np.tile(np.arange(32, dtype=np.int64), (n, 1))
+    columns = {"key": np.full(n, 7), "i": np.zeros(n, np.int32), "j": np.zeros(n, np.int32), "block": np.zeros(n, np.int32), "band": np.zeros(n, np.int32), "id": np.arange(n), "n": np.full(n, 50), "label": np.arange(n)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()} | {"bands": pa.array(keys.tolist(), pa.list_(pa.int64())), "sketch": pa.array([x.tobytes() for x in same], pa.binary())})
+    rows = {every: pa.Table.from_batches(minhash._compare(75, every)(iter([batch]))) for every in (False, True)}
+    assert rows[True].num_rows == n * (n - 1) // 2 and not any(rows[True]["more"].to_pylist())
+    some = rows[False]
+    assert some.num_rows <= minhash.SPARE * n and all(some["more"].to_pylist())
+    assert set(some["a"].to_pylist()) | set(some["b"].to_pylist()) == set(range(n))  # each component has a pair
+
+
+def test_components_go_on_from_labels(spark):
+    rng = random.Random(3)
+    first, more = ([tuple(sorted(rng.sample(range(200), 2))) for _ in range(60)] for _ in range(2))
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    got = {r["node"]: r["label"] for r in minhash.joined_on(minhash.components(frame(first)), frame(more)).collect()}
+    assert got == {r["node"]: r["label"] for r in minhash.components(frame(first + more)).collect()}
+
+
+def test_a_single_closer_look_writes_no_texts(spark, monkeypatch):
+    names, plain = [], repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, name: (names.append(name), plain(df, name))[1])
+    shared = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"a{k} {shared} b{k}", k * 2) for k in range(4)], "doc_id long, text string, more int")
+    found = {r["doc_id"]: (r["kept"], r["row"]["text"], r["row"]["more"]) for r in rlz.parse(spark, docs, keep=True).collect()}
+    assert found == {k: (f"a{k} {shared} b{k}" if k == 0 else f"a{k} b{k}", f"a{k} {shared} b{k}", k * 2) for k in range(4)}
+    assert "texts" not in names  # it would be a second copy of what is looked at again

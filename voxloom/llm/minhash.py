@@ -12,6 +12,8 @@ copies with as many comparisons as it has members. Where a bucket still holds
 different components afterwards, its documents are compared by one-bit sketches,
 in blocks of bounded size, and only pairs whose sketches allow the similarity
 (all but a few in a million of those that have it) are confirmed on full sets.
+Where a block has more such pairs than its size bounds, those that agree best join
+each component with others first; what is one component then needs no more pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ PERMUTATIONS, ROWS = 64, 4
 BLOCK, SKETCH = 2048, 8192
 #: Documents of a block that are compared with another block at once.
 STRIP = 128
+#: Pairs of a group for each of its documents that are confirmed at once; of more, the TRIES of each component that agree best. After ROUNDS such rounds, or one that joins nothing, all that are left.
+SPARE, TRIES, ROUNDS = 4, 4, 6
 _XOR = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))
 _TIMES = mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _SKETCH_XOR = mix(np.arange(5001, 5001 + SKETCH // 2, dtype=np.uint64))
@@ -173,6 +177,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_on(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links a, b: only links between different components count, once for each two of them."""
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+    between = ends.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    more = components(between)
+    known = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    return written(known.unionByName(more.join(labels, "node", "left_anti")), "labels")
+
+
 def _fitting(n: F.Column, m: F.Column, percent: int) -> F.Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -210,10 +225,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     texts = written(texts, "texts")
     links = written(confirmed(star, sets, percent).unionByName(_tied(texts)), "links")
     labels = components(links)
-    rest = written(_open_pairs(shared, sets, labels, percent), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest, sets, percent))
-        labels = components(links)
+    labels = _settled(shared, sets, labels, percent)
     joined = written(texts.join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("label", "id").alias("label")).distinct(), "joined")
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = joined.join(least, "label").select("doc_id", "component_id")
@@ -222,14 +234,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _open_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of fitting size and sketch that share a bucket and lie in different components, each in the first bucket they share.
+def _settled(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``labels`` after all links between documents of different components that share a bucket."""
+    members = _open_members(shared, labels)
+    about = _about(members, sets)
+    for _ in range(ROUNDS):
+        pairs = written(_open_pairs(members, about, percent, False), "pairs")
+        links = written(confirmed(pairs, sets, percent), "links")
+        linked = not links.isEmpty()
+        labels = joined_on(labels, links) if linked else labels
+        if pairs.where("more").isEmpty():
+            return labels
+        members = _open_members(shared, labels)
+        if not linked:
+            break
+    pairs = written(_open_pairs(members, about, percent, True), "pairs")
+    return joined_on(labels, written(confirmed(pairs, sets, percent), "links"))
 
-    A bucket of more than BLOCK documents is dealt out as pairs of blocks.
-    """
+
+def _open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents of buckets that hold different components, with their label and the bucket's size."""
     named = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "n", F.coalesce("label", "id").alias("label"))
     mixed = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), "mixed")
-    members = written(named.join(mixed, "key"), "members")
+    return written(named.join(mixed, "key"), "members")
+
+
+def _about(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, sketch and the keys of all bands of documents, for a bucket without others a number that equals none."""
     keys = members.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,22 +273,42 @@ def _open_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     drawn = sets.join(keys.select("id"), "id", "left_semi").mapInArrow(draw, "id long, sketch binary")
     bands = 2 * PERMUTATIONS // ROWS
     ordered = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.element_at("keys", k), F.col("id") * bands + k))  # buckets without company equal none
-    about = written(keys.join(drawn, "id").select("id", "sketch", ordered.alias("bands")), "about")
+    return written(keys.join(drawn, "id").select("id", "sketch", ordered.alias("bands")), "about")
+
+
+def _open_pairs(members: DataFrame, about: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs a, b of fitting size and sketch that share a bucket and lie in different components, each in the first bucket they share; ``more`` where a group has others.
+
+    A bucket of more than BLOCK documents is dealt out as pairs of blocks. Unless
+    ``every`` is set, a group gives so many pairs at most as are in proportion to
+    its documents.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.join(about, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "id", "n", "label", "bands", "sketch")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(percent), "a long, b long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(percent, every), "a long, b long, more boolean")
+
+
+def _best(labels: np.ndarray, p: np.ndarray, q: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """Which pairs are among the TRIES of a component, at either end, that agree best."""
+    ends, pair = np.concatenate([labels[p], labels[q]]), np.tile(np.arange(len(p)), 2)
+    order = np.lexsort((-agree[pair], ends))
+    new = np.ones(len(order), bool)
+    new[1:] = ends[order][1:] != ends[order][:-1]
+    place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.unique(pair[order[place < TRIES]])
 
 
-def _compare(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare(percent: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Compares all documents of each group of rows in order of key, i, j."""
     enough = least_agreement(percent)
 
-    def group(rows: dict[str, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    def group(rows: dict[str, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         r = {k: v[first:last] for k, v in rows.items()}
         left = np.flatnonzero(r["block"] == r["i"])
         right = left if r["i"][0] == r["j"][0] else np.flatnonzero(r["block"] == r["j"])
-        m, found = r["n"][right], []
+        m, most, more = r["n"][right], SPARE * (last - first), False
+        found = [np.empty((3, 0), np.int64)]  # places of both, and how many bits agree
         for strip in range(0, len(left), STRIP):
             some = left[strip : strip + STRIP]
             n = r["n"][some, None]
@@ -268,14 +319,15 @@ def _compare(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             for start in range(0, len(x), 1 << 12):
                 p, q = some[x[start : start + (1 << 12)]], right[y[start : start + (1 << 12)]]
                 agree = SKETCH - np.bitwise_count(r["sketch"][p] ^ r["sketch"][q]).sum(1, dtype=np.int64)
-                p, q = p[agree >= enough], q[agree >= enough]
-                if len(p):
-                    own = (r["bands"][p] == r["bands"][q]).argmax(1) == r["band"][0]
-                    found.append((r["id"][p[own]], r["id"][q[own]]))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        p, q = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        return np.minimum(p, q), np.maximum(p, q)
+                p, q, agree = p[agree >= enough], q[agree >= enough], agree[agree >= enough]
+                own = (r["bands"][p] == r["bands"][q]).argmax(1) == r["band"][0]
+                found.append(np.stack([p, q, agree])[:, own])
+                if not every and sum(f.shape[1] for f in found) > most:
+                    pairs = np.concatenate(found, 1)
+                    found, more = [pairs[:, _best(r["label"], *pairs)]], True
+        p, q, _ = np.concatenate(found, 1)
+        p, q = r["id"][p], r["id"][q]
+        return np.minimum(p, q), np.maximum(p, q), np.full(len(p), more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -289,7 +341,7 @@ def _compare(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             bounds = np.append(np.flatnonzero(new), table.num_rows)
             found = [group(rows, a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(2)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["a", "b", "more"])
 
         for batch in batches:
             if not batch.num_rows:

@@ -35,8 +35,12 @@ def parse(spark: SparkSession, docs: DataFrame, shape: Shape = WORDS, keep: bool
     ``docs`` follow as the struct ``row``.
     """
     texts = keyed(docs)
-    source = docs.select(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row")) if keep else texts
-    found = with_ranges(source, repeated(texts, shape, True))
+    text = F.coalesce("text", F.lit(""))
+    if keep:  # the row moves with its text in it; what is read from it is taken out afterwards
+        found = with_ranges(docs.select(F.xxhash64(F.col("doc_id"), text).alias("rid"), F.struct(*docs.columns).alias("row")), repeated(texts, shape, True))
+        found = found.select("rid", "row.doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "ranges", "row")
+    else:
+        found = with_ranges(texts, repeated(texts, shape, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
