@@ -63,3 +63,17 @@ def test_escalated_calls(spark):
     found = {r["call_id"]: (r["customer_emotion"], r["escalated"]) for r in records.escalations(calls, intents, emotions).collect()}
     assert found == {1: (None, True), 2: ("angry", True), 3: ("neutral", False), 4: (None, False), 5: ("frustrated", True)}
     assert records.escalations(calls.limit(0), intents, emotions).count() == 0
+
+
+def test_ngram_counts_shuffle_each_text_once(spark):
+    rows = [(1, 0, "a b c d e f a b c"), (1, 0, "a b c"), (2, 0, "a b c d"), (3, 1, "a b"), (4, None, "x y z x y z x y z"), (5, 1, None), (6, 1, "A b, C")]
+    found = mining.ngram_counts(spark.createDataFrame(rows, "doc_id long, label int, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    want: dict = {}
+    for doc, label, text in rows:
+        w = (text or "").lower().replace(",", "").split()
+        for k in (3, 4, 5):
+            for i in range(len(w) - k + 1):
+                want.setdefault((label, " ".join(w[i : i + k])), []).append(doc)
+    assert {(r["label"], r["gram"]): (r["n"], r["docs"]) for r in found.collect()} == {k: (len(v), len(set(v))) for k, v in want.items()}
+    assert found.columns == ["label", "gram", "n", "docs"]
