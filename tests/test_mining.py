@@ -77,3 +77,17 @@ def test_ngram_counts_shuffle_each_text_once(spark):
                 want.setdefault((label, " ".join(w[i : i + k])), []).append(doc)
     assert {(r["label"], r["gram"]): (r["n"], r["docs"]) for r in found.collect()} == {k: (len(v), len(set(v))) for k, v in want.items()}
     assert found.columns == ["label", "gram", "n", "docs"]
+
+
+def test_flat_records_count_without_nesting(spark):
+    check = "struct<check_name: string, passed: boolean, severity: string, segment_id: int, evidence: string>"
+    rows = [(1, "kyc", [("a", False, "high", 0, None), ("b", True, "low", 0, None)], []), (2, "general", [], [])]
+    judged = spark.createDataFrame(rows, f"call_id long, call_type string, checks array<{check}>, signals array<struct<name: string>>")
+    child = lambda *ids: spark.createDataFrame([(i, 0) for i in ids], "call_id long, segment_id int")
+    children = {"segments": child(1, 1, 2), "intents": child(1, 1, 2), "entities": child(1, 1, 1)}
+    flat = records.flat_records(judged, **children)
+    own = judged.select("call_id", "checks", "signals")
+    nested = records.flatten(records.assemble(records.score_judged(judged).join(own, "call_id"), **children))
+    assert sorted(flat.collect()) == sorted(nested.collect())
+    assert (flat.columns, flat.dtypes) == (nested.columns, nested.dtypes)
+    assert "collect_list" not in flat._jdf.queryExecution().optimizedPlan().toString()

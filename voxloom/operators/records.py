@@ -155,6 +155,16 @@ def flatten(records: DataFrame) -> DataFrame:
     return records.select("call_id", "call_type", "risk_level", "compliance_score", "review_required", "priority", F.size("segments").alias("n_segments"), F.size("intents").alias("n_intents"), F.size("checks").alias("n_checks"), F.size(F.filter("checks", lambda x: ~x["passed"])).alias("n_failed"), F.size("entities").alias("n_entities"), F.size("signals").alias("n_signals"), F.substring("review_reasons", 1, 500).alias("reasons"))
 
 
+def flat_records(judged: DataFrame, **children: DataFrame) -> DataFrame:
+    """The rows of ``flatten`` from judged calls (call_id, call_type, checks, signals) and child tables, without their nested lists: children are counted as n_<name>, added up in their tasks."""
+    own = judged.select("call_id", F.size("checks").alias("n_checks"), F.size(F.filter("checks", lambda x: ~x["passed"])).alias("n_failed"), F.size("signals").alias("n_signals"))
+    out = score_judged(judged).join(own, "call_id")
+    for name, child in children.items():
+        out = out.join(child.groupBy("call_id").agg(F.count("*").alias(f"n_{name}")), "call_id", "left")
+    count = lambda name: F.coalesce(f"n_{name}", F.lit(0)).cast("int").alias(f"n_{name}")
+    return out.select("call_id", "call_type", "risk_level", "compliance_score", "review_required", "priority", count("segments"), count("intents"), "n_checks", "n_failed", count("entities"), "n_signals", F.substring("review_reasons", 1, 500).alias("reasons"))
+
+
 #: The columns of a call's flat row; those that nothing is known of stay null, counts 0.
 FLAT = {
     "source": "string", "duration_s": "double", "language": "string", "mixed": "boolean", "call_type": "string", "quality_score": "double", "quality_flag": "string", "snr_db": "double", "confidence": "double",

@@ -115,11 +115,11 @@ def en13(c: Corpus) -> DataFrame:
 ANSWERS = "answers as (select call_id, string_agg(case segment_id % 4 when 0 then 'ENTITY| Payment |' || segment_id || '|' || text when 1 then 'OBLIGATION|' || speaker || '| Binding|' || text when 2 then 'OBLIGATION|x|maybe|y' else 'noise' end, chr(10) order by segment_id) as answer from segments group by call_id)"
 
 
-def answers(c: Corpus) -> DataFrame:
-    """An annotator's text for each call."""
+def answers(c: Corpus, segments: DataFrame | None = None) -> DataFrame:
+    """An annotator's text for each call; ``segments`` are given by queries that have them written."""
     kind = F.col("segment_id") % 4
     line = F.when(kind == 0, F.concat(F.lit("ENTITY| Payment |"), F.col("segment_id"), F.lit("|"), F.col("text"))).when(kind == 1, F.concat(F.lit("OBLIGATION|"), F.col("speaker"), F.lit("| Binding|"), F.col("text"))).when(kind == 2, "OBLIGATION|x|maybe|y").otherwise("noise")
-    rows = c.segments().select("call_id", F.struct("segment_id", line.alias("line")).alias("x"))
+    rows = (c.segments() if segments is None else segments).select("call_id", F.struct("segment_id", line.alias("line")).alias("x"))
     return rows.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("answer"))
 
 

@@ -9,6 +9,7 @@ from ..operators import entities as e
 from ..operators import pii, records, transcript, understanding
 from ..operators import summaries as s
 from ..sources.fixtures import Corpus
+from ..sources.shared import written
 from .entities import ANSWERS, ENTITIES, IMPORTED, LINES, NER, imported
 from .entities import answers as lines
 from .pii import CALLS, KEY
@@ -171,5 +172,6 @@ def io06(c: Corpus) -> DataFrame:
     scored = records.score_judged(judged(c, segments)).withColumnsRenamed({"violations": "n_failed", "fraud": "n_signals"})
     about = segments.groupBy("call_id").agg(F.max("end_s").alias("duration_s"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_distinct("speaker").alias("n_speakers"))
     counted = lambda rows, name, *more: rows.groupBy("call_id").agg(F.count("*").alias(name), *more)
-    bound = counted(e.parse_obligation_lines(lines(c)), "n_obligations", F.count_if(F.col("strength") == "binding").alias("n_binding"))
-    return records.flat_calls(scored, about, transcript.talk_time(segments), counted(understanding.keyword_intents(segments), "n_intents"), counted(e.extract(segments), "n_entities"), bound, counted(pii.detect(segments, KEY), "n_personal"), escalated(c, segments))
+    intents = written(understanding.keyword_intents(segments), "intents")  # read twice
+    bound = counted(e.parse_obligation_lines(lines(c, segments)), "n_obligations", F.count_if(F.col("strength") == "binding").alias("n_binding"))
+    return records.flat_calls(scored, about, transcript.talk_time(segments), counted(intents, "n_intents"), counted(e.extract(segments), "n_entities"), bound, counted(pii.detect(segments, KEY), "n_personal"), escalated(c, segments, intents))
