@@ -227,3 +227,41 @@ def test_components_beyond_doubles():
     topk.threshold_search(x, np.argsort(x, axis=0, kind="stable").T.astype(np.int32), np.arange(3), np.ones(3, np.int32), np.array([(1 << 31) - 1, 1], np.int64), best)
     assert best.id.tolist() == [1, 0]
     assert best.score.tolist() == [((1 << 31) - 1 << 31) + 2, ((1 << 31) - 1 << 31) + 1]
+
+
+def test_nearest_never_broadcasts_queries_for_each_block(spark, monkeypatch):
+    """Queries copied for all blocks grow with the square of the table: a task gets some blocks and some groups by a shuffle, and answers once for all its blocks."""
+    rows, plans, answers = vectors(150, 4, 5), [], []
+    kept = topk.written
+
+    def seen(df, name):
+        out = kept(df, name)
+        if name == "found":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            answers.append(out.groupBy("query").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(topk, "written", seen)
+    monkeypatch.setattr(topk, "TASKS", 3)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.nearest(spark, frame, every=5, k=4, block=16, group=7).collect())) == nearest_by_hand(rows, 5, 4)
+    assert len(plans) == 2
+    assert "Broadcast" not in plans[0]
+    assert "Join [block" not in plans[1]  # floors may be broadcast, a number for each query
+    assert answers[1] <= 5  # of about ten blocks
+
+
+def test_block_of_any_components():
+    """Components and places are kept in as few bytes as hold them, and scores are exact in each."""
+    rng = np.random.default_rng(8)
+    for most in (200, 1 << 20, 1 << 45):
+        x = rng.integers(-most, most, (50, 3))
+        raw = np.frombuffer(topk._packed(x, *topk._COMPONENTS), np.uint8)
+        assert len(raw) == 150 * (2 if most == 200 else 4 if most == 1 << 20 else 8)
+        assert (topk._unpacked(raw, 150, *topk._COMPONENTS).reshape(50, 3) == x).all()
+        block = topk.Block(x, np.argsort(x, axis=0, kind="stable").T, np.arange(50), np.ones(50, np.int32))
+        q, best = rng.integers(-200, 200, 3), topk.Best(4, -(1 << 63))
+        block.search(q, best, 7)
+        want = sorted(zip((-(x @ q)).tolist(), range(50), strict=True))[:4]
+        assert list(zip((-best.score).tolist(), best.id.tolist(), strict=True)) == want
+        assert (best.row == best.id + 7).all()
