@@ -7,8 +7,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from voxloom.operators import mining, records
+from voxloom.operators import mining, records, understanding
 
 
 def _runs(text: str | None, sizes: tuple[int, ...]) -> list[str]:
@@ -91,3 +92,38 @@ def test_flat_records_count_without_nesting(spark):
     assert sorted(flat.collect()) == sorted(nested.collect())
     assert (flat.columns, flat.dtypes) == (nested.columns, nested.dtypes)
     assert "collect_list" not in flat._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_accuracy_reads_its_rows_once(spark):
+    rows = [("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), ("c", "c"), ("c", "c"), ("d", "a"), (None, "a"), ("a", None), (None, None)]
+    frame = spark.createDataFrame(rows, "truth string, predicted string").repartition(2)
+    found = mining.accuracy(frame)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    support, guessed = (Counter(r[k] for r in rows if r[k]) for k in (0, 1))
+    tp = Counter(t for t, p in rows if t and t == p)
+    f1 = sum(2 * tp[x] / (support[x] + guessed[x]) * support[x] for x in support)
+    n = sum(support.values())
+    assert tuple(found.first()) == (round(sum(tp.values()) / n, 6), round(f1 / n, 6), n)
+    assert tuple(mining.accuracy(frame.limit(0)).first()) == (None, None, None)
+
+
+def test_intents_of_other_call_types_by_one_pass(spark):
+    texts = [p.replace("i will", "I WILL") + tail for *_, phrases in understanding.CASCADE for p in phrases for tail in ("", " now?")]
+    texts += [f"so {p} it is" for p in understanding.EXPLANATIONS + understanding.QUESTION_STARTS] + understanding.QUESTION_STARTS + ["", " ", None, "a\n?", "?\n", "सर manager", "I will escalate the revenue risk"]
+    kinds = [*understanding.REGULATED, "general", "other", None]
+    rows = [(i * 10 + k, i, text, kind) for i, text in enumerate(texts) for k, kind in enumerate(kinds)]
+    frame = spark.createDataFrame(rows, "call_id long, segment_id int, text string, call_type string")
+
+    def by_hand(text, kind):
+        low = (text or "").strip(" ").lower()
+        for name, _, only, phrases in understanding.CASCADE:
+            if (not only or kind in understanding.REGULATED) and any(p in low for p in phrases):
+                return name
+        if low.endswith("?") or any(low.startswith(p) for p in understanding.QUESTION_STARTS):
+            return "question"
+        return "explanation" if any(p in low for p in understanding.EXPLANATIONS) else "information_request" if kind == "general" else "unknown"
+
+    both = understanding.intents_by_call_type(frame, truth=F.col("call_type"), predicted=F.lit("general"))
+    assert {r["call_id"]: (r["truth"], r["predicted"]) for r in both.collect()} == {i: (by_hand(t, k), by_hand(t, "general")) for i, _, t, k in rows}
+    assert {r["call_id"]: r["intent"] for r in understanding.keyword_intents(frame).collect()} == {i: by_hand(t, k) for i, _, t, k in rows}
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
