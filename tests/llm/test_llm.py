@@ -621,3 +621,51 @@ def test_sketches_of_long_sets_agree_with_their_similarity():
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert shared_dir
+
+
+def _codes(stream: bytes) -> list[webp.Code]:
+    bits = webp.Bits(stream)
+    webp.read_header(bits)
+    assert bits.read(2) == 0
+    return [webp.read_code(bits, n) for n in (280, 256, 256, 256, 40)]
+
+
+def test_texts_are_stored_with_back_references():
+    """Equal passages are copied, near and far, over themselves, by up to 4,096 bytes, and never from another frame; both decoders read them."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij अ") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)).encode()
+    once, noise = prose(200), bytes(rng.randrange(250) for _ in range(2000))
+    texts = [b"", b"x", b"a" * 20000, once, once + prose(30) + once, prose(4000), noise, noise + noise, b"ab" * 300 + prose(9), bytes(range(250)) * 30, once]
+    padded = [t + b"\xff" * (max(1, -(-len(t) // webp.ROW)) * webp.ROW - len(t)) for t in texts]
+    data, offsets = np.frombuffer(b"".join(padded), np.uint8), np.cumsum([0, *map(len, padded)])
+    files = webp.text_streams(data, offsets)
+    for tiles, payload in zip(files, padded, strict=True):
+        assert b"".join(x[..., 2].tobytes() for x in webp.decode(webp.container(tiles))) == payload
+    flat = [s for tiles in files for _, _, s in tiles]
+    assert np.concatenate(webp.decode_green(flat)).tobytes() == b"".join(padded)
+    copies = [_codes(tiles[0][2])[0].symbols.max() >= 256 for tiles in files]
+    assert copies == [True, True, True, True, True, True, True, True, True, True, True]
+    assert len(files[7][0][2]) < 1.1 * len(files[6][0][2])  # the second half is a copy
+    assert len(files[2][0][2]) < 400
+    assert [s for _, _, s in files[3]] == [s for _, _, s in files[10]]
+    assert not any(len(x) for x in webp.references(np.arange(256, dtype=np.uint8), np.array([0]), np.array([256])))
+
+
+def test_a_copy_from_before_the_image_is_refused():
+    """The last bytes of a stream are its distances: with other ones it may be refused, but never reads another stream's pixels."""
+    padded = np.frombuffer(b"abcdefgh" * 72, np.uint8)
+    (_, _, good), = webp.text_streams(padded, np.array([0, 576]))[0]
+    other = webp.text_streams(np.frombuffer(b"z" * 576, np.uint8), np.array([0, 576]))[0][0][2]
+    refused = 0
+    for k in range(1, 12):
+        bad = good[:-1] + bytes([good[-1] ^ (1 << k % 8)]) if k < 9 else good[: -k + 8]
+        try:
+            want = webp.decode_stream(bad)[..., 2].ravel()
+        except ValueError:
+            refused += 1
+            with pytest.raises((ValueError, IndexError)):
+                webp.decode_green([bad])
+        else:
+            assert (webp.decode_green([other, bad])[1] == want).all()
+    assert refused
